@@ -1,12 +1,14 @@
 """SentencePiece segmentation: the n best by backward A* under forward Viterbi scores.
 
 Pieces and their scores come from a SentencePiece model file.  A text is cut
-where no piece can cross, so its lattice falls into small independent units.  In
-a unit, a forward Viterbi pass gives every position the best score from the
-start.  That is the exact rest cost of a path built from the end, so A* goes
+where no piece can cross (before spaces and around line ends), so its lattice
+falls into small independent units.  In a unit, a forward Viterbi pass gives
+every position the best score from the start, and what the second best path
+loses; units not met before go through it together, as arrays by length.  The
+forward score is the exact rest cost of a path built from the end, so A* goes
 backwards and completes the n best paths in order.  Ties go to the path nearer
 its start.  A text's n best are merged from its units' lists: only the n - 1
-units with the nearest second choice can differ from their best.
+units with the least second loss can differ from their best, and A* runs on these.
 
 Characters without a piece become their UTF-8 byte pieces, at a score ten below
 the lowest.  Decoding joins the pieces and turns byte pieces back to text, so a
@@ -51,8 +53,8 @@ class Pieces:
                 self.names[self.bytes[b]] = chr(b)
         self._normal, self._unknown = normal, min(s for _, s in normal.values() if s > -1e8) - 10
         self._longest = max(map(len, normal))
-        self._pairs = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
         self._prefix = bool(model.normalizer_spec.add_dummy_prefix)
+        self._breaks = "\n" if not any("\n" in p for p in normal) else ""
         self._cached = cached
         #: Pieces by their characters: node = (score or 0, nodes by the next character).
         self._trie: dict[str, tuple] = {}
@@ -61,20 +63,113 @@ class Pieces:
             for c in p[:-1]:
                 at = at.setdefault(c, (0.0, {}))[1]
             at[p[-1]] = (score, at[p[-1]][1] if p[-1] in at else {})
-        self._older: dict[str, tuple] = {}
-        self._chunks: dict[str, tuple] = {}
+        self._flatten()
+        self._chunks: dict[str, tuple[float, bytes, float]] = {}
+        self._older: dict[str, tuple[float, bytes, float]] = {}
         self._lists: dict[tuple[str, int], list] = {}
 
+    def _flatten(self) -> None:
+        """The trie as arrays: node numbers by (node, character), score and id by node."""
+        self._letter = np.zeros(0x110000, np.int64)
+        keys, nodes, scores, ids = [], [], [0.0], [-1]
+        todo = [(0, self._trie, "")]
+        while todo:
+            node, at, prefix = todo.pop()
+            for c, (score, below) in at.items():
+                if not self._letter[ord(c)]:
+                    self._letter[ord(c)] = self._letter.max() + 1 if keys else 1
+                keys.append(node << 20 | int(self._letter[ord(c)]))
+                nodes.append(len(scores))
+                todo.append((len(scores), below, prefix + c))
+                scores.append(score or -np.inf)
+                ids.append(self._normal[prefix + c][0] if score else -1)
+        order = np.argsort(keys)
+        self._keys, self._nodes = np.array(keys)[order], np.array(nodes)[order]
+        self._scores, self._piece = np.array(scores), np.array(ids, np.int64)
+        self._scores[0] = -np.inf
+
+    def _next(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = node << 20 | letter
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[at] == key, self._nodes[at], 0)
+
     def chunks(self, text: str) -> list[str]:
-        """The escaped text, cut before every run of spaces."""
+        """The escaped text, cut before every run of spaces and around line ends."""
         escaped = text.replace(" ", _SPACE)
-        return re.findall(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+", (_SPACE if self._prefix else "") + escaped) if text else []
+        b = self._breaks
+        return re.findall(f"{_SPACE}+[^{_SPACE}{b}]*|[^{_SPACE}{b}]+|{b or _SPACE}", (_SPACE if self._prefix else "") + escaped) if text else []
+
+    def _keep(self, chunk: str, found: tuple[float, bytes, float]) -> None:
+        if len(chunk) <= 64:
+            self._chunks[chunk] = found
+
+    def learn(self, chunks: set[str]) -> dict[str, tuple[float, bytes, float]]:
+        """(best score, best ids, loss of the second best) of the chunks; those met lately come from the cache."""
+        if len(self._chunks) > self._cached:
+            self._older, self._chunks = self._chunks, {}
+        out: dict[str, tuple[float, bytes, float]] = {}
+        by_length: dict[int, list[str]] = {}
+        for c in chunks:
+            if found := self._chunks.get(c):
+                out[c] = found
+            elif found := self._older.get(c):
+                out[c] = self._chunks[c] = found
+            elif len(c) > 64:
+                out[c] = self._one(c)
+            else:
+                by_length.setdefault(len(c), []).append(c)
+        for length, new in by_length.items():
+            for at in range(0, len(new), 8192):
+                part = new[at : at + 8192]
+                for c, found in zip(part, self._many(part, length)):
+                    out[c] = found
+                    self._keep(c, found)
+        return out
+
+    def _one(self, chunk: str) -> tuple[float, bytes, float]:
+        score, loss, ids = self._two_best(chunk)
+        return score, array("I", ids).tobytes(), loss
 
-    def units(self, chunk: str) -> list[str]:
-        """A chunk, cut wherever no piece holds both neighbours."""
-        pairs = self._pairs
-        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs), len(chunk)]
-        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+    def _many(self, chunks: list[str], n: int) -> list[tuple[float, bytes, float]]:
+        """``_one`` for chunks of length n, as arrays [chunks, position]."""
+        m = len(chunks)
+        letters = self._letter[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n)]
+        first, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        back = np.zeros((n + 1, m), np.int64)
+        first[0] = 0.0
+        longest = min(n, self._longest)
+        nodes = np.zeros((longest + 1, n, m), np.int64)
+        lone = np.zeros(m, bool)
+        for t in range(n):
+            node, live = np.zeros(m, np.int64), np.arange(m)
+            for k in range(1, min(longest, n - t) + 1):
+                node = self._next(node, letters[live, t + k - 1])
+                alive = node > 0
+                node, live = node[alive], live[alive]
+                nodes[k, t, live] = node
+                if not len(live):
+                    break
+        lone = (self._piece[nodes[1]] < 0).any(0)  # some character has no piece of its own
+        for t in range(n):
+            one, two = first[t], second[t]
+            for k in range(1, min(longest, n - t) + 1):
+                score = self._scores[nodes[k, t]]
+                value, e = one + score, t + k
+                better = value > first[e]
+                second[e] = np.where(better, np.maximum(first[e], two + score), np.maximum(second[e], value))
+                back[e] = np.where(better, t, back[e])
+                first[e] = np.where(better, value, first[e])
+        rows, e, steps = np.arange(m), np.where(lone, 0, n), []
+        while e.any():
+            s = back[e, rows]
+            on = e > 0
+            steps.append(np.where(on, self._piece[nodes[np.where(on, e - s, 1), np.where(on, s, 0), rows]], -1))
+            e = np.where(on, s, 0)
+        ids = np.array(steps[::-1], np.int64).reshape(len(steps), m).T
+        skip = (ids < 0).sum(1).tolist()
+        ids = ids.astype("<u4")
+        score, loss = first[n].tolist(), (first[n] - second[n]).tolist() if n > 1 else [float("inf")] * m
+        return [self._one(c) if alone else (score[i], ids[i, skip[i] :].tobytes(), loss[i]) for i, (c, alone) in enumerate(zip(chunks, lone.tolist()))]
 
     def _two_best(self, unit: str) -> tuple[float, float, list[int]]:
         """Best score, what the second best loses against it, and the best ids; ties go to the earlier start."""
@@ -120,20 +215,6 @@ class Pieces:
         found = self._normal.get(piece)
         return (found[0],) if found else tuple(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
 
-    def _chunk(self, chunk: str) -> tuple:
-        """(score, ids as bytes, least loss of a second choice, units, loss by unit)."""
-        out = self._older.get(chunk)
-        if out is None:
-            units = self.units(chunk)
-            found = [self._two_best(u) for u in units]
-            losses = [x[1] for x in found]
-            out = (sum(x[0] for x in found), array("I", [i for x in found for i in x[2]]).tobytes(), min(losses), units, losses)
-        if len(self._chunks) > self._cached:
-            self._older, self._chunks = self._chunks, {}
-        if len(chunk) <= 64:
-            self._chunks[chunk] = out
-        return out
-
     def _edges(self, unit: str) -> list[list[tuple[int, float]]]:
         """For every end: (start, score)."""
         ends: list[list] = [[] for _ in range(len(unit) + 1)]
@@ -193,25 +274,40 @@ class Pieces:
 
     def best(self, text: str | None, n: int) -> list[tuple[float, bytes]]:
         """Up to ``n`` best (score, ids as little-endian unsigned 32-bit bytes) of a text, best first."""
-        text = text or ""
-        known, new = self._chunks, self._chunk
-        found = [known.get(c) or new(c) for c in self.chunks(text)]
+        return next(self.best_of([text], n))
+
+    def best_of(self, texts: list[str | None], n: int, together: int = 1 << 21) -> Iterator[list[tuple[float, bytes]]]:
+        """``best`` of each text; new chunks of some ``together`` characters are learned at once."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self.chunks(text or ""))
+            size += len(text or "")
+            if size >= together:
+                yield from self._merged(held, n)
+                held, size = [], 0
+        yield from self._merged(held, n)
+
+    def _merged(self, held: list[list[str]], n: int) -> Iterator[list[tuple[float, bytes]]]:
+        known = self.learn(set().union(*held))
+        for chunks in held:
+            yield self._merge(chunks, [known[c] for c in chunks], n)
+
+    def _merge(self, chunks: list[str], found: list[tuple[float, bytes, float]], n: int) -> list[tuple[float, bytes]]:
         losses = np.fromiter((c[2] for c in found), float, len(found))
-        near = np.argsort(losses, kind="stable")[: n - 1] if len(found) <= n else np.sort(np.argpartition(losses, n - 2)[: n - 1]) if n > 1 else []
-        places = heapq.nsmallest(n - 1, ((loss, int(c), u) for c in near for u, loss in enumerate(found[c][4]) if loss < float("inf")))
+        near = np.argpartition(losses, n - 2)[: n - 1] if 1 < n <= len(found) else np.arange(len(found))[: n - 1]
         choices: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, c, u in sorted(places, key=lambda x: x[1:]):
-            options = self.unit_best(found[c][3][u], n)
-            more = [(lost + options[0][0] - score, (*picks, (c, u, k))) for lost, picks in choices for k, (score, _) in enumerate(options)]
+        for c in np.sort(near[losses[near] < np.inf]).tolist():
+            options = self.unit_best(chunks[c], n)
+            more = [(lost + options[0][0] - score, (*picks, (c, k))) for lost, picks in choices for k, (score, _) in enumerate(options)]
             choices = sorted(more, key=lambda x: x[0])[:n]
         top, parts = sum(c[0] for c in found), [c[1] for c in found]
         out = []
         for lost, picks in choices:
-            changed = parts.copy()
-            for c in {c for c, _, k in picks if k}:
-                took = {u: k for d, u, k in picks if d == c}
-                ids = [i for u, unit in enumerate(found[c][3]) for i in self.unit_best(unit, n)[took.get(u, 0)][1]]
-                changed[c] = np.array(ids, "<u4").tobytes()
+            changed = parts.copy() if any(k for _, k in picks) else parts
+            for c, k in picks:
+                if k:
+                    changed[c] = array("I", self.unit_best(chunks[c], n)[k][1]).tobytes()
             out.append((top - lost, b"".join(changed)))
         return out
 
@@ -243,7 +339,7 @@ def segmented(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = pieces(model)
         for pdf in batches:
-            found = [m.best(t, n) for t in pdf["t"].tolist()]
+            found = list(m.best_of(pdf["t"].tolist(), n))
             found = [[(s, np.frombuffer(ids, "<u4").tolist()) for s, ids in x] for x in found]
             nbest = [[{"score": s, "ids": ids} for s, ids in x] for x in found]
             yield pd.DataFrame({"id": pdf["id"], "nbest": nbest, "decoded": [m.decode(x[0][1]) for x in found]})
@@ -260,8 +356,8 @@ def segmentation_digests(df: DataFrame, model: str, n: int = 4, id_col: str = "d
         m = pieces(model)
         for pdf in batches:
             rows = []
-            for text in pdf["t"].tolist():
-                found = m.best(text, n)
+            texts = pdf["t"].tolist()
+            for text, found in zip(texts, m.best_of(texts, n)):
                 crcs = [zlib.crc32(ids) for _, ids in found]
                 again = m.decode(np.frombuffer(found[0][1], "<u4").tolist())
                 rows.append((len(found[0][1]) // 4, crcs[0], [s for s, _ in found], crcs, again == (text or "")))
