@@ -21,7 +21,9 @@ each; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,16 +43,18 @@ class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no token spans it, so a text's ids are
-    those of its blank-separated chunks; chunks met before come from a bounded
-    cache.
+    those of its blank-separated chunks.  Points and commas that end a chunk after
+    a letter are tokens of their own.  Chunks met lately come from a bounded cache
+    of two generations.
     """
 
-    def __init__(self, path: str, cached: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, cached: int = 250_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer, self._cached, self._longest = Tokenizer.from_file(path), cached, longest
         self._known: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
@@ -60,11 +64,21 @@ class Encoder:
         except KeyError:
             pass
         if len(known) > self._cached:
-            known.clear()
-            known[""] = b""
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        found = self._tokenizer.encode_batch(new, add_special_tokens=False)
-        met = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, found)}
+            self._older, self._known = known, {"": b""}
+            known = self._known
+        met, cut = {}, {}
+        for c in dict.fromkeys(chunks):
+            if c not in known:
+                if c in self._older:
+                    known[c] = self._older[c]
+                else:
+                    stem = c.rstrip(".,")
+                    cut[c] = (stem, c[len(stem) :]) if unicodedata.normalize("NFC", stem[-1:]).lower().isalpha() and "'" not in c else (c, "")
+        new = list(dict.fromkeys(p for pair in cut.values() for p in pair if p and p not in known))
+        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            met[c] = array("I", e.ids).tobytes()
+        for c, (stem, end) in cut.items():
+            met[c] = (met[stem] if stem in met else known[stem]) + ((met[end] if end in met else known[end]) if end else b"")
         known.update((c, ids) for c, ids in met.items() if len(c) <= self._longest)
         return b"".join([met[c] if c in met else known[c] for c in chunks])
 
