@@ -1,15 +1,191 @@
-"""Registered queries over the tables of a folder, with DuckDB SQL beside each."""
+"""Registered queries over the tables of a folder, with DuckDB SQL beside each.
+
+Sums and means of doubles are rounded to 4 places on both sides, since their
+last bits depend on the order of addition.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoloom.operators import series
+from chronoloom.plans.relational import RELATIONAL
+from chronoloom.sources.tables import read
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str]] = {}
+
+
+def _query(sql: str):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    e = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return e.where(F.col("event_type") == kind) if kind else e
+
+
+_R = lambda c, name: F.round(c, 4).alias(name)
+_P = "(SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase') p"
+_V = "(SELECT ts, user_id, event_id, value FROM events WHERE event_type = 'view') v"
+
+
+def _matched(spark: SparkSession, d: str, **options) -> DataFrame:
+    left = _events(spark, d, "purchase").select("event_id", "ts", "user_id")
+    right = _events(spark, d, "view")
+    out = series.asof(left, right, "ts", ["user_id"], ["event_id", "value"], **options)
+    return out.select("event_id", "user_id", F.col("right_event_id").alias("view_id"), F.col("right_value").alias("view_value"))
+
+
+_ASOF = "SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value FROM {p} ASOF LEFT JOIN {v} ON p.user_id = v.user_id AND p.ts {op} v.ts"
+
+
+@_query(_ASOF.format(p=_P, v=_V, op=">="))
+def asof_backward(spark, d):
+    return _matched(spark, d)
+
+
+@_query(_ASOF.format(p=_P, v=_V, op="<="))
+def asof_forward(spark, d):
+    return _matched(spark, d, direction="forward")
+
+
+@_query(
+    "SELECT event_id, user_id, CASE WHEN near THEN view_id END AS view_id, CASE WHEN near THEN view_value END AS view_value FROM ("
+    "SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value, p.ts - v.ts <= INTERVAL 1 HOUR AS near "
+    f"FROM {_P} ASOF LEFT JOIN {_V} ON p.user_id = v.user_id AND p.ts >= v.ts)"
+)
+def asof_tolerance(spark, d):
+    return _matched(spark, d, tolerance="1 hour")
+
+
+@_query(
+    "SELECT b.event_id, b.user_id, CASE WHEN b.t IS NOT NULL AND (f.t IS NULL OR b.ts - b.t <= f.t - b.ts) THEN b.i ELSE f.i END AS view_id, "
+    "CASE WHEN b.t IS NOT NULL AND (f.t IS NULL OR b.ts - b.t <= f.t - b.ts) THEN b.x ELSE f.x END AS view_value FROM "
+    f"(SELECT p.event_id, p.user_id, p.ts, v.ts AS t, v.event_id AS i, v.value AS x FROM {_P} ASOF LEFT JOIN {_V} ON p.user_id = v.user_id AND p.ts >= v.ts) b JOIN "
+    f"(SELECT p.event_id, v.ts AS t, v.event_id AS i, v.value AS x FROM {_P} ASOF LEFT JOIN {_V} ON p.user_id = v.user_id AND p.ts <= v.ts) f USING (event_id)"
+)
+def asof_nearest(spark, d):
+    return _matched(spark, d, direction="nearest")
+
+
+@_query(
+    "SELECT s.o_orderkey, max(t.o_orderdate) AS earlier FROM orders s LEFT JOIN orders t ON s.o_custkey = t.o_custkey AND t.o_orderdate < s.o_orderdate GROUP BY s.o_orderkey"
+)
+def asof_strict(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return series.asof(o, o, "o_orderdate", ["o_custkey"], [], allow_exact=False).select("o_orderkey", F.col("right_o_orderdate").alias("earlier"))
+
+
+@_query(
+    "SELECT user_id, time_bucket(INTERVAL 7 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+)
+def bucket_tumbling(spark, d):
+    return series.bucket(_events(spark, d), "ts", "7 minutes", ["user_id"], [F.count("*").alias("n"), _R(F.sum("value"), "total")])
+
+
+@_query(
+    "SELECT event_type, s AS bucket_start, count(*) AS n FROM (SELECT event_type, ts, unnest([time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 15 MINUTE "
+    "FOR k IN [0, 1, 2, 3]]) AS s FROM events) GROUP BY 1, 2"
+)
+def bucket_sliding(spark, d):
+    return series.bucket(_events(spark, d), "ts", "1 hour", ["event_type"], [F.count("*").alias("n")], slide="15 minutes")
+
+
+@_query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS bucket_start, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2")
+def bucket_calendar(spark, d):
+    return series.calendar_bucket(_events(spark, d), "ts", "day", ["event_type"], [F.count("*").alias("n"), _R(F.avg("value"), "mean"), F.min("value").alias("low"), F.max("value").alias("high")])
+
+
+@_query(
+    "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM ("
+    "SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"
+)
+def sessions(spark, d):
+    return series.sessions(_events(spark, d), "ts", "30 minutes", ["user_id"], [F.count("*").alias("n")])
+
+
+@_query(
+    "SELECT user_id, t AS ts, v0 AS before, v1 AS after, round(CASE WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * date_sub('microsecond', t0, t) / date_sub('microsecond', t0, t1) END, 4) AS linear FROM ("
+    "SELECT *, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, t0 + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01'), coalesce(t1 - INTERVAL 1 MICROSECOND, t0), INTERVAL 1 HOUR)) AS t "
+    "FROM (SELECT user_id, ts AS t0, value AS v0, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS t1, lead(value) OVER (PARTITION BY user_id ORDER BY ts) AS v1 FROM events))"
+)
+def interpolate_hourly(spark, d):
+    return series.interpolate(_events(spark, d), "ts", "value", "1 hour", ["user_id"]).withColumn("linear", F.round("linear", 4))
+
+
+@_query(
+    "SELECT a.event_id AS click_id, b.event_id AS error_id FROM events a JOIN events b ON b.ts BETWEEN a.ts AND a.ts + INTERVAL 5 SECOND WHERE a.event_type = 'click' AND b.event_type = 'error'"
+)
+def interval_join(spark, d):
+    a = _events(spark, d, "click").select(F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    b = _events(spark, d, "error").select(F.col("event_id").alias("error_id"), F.col("ts").alias("error_ts"))
+    return series.interval_join(a, b, "click_ts", "error_ts", "5 seconds", 5).select("click_id", "error_id")
+
+
+@_query(
+    "SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'"
+)
+def interval_join_keyed(spark, d):
+    a = _events(spark, d, "view").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("a"))
+    b = _events(spark, d, "purchase").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("b"))
+    return a.join(b, "user_id").where(F.expr("b BETWEEN a AND a + INTERVAL 1 HOUR")).select("view_id", "purchase_id")
+
+
+@_query(
+    "SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)"
+)
+def rolling_time(spark, d):
+    out = series.rolling(_events(spark, d), "ts", ["user_id"], "1 day", {"n": "count(*)", "total": "sum(value)"})
+    return out.select("event_id", "n", F.round("total", 4).alias("total"))
+
+
+@_query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS high FROM events")
+def rolling_rows(spark, d):
+    return series.rolling(_events(spark, d), "ts", ["user_id"], 4, {"high": "max(value)"}).select("event_id", "high")
+
+
+@_query(
+    "SELECT event_id, round(value - lag(value) OVER w, 4) AS change, date_sub('microsecond', lag(ts) OVER w, ts) AS elapsed_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)"
+)
+def differences(spark, d):
+    return series.delta(_events(spark, d), "ts", "value", ["user_id"]).select("event_id", _R(F.col("change"), "change"), "elapsed_us")
+
+
+@_query(
+    "SELECT user_id, bucket_start, round(a, 4) AS views, round(b, 4) AS purchases FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS bucket_start, avg(value) AS a FROM events WHERE event_type = 'view' GROUP BY 1, 2) "
+    "FULL JOIN (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS bucket_start, avg(value) AS b FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) USING (user_id, bucket_start)"
+)
+def align_daily(spark, d):
+    out = series.align({"views": _events(spark, d, "view"), "purchases": _events(spark, d, "purchase")}, "ts", "day", "value", ["user_id"])
+    return out.select("user_id", "bucket_start", _R(F.col("views"), "views"), _R(F.col("purchases"), "purchases"))
+
+
+@_query(
+    "WITH x AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, avg(value) AS a FROM events WHERE event_type = 'view' GROUP BY 1), "
+    "y AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, avg(value) AS b FROM events WHERE event_type = 'purchase' GROUP BY 1) "
+    "SELECT k::INTEGER AS lag_hours, round(corr(a, b), 4) AS corr, count(*) AS n FROM (SELECT unnest(range(-3, 4)) AS k) CROSS JOIN x JOIN y ON y.h = x.h + k * INTERVAL 1 HOUR GROUP BY k"
+)
+def cross_correlation(spark, d):
+    return series.cross_correlation(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", 3).withColumn("corr", F.round("corr", 4))
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """Spark SQL over the folder's tables, named in the text as {table}."""
+    names = [n for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events") if "{" + n + "}" in text]
+    return spark.sql(text, **{n: read(spark, d, n) for n in names})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _QUERIES.items()} | {k: sql for k, (_, sql) in RELATIONAL.items()}
