@@ -1,0 +1,418 @@
+"""The training-data operators against brute force, exact round trips and defined edge cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from chronoloom.llm import exact_dedup, graph, packing, pieces, pii, quality_rules, registry, secret_scan, sharding, simhash, site_quality, toxicity
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp string, `size` string"
+WORDS = "alpha beta gamma delta omega sigma kappa theta lambda zeta".split()
+
+
+def _text(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+
+
+def _rows():
+    long = " ".join(f"w{i}" for i in range(9000))
+    texts = [_text(1), _text(1), _text(2), "", None, "one", long, "é日本 \n\n x", _text(3), "   \t", _text(1), "The [redacted] mail a.b@c.example.org +1 (212) 555-0100"]
+    rows = [(i, t, "en", "s0", 1, "x", "y", "z") for i, t in enumerate(texts)]
+    return [*rows, rows[2], (None, _text(4), None, None, None, None, None, None), (None, _text(4), None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 1, 0), (2, 0, 1), (8, 1, None), (None, 1, 1), (8, None, 0)], "doc_id long, quality int, toxic int")
+
+
+# Exact copies.
+
+
+def test_exact_groups(docs, empty):
+    got = Counter(tuple(r) for r in exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+    groups = defaultdict(list)
+    for r in _rows():
+        groups[r[1] or ""].append(r[0])
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = Counter((r[0], best[r[1] or ""], len(groups[r[1] or ""]), r[0] == best[r[1] or ""], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in _rows())
+    assert got == want
+    assert exact_dedup.exact_groups(empty).count() == 0
+
+
+def test_exact_survivors(docs, empty):
+    left = exact_dedup.survivors(docs)
+    assert left.columns == docs.columns
+    texts = [r.text or "" for r in left.collect()]
+    assert len(texts) == len(set(texts)) == len({r[1] or "" for r in _rows()})
+    assert exact_dedup.survivors(empty).count() == 0
+
+
+def test_full_filter_changes_nothing(docs):
+    small = exact_dedup.exact_groups(docs, max_bits=1 << 16).collect()
+    assert Counter(small) == Counter(exact_dedup.exact_groups(docs).collect())
+
+
+# SimHash.
+
+
+def _brute_print(text, k=3):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _brute_components(prints, radius):
+    parent = list(range(len(prints)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i][1] ^ prints[j][1]).bit_count() <= radius:
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(prints):
+        least[root(i)] += [d] if d is not None else []
+    return Counter((d, f"{f:016x}", min(least[root(i)], default=None)) for i, (d, f) in enumerate(prints))
+
+
+def test_simhash_query(spark, docs, empty):
+    got = Counter(tuple(r) for r in simhash.fingerprint_groups(docs).collect())
+    assert got == _brute_components([(r[0], _brute_print(r[1])) for r in _rows()], 2)
+    assert simhash.fingerprint_groups(empty).count() == 0
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = Counter(tuple(r) for r in registry.op8_simhash(spark, SF).collect())
+    assert got == _brute_components([(r.doc_id, _brute_print(r.text)) for r in table.collect()], 2)
+
+
+@pytest.mark.parametrize("width,radius", [(8, 2), (8, 0), (32, 44)])
+def test_bit_sliced_blocks(width, radius):
+    rng = np.random.default_rng(width + radius)
+    blocks = []
+    for n in (2, 3, 64, 65, 150):
+        base = rng.integers(0, 256, (max(1, n // 6), width), dtype=np.uint8)
+        x = np.unpackbits(base[rng.integers(0, len(base), n)], axis=1)
+        for r in x:
+            r[rng.integers(0, width * 8, rng.integers(0, radius * 2 // 3 + 2))] ^= 1
+        blocks.append(np.packbits(x, axis=1))
+    found = simhash.block_links(blocks, radius, cells=300)
+    for k, x in enumerate(blocks):
+        bits = np.unpackbits(x, axis=1)
+        near = (bits[:, None] != bits[None]).sum(2) <= radius
+        links = [(i, j) for b, i, j in found if b == k]
+        assert all(near[i, j] for i, j in links)
+        reach = near.copy()
+        for _ in range(8):
+            reach = (reach.astype(int) @ reach.astype(int)) > 0
+        assert len(links) == len(x) - len({tuple(r) for r in reach.tolist()})
+
+
+def test_chunks_of_a_large_block_lose_no_link(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["same"] * 3 + [f"t{i // 7}"] * 400 + [rng.choice("abcd")])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = Counter(simhash.near_groups(df).select("id", "component").collect())
+    assert whole == Counter(simhash.near_groups(df, chunk=2).select("id", "component").collect())
+
+
+def test_near_survivors(spark, docs):
+    words = _text(9, 300).split()
+    near = [" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in (20, 150, 280)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join(words), *near, _text(10, 300), _text(11, 300)])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.survivors(df).collect()) == [0, 4, 5]
+    left = simhash.survivors(docs)
+    assert left.columns == docs.columns and left.where("doc_id is null").count() == 2
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.u: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+# Pseudonyms.
+
+
+def test_feistel_permutes(spark):
+    values = spark.range(36525).select(pii.feistel(F.col("id"), 75, 487, "key", "x").alias("v"))
+    assert values.distinct().count() == 36525
+    assert values.agg(F.min("v"), F.max("v")).first()[:] == (0, 36524)
+
+
+def test_pseudonyms(spark, empty):
+    text = "a.b@mail.example.com +1 (212) 555-0100 10.0.0.1 4111 1111 1111 1111 4111111111111112 2001-02-29 1999-12-31 123-45-6789 000-12-1234 1.2.3.4.5"
+    df = spark.createDataFrame([(1, text, "n"), (2, text, "n"), (3, None, "n"), (4, "", "n"), (5, "x" * 100_000 + "@", "n")], "doc_id long, text string, n_email string")
+    rows = {r.doc_id: r for r in pii.pseudonymised(df, "k").collect()}
+    assert rows[1].text == rows[2].text and rows[3].text is None and rows[4].text == "" and rows[5].text == "x" * 100_000 + "@"
+    assert [rows[1][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1, 1, 1]
+    new = rows[1].text
+    for gone in ("a.b@mail", "(212) 555-0100", "10.0.0.1", "4111 1111 1111 1111", "1999-12-31", "123-45-6789"):
+        assert gone not in new
+    for same in ("4111111111111112", "2001-02-29", "000-12-1234", "1.2.3.4.5"):
+        assert same in new
+    card = re.search(r"\d{4}( \d{4}){3}", new)[0].replace(" ", "")
+    assert sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(card)) % 10 == 0
+    assert re.search(r"[a-z]\.[a-z]@[a-z]{4}\.[a-z]{7}\.com \+1 \([2-9]\d\d\) [2-9]\d\d-\d{4} ", new)
+    assert pii.pseudonymised(df, "other").where("doc_id = 1").first().text != new
+    assert pii.pseudonymised(empty, "k").count() == 0
+
+
+def _py_feistel(value, a, b, key, tag):
+    left, right = divmod(value, b)
+    for i in range(pii.ROUNDS):
+        f = lambda x: int(hashlib.sha256(f"{key}|{tag}|{i}|{x}".encode()).hexdigest()[:15], 16)
+        if i % 2 == 0:
+            left = (left + f(right) % a) % a
+        else:
+            right = (right + f(left) % b) % b
+    return left * b + right
+
+
+def test_addresses_by_brute_force(spark):
+    rng = random.Random(8)
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)]
+    df = spark.createDataFrame([(i, f"at {x}, end") for i, x in enumerate(ips)], "doc_id long, text string")
+    for r in pii.pseudonymised(df, "k").collect():
+        value = int.from_bytes(bytes(map(int, ips[r.doc_id].split("."))), "big")
+        assert r.text == "at " + ".".join(map(str, _py_feistel(value, 65536, 65536, "k", "ip").to_bytes(4, "big"))) + ", end"
+
+
+# Quality.
+
+
+def test_rule_counts_by_brute_force(spark, docs, labels, empty):
+    out = registry.op3_quality_rules(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in out:
+        t = texts[r.doc_id] or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]", t) if x]
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        again = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        dup = sum(x in lines[:i] for i, x in enumerate(lines))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(again))
+        assert r.base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w)) and not (r.base_failed and r.kept)
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = [r.kept for r in out if known.get(r.doc_id) == 1 and not r.base_failed]
+    assert sum(good) >= 0.99 * len(good)
+    assert quality_rules.judged(docs, labels).count() == docs.count()
+    assert quality_rules.judged(empty, labels).count() == 0
+    left = quality_rules.survivors(docs, labels)
+    assert left.columns == docs.columns and left.where("text is null or text = 'one'").count() == 0
+
+
+def test_isolation_forest_finds_the_odd_rows():
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(0, 1, (500, 3)), rng.normal(9, 1, (5, 3))])
+    score = quality_rules.grow(x, 100, 64).score(x)
+    assert score[500:].min() > np.quantile(score[:500], 0.98)
+    assert quality_rules.best_threshold({1: 10}, {}, 10, 0.01) > 1
+
+
+def test_site_quality(spark, docs, labels, empty):
+    rows = site_quality.posteriors(docs, labels, F.col("source"), F.col("lang"))
+    assert rows.count() == docs.count() and rows.where("score is null or score < 0 or score > 1").count() == 0
+    assert site_quality.posteriors(empty, labels, F.col("source"), F.col("lang")).count() == 0
+    out = registry.op5_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    assert out.where("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.97
+    # A sparse group stays near the whole, a large one keeps its own rate.
+    many = spark.createDataFrame([(i, _text(i), "big" if i < 300 else "small") for i in range(302)], "doc_id long, text string, source string")
+    marks = spark.createDataFrame([(i, int(i >= 300 or i % 2)) for i in range(302)], "doc_id long, quality int")
+    rate = {r.source: r.path_rate for r in site_quality.posteriors(many, marks, F.col("source"), F.lit("p")).join(many, "doc_id").collect()}
+    assert abs(rate["big"] - 0.5) < 0.05 and rate["small"] < 0.9
+
+
+# Toxicity.
+
+
+def test_toxicity(spark, docs, labels, empty):
+    out = registry.op1_toxicity(spark, SF).collect()
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+    scores = toxicity.scored(docs, labels)
+    assert scores.count() == docs.count() and scores.where("score is null").count() == 0
+    assert toxicity.scored(empty, labels).count() == 0
+    assert toxicity.scored(docs, labels.limit(0)).where("score > 0.051").count() == 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    seen = registry.op1_toxicity(spark, sf).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    rank, bad = seen["score"].rank(), seen["toxic"] == 1
+    auc = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
+    assert auc > 0.97 and seen.loc[~bad, "predicted"].mean() < 0.01
+
+
+# Secrets.
+
+
+def test_secret_spans(spark, docs, empty):
+    text = 'x PASSWORD: "abcdefg" token=abc AKIA' + "A1" * 9 + " " + "0f" * 20 + " Zk9vQ2xT7wLp3XbN8rYd d3b07384-d9a0-4c9b-8f4e-0123456789ab release-2024-notes-final"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in secret_scan.scanned(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    kinds = [s.split(":")[0] for s in rows[1].spans.split(",")]
+    assert kinds == ["assign", "access", "hex", "opaque"]
+    assert [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in rows[1].spans.split(","))][3] == "Zk9vQ2xT7wLp3XbN8rYd"
+    assert rows[2].spans == "" and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    scan = lambda d: secret_scan.scanned(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert scan(docs).count() == docs.count() and scan(empty).count() == 0
+
+
+# Packing.
+
+
+def test_plan_places_every_rank_once():
+    rng = random.Random(6)
+    for capacity, n in ((10, 200), (64, 3000), (2048, 5000)):
+        lengths = Counter(min(capacity, max(1, int(rng.paretovariate(0.7)))) if rng.random() < 0.7 else rng.randint(1, capacity) for _ in range(n))
+        segments = packing.plan(dict(lengths), capacity)
+        bins = defaultdict(list)
+        for (length, first, first_bin, each, place), after in zip(segments, [*segments[1:], None]):
+            last = after[1] if after and after[0] == length else lengths[length]
+            for r in range(first, last):
+                bins[first_bin + (r - first) // each].append((place + (r - first) % each * length, length))
+        assert sum(map(len, bins.values())) == n
+        for items in bins.values():
+            end = 0
+            for offset, length in sorted(items):
+                assert offset == end
+                end += length
+            assert end <= capacity
+            assert sum(3 * length > capacity for _, length in items) <= 2
+        assert len(bins) <= 1.03 * math.ceil(sum(k * c for k, c in lengths.items()) / capacity) + sum(c for k, c in lengths.items() if 2 * k > capacity)
+
+
+def test_packing(spark, docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack(docs, path).collect()
+    whole = packing.encoder(path)._tokenizer
+    seqs, by_doc = defaultdict(list), defaultdict(list)
+    for r in rows:
+        seqs[r.sequence_id].append((r.offset, r.length))
+        by_doc[r.doc_id].append(r)
+    for items in seqs.values():
+        end = 0
+        for offset, length in sorted(items):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    for key, text, *_ in _rows():
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 0]
+        want = {(p, p * 2048, len(ids[p * 2048 : (p + 1) * 2048]), zlib.crc32(np.array(ids[p * 2048 : (p + 1) * 2048], "<u4").tobytes())) for p in range(-(-len(ids) // 2048))}
+        assert {(r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[key]} == want
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), cached=40)
+    parts = ["a", "The", "don't", "'s", ".", " ", ",", "\n", "é", "İ", "ΑΣ", "日本", "12", "\t", " ", "<|endoftext|>", "≠", "\x1c", "\r\n", "🙂", "क़", "́"]
+    rng = random.Random(2)
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert encode.encode(text) == np.array(encode._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+# Sharding.
+
+
+def test_sharding(spark, docs, empty, tmp_path):
+    rows = sharding.shuffled(docs, bucket_rows=2).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in _rows())
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 16) and 0 <= r.shard < 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({(r.doc_id, r.shard) for r in rows}) == len({r.doc_id for r in rows})
+    assert sharding.shuffled(empty).count() == 0
+    out = registry.op9_sharding(spark, SF).orderBy("shard", "slot").select("doc_id").toPandas()["doc_id"]
+    assert not out.is_monotonic_increasing
+    sharding.write_shards(docs, str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).drop("_shard", "_slot").count() == docs.count()
+
+
+# Pieces.
+
+
+def test_nbest_by_brute_force():
+    m = pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "th", "e", " ", "  ", "é", "日", ".", "\n"]) for _ in range(rng.randint(1, 6)))
+        full = "▁" + text.replace(" ", "▁")
+        ends = m._edges(full)
+        scores = []
+
+        def walk(at, score):
+            if not at:
+                scores.append(score)
+            for s, x in ends[at]:
+                walk(s, score + x)
+
+        walk(len(full), 0.0)
+        found = m.best(text, 4)
+        assert [s for s, _ in found] == sorted(scores, reverse=True)[:4]
+        assert len({ids for _, ids in found}) == len(found)
+        assert m.decode(np.frombuffer(found[0][1], "<u4").tolist()) == text
+
+
+def test_segmentation_round_trip(spark, docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.segmentation_digests(docs, path)
+    assert out.count() == docs.count() and out.where("not round_trip").count() == 0
+    both = pieces.segmented(docs, path, n=2).where("doc_id = 7").first()
+    assert both.decoded == _rows()[7][1] and both.nbest[0].score >= both.nbest[1].score
+    assert pieces.segmentation_digests(empty, path).count() == 0
+
+
+# Pipeline.
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.count(), stage(spark, docs, SF)
+        assert docs.columns == columns and 0 < docs.count() <= before, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+    assert corpus_pipeline.run(spark, SF).count() == packed.count()
