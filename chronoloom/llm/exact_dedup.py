@@ -62,9 +62,13 @@ def _probed(rows: DataFrame, bits: int, bitmaps: DataFrame) -> DataFrame:
 
 
 def _groups(again: DataFrame) -> DataFrame:
-    """Per text: the largest id and the number of rows; hot texts shrink before each shuffle."""
+    """Per text: the largest id and the number of rows; hot texts shrink before each shuffle.
+
+    Kept durably, so that a join with it has its own exchange on both sides and
+    adaptive execution can split a hot text.
+    """
     by_id = again.groupBy("sha", "id").agg(F.count("*").alias("n"))
-    return by_id.groupBy("sha").agg(F.max("id").alias("keep"), F.sum("n").alias("n"))
+    return durable(by_id.groupBy("sha").agg(F.max("id").alias("keep"), F.sum("n").alias("n")))
 
 
 def exact_groups(
