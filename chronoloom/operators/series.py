@@ -19,6 +19,15 @@ def micros(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later)
 
 
+def _since_epoch(c: Column) -> Column:
+    return micros(c, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def _length(interval: str) -> Column:
+    """Microseconds of an interval given as SQL text."""
+    return _since_epoch(F.lit("1970-01-01").cast("timestamp_ntz") + F.expr(f"INTERVAL {interval}"))
+
+
 def bucket(df: DataFrame, time: str, every: str, by: list[str], aggs: list[Column], slide: str | None = None) -> DataFrame:
     """Aggregates per key and window [start, end); windows count from the epoch, calendar units are not windows."""
     w = F.window(time, every, slide) if slide else F.window(time, every)
@@ -37,6 +46,21 @@ def sessions(df: DataFrame, time: str, gap: str | Column, by: list[str], aggs: l
     return out.select(*by, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), *[c for c in out.columns if c not in (*by, "_w")])
 
 
+def grid(df: DataFrame, time: str, every: str, by: list[str]) -> DataFrame:
+    """Regular times of each key, multiples of ``every`` since the epoch, from its first to its last row."""
+    ends = df.where(F.col(time).isNotNull()).groupBy(*by).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
+    first = F.timestamp_add("MICROSECOND", F.pmod(-_since_epoch(F.col("_a")), _length(every)), F.col("_a"))
+    ends = ends.withColumn("_a", first).where("_a <= _b")
+    return ends.select(*by, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {every}"))).alias(time))
+
+
+def fill(df: DataFrame, time: str, value: str, by: list[str], method: str = "forward", tie: list[str] | None = None) -> DataFrame:
+    """``df`` with nulls of ``value`` replaced by the last value before (``forward``) or the next after (``backward``)."""
+    order = [F.col(c).desc() if method == "backward" else F.col(c).asc() for c in (time, *(tie or []))]
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+
+
 def interpolate(df: DataFrame, time: str, value: str, every: str, by: list[str]) -> DataFrame:
     """Regular times of each series with the value before, the value after and the linear value between.
 
@@ -46,9 +70,7 @@ def interpolate(df: DataFrame, time: str, value: str, every: str, by: list[str])
     w = Window.partitionBy(*by).orderBy("t0")
     spans = anchors.select(*by, "t0", "v0", F.lead("t0").over(w).alias("t1"), F.lead("v0").over(w).alias("v1"))
     step = F.expr(f"INTERVAL {every}")
-    size = micros(F.lit("1970-01-01").cast("timestamp_ntz") + step, F.lit("1970-01-01").cast("timestamp_ntz"))
-    since = micros(F.col("t0"), F.lit("1970-01-01").cast("timestamp_ntz"))
-    first = F.timestamp_add("MICROSECOND", F.pmod(-since, size), F.col("t0"))
+    first = F.timestamp_add("MICROSECOND", F.pmod(-_since_epoch(F.col("t0")), _length(every)), F.col("t0"))
     last = F.coalesce(F.timestamp_add("MICROSECOND", F.lit(-1), F.col("t1")), F.col("t0"))
     grid = F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<timestamp_ntz>"))
     points = spans.select(*by, "t0", "v0", "t1", "v1", F.explode(grid).alias("t"))
@@ -67,19 +89,24 @@ def asof(
     tolerance: str | None = None,
     allow_exact: bool = True,
     tie: list[str] | None = None,
+    every: str | None = None,
 ) -> DataFrame:
     """``left`` with ``right_<time>`` and ``right_<value>`` of its match, null without one.
 
     Both sides go through one window on the key; no join.  Of right rows at one
     time the last by ``tie`` (then by its values) matches.  Null keys or times
     match nothing.  ``nearest`` takes the earlier of two equally near matches.
+
+    With ``every``, the window is on the key and that stretch of time, so a key
+    with a huge history spreads over as many tasks as it has stretches; what a
+    stretch carries over from those before it comes from one row a stretch.
     """
     if direction == "nearest":
         names = left.columns
-        back = asof(left, right, time, by, values, "backward", tolerance, allow_exact, tie)
+        back = asof(left, right, time, by, values, "backward", tolerance, allow_exact, tie, every)
         mine, other = F.struct(*[F.col(f"right_{c}") for c in (time, *values)]).alias("_b"), [f"right_{c}" for c in (time, *values)]
         held = back.select(*names, mine)
-        ahead = asof(held, right, time, by, values, "forward", tolerance, allow_exact, tie)
+        ahead = asof(held, right, time, by, values, "forward", tolerance, allow_exact, tie, every)
         before, after = F.col(f"_b.right_{time}"), F.col(f"right_{time}")
         first = before.isNotNull() & (after.isNull() | (micros(F.col(time), before) <= micros(after, F.col(time))))
         return ahead.select(*names, *[F.when(first, F.col(f"_b.{c}")).otherwise(F.col(c)).alias(c) for c in other])
@@ -95,22 +122,34 @@ def asof(
     side = F.when(F.col("_m").isNotNull(), 0 if allow_exact else 1).otherwise(1 if allow_exact else 0)
     ahead = direction == "forward"
     order = [F.col("_t").desc() if ahead else F.col("_t").asc(), side, F.col("_m").asc()]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("_f", F.last("_m", ignorenulls=True).over(w)).where("_l is not null")
+    rows, parts = a.unionByName(b), list(by)
+    if every:
+        rows, parts = rows.withColumn("_s", F.floor(_since_epoch(F.col("_t")) / _length(every))), [*by, "_s"]
+    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_f", F.last("_m", ignorenulls=True).over(w)).where("_l is not null")
+    if every:
+        found = found.join(_carried(rows, by, ahead), parts, "left").withColumn("_f", F.coalesce("_f", "_c"))
     fits = keyed & F.col("_t").isNotNull()
     if tolerance:
-        limit = micros(F.lit("1970-01-01").cast("timestamp_ntz") + F.expr(f"INTERVAL {tolerance}"), F.lit("1970-01-01").cast("timestamp_ntz"))
-        fits &= F.abs(micros(F.col("_t"), F.col(f"_f.{time}"))) <= limit
+        fits &= F.abs(micros(F.col("_t"), F.col(f"_f.{time}"))) <= _length(tolerance)
     return found.select("_l.*", *[F.when(fits, F.col(f"_f.{c}")).alias(f"right_{c}") for c in (time, *values)])
 
 
+def _carried(rows: DataFrame, by: list[str], ahead: bool) -> DataFrame:
+    """Per key and stretch the match ``_c`` that the stretches before it (after it, if ``ahead``) leave."""
+    sign = -1 if ahead else 1
+    edge = F.max(F.when(F.col("_m").isNotNull(), F.struct((sign * _since_epoch(F.col("_t"))).alias("t"), "_m")))
+    w = Window.partitionBy(*by).orderBy(F.col("_s") * sign).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy(*by, "_s").agg(edge.alias("_e")).select(*by, "_s", F.last("_e._m", ignorenulls=True).over(w).alias("_c"))
+
+
 def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, width: str, seconds: int) -> DataFrame:
     """Pairs with right time in [left time, left time + width]; no key.
 
     Both sides are dealt to bins of the width (``seconds``), the left to the two
     its interval can meet, so the join is an equi-join on the bin.
     """
-    bin_of = lambda t: F.floor(micros(t, F.lit("1970-01-01").cast("timestamp_ntz")) / (seconds * 1_000_000))
+    bin_of = lambda t: F.floor(_since_epoch(t) / (seconds * 1_000_000))
     a = left.select("*", F.explode(F.array(bin_of(F.col(left_time)), bin_of(F.col(left_time)) + 1)).alias("_bin"))
     b = right.withColumn("_bin", bin_of(F.col(right_time)))
     near = F.col(right_time).between(F.col(left_time), F.col(left_time) + F.expr(f"INTERVAL {width}"))
@@ -147,3 +186,35 @@ def cross_correlation(x: DataFrame, y: DataFrame, time: str, value: str, max_lag
     moved = hourly(y, "b").select(lags, "bucket_start", "b").withColumn("bucket_start", F.timestamp_add("HOUR", -F.col("lag_hours"), F.col("bucket_start")))
     both = hourly(x, "a").join(moved, "bucket_start")
     return both.groupBy("lag_hours").agg(F.corr("a", "b").alias("corr"), F.count("*").alias("n"))
+
+
+def clock_offset(x: DataFrame, y: DataFrame, time: str, value: str, max_lag: int) -> DataFrame:
+    """``lag_hours, corr``: the lag at which y follows x best; of equal correlations the smallest lag."""
+    found = cross_correlation(x, y, time, value, max_lag).where("corr is not null")
+    best = F.max(F.struct("corr", (-F.col("lag_hours")).alias("l")))
+    return found.agg(best.alias("b")).where("b is not null").select((-F.col("b.l")).alias("lag_hours"), F.col("b.corr").alias("corr"))
+
+
+def dtw(x: DataFrame, y: DataFrame, time: str, value: str, unit: str, by: list[str]) -> DataFrame:
+    """Dynamic time warping distance per key of the means per calendar ``unit``, the cost being the absolute difference.
+
+    A series is packed into one array of its means, so the unit bounds its length
+    whatever the number of rows.  Keys missing on one side, and means that are
+    null, are left out.
+    """
+
+    def points(df: DataFrame, name: str) -> DataFrame:
+        means = calendar_bucket(df, time, unit, by, [F.avg(value).alias("v")]).where("v is not null and bucket_start is not null")
+        ordered = F.array_sort(F.collect_list(F.struct("bucket_start", "v")))
+        return means.groupBy(*by).agg(F.transform(ordered, lambda p: p["v"]).alias(name))
+
+    far = F.lit(float("inf"))
+    ys = F.col("_y")
+
+    def next_row(before: Column, a: Column) -> Column:
+        cell = lambda row, j: F.abs(a - F.element_at(ys, j)) + F.least(F.element_at(row, j), F.element_at(before, j + 1), F.element_at(before, j))
+        return F.aggregate(F.sequence(F.lit(1), F.size(ys)), F.array(far), lambda row, j: F.concat(row, F.array(cell(row, j))))
+
+    first = F.concat(F.array(F.lit(0.0)), F.array_repeat(far, F.size(ys)))
+    last = F.aggregate("_x", first, next_row, lambda row: F.element_at(row, -1))
+    return points(x, "_x").join(points(y, "_y"), by).select(*by, last.alias("distance"))

@@ -177,6 +177,66 @@ def cross_correlation(spark, d):
     return series.cross_correlation(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", 3).withColumn("corr", F.round("corr", 4))
 
 
+@_query(_ASOF.format(p=_P, v=_V, op=">="))
+def asof_backward_stretches(spark, d):
+    return _matched(spark, d, every="5 days")
+
+
+@_query(_ASOF.format(p=_P, v=_V, op="<="))
+def asof_forward_stretches(spark, d):
+    return _matched(spark, d, direction="forward", every="5 days")
+
+
+@_query(
+    "SELECT user_id, min(ts) AS session_start, max(e) AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM ("
+    "SELECT *, CASE WHEN ts < max(e) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh "
+    "FROM (SELECT *, ts + CASE WHEN event_type = 'purchase' THEN INTERVAL 6 HOUR ELSE INTERVAL 1 HOUR END AS e FROM events))) GROUP BY user_id, s"
+)
+def sessions_by_row(spark, d):
+    gap = F.when(F.col("event_type") == "purchase", "6 hours").otherwise("1 hour")
+    return series.sessions(_events(spark, d), "ts", gap, ["user_id"], [F.count("*").alias("n")])
+
+
+@_query(
+    "SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, a + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01'), b, INTERVAL 1 HOUR)) AS ts "
+    "FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id)"
+)
+def grid_hourly(spark, d):
+    return series.grid(_events(spark, d), "ts", "1 hour", ["user_id"])
+
+
+_GAPS = "SELECT event_id, last_value({v} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts {o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events"
+
+
+def _gappy(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).withColumn("value", F.when(F.col("event_type") == "view", F.col("value")))
+
+
+@_query(_GAPS.format(v="CASE WHEN event_type = 'view' THEN value END", o=""))
+def fill_forward(spark, d):
+    return series.fill(_gappy(spark, d), "ts", "value", ["user_id"]).select("event_id", "value")
+
+
+@_query(_GAPS.format(v="CASE WHEN event_type = 'view' THEN value END", o="DESC"))
+def fill_backward(spark, d):
+    return series.fill(_gappy(spark, d), "ts", "value", ["user_id"], "backward").select("event_id", "value")
+
+
+@_query(
+    "WITH x AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, avg(value) AS a FROM events WHERE event_type = 'view' GROUP BY 1), "
+    "y AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, avg(value) AS b FROM events WHERE event_type = 'purchase' GROUP BY 1) "
+    "SELECT arg_max(k, r)::INTEGER AS lag_hours, round(max(r), 4) AS corr FROM ("
+    "SELECT k, corr(a, b) AS r FROM (SELECT unnest(range(-3, 4)) AS k) CROSS JOIN x JOIN y ON y.h = x.h + k * INTERVAL 1 HOUR GROUP BY k)"
+)
+def clock_offset(spark, d):
+    return series.clock_offset(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", 3).withColumn("corr", F.round("corr", 4))
+
+
+@_query("")
+def dtw_daily(spark, d):
+    return series.dtw(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", "day", ["user_id"])
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()}
 
@@ -188,4 +248,4 @@ def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _QUERIES.items()} | {k: sql for k, (_, sql) in RELATIONAL.items()}
+    return {k: sql for k, (_, sql) in _QUERIES.items() if sql} | {k: sql for k, (_, sql) in RELATIONAL.items()}

@@ -50,4 +50,53 @@ RELATIONAL: dict[str, tuple[str, str]] = {
         "SELECT * FROM (SELECT user_id, event_type, value FROM {events}) PIVOT (count(value) FOR event_type IN ('click' AS click, 'view' AS view))",
         "SELECT user_id, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS click, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS view FROM events GROUP BY user_id",
     ),
+    "join_right": _same("SELECT o_orderkey, c_custkey FROM {orders} RIGHT JOIN {customer} ON o_custkey = c_custkey AND o_totalprice > 200000"),
+    "join_cross": _same("SELECT r_name, n_name FROM {region} CROSS JOIN {nation}"),
+    "lateral_top": _same(
+        "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t"
+    ),
+    "grouping_sets": _same("SELECT event_type, user_id, count(*) AS n FROM {events} GROUP BY GROUPING SETS ((event_type), (user_id), ())"),
+    "union_all": _same("SELECT user_id AS k FROM {events} UNION ALL SELECT o_custkey FROM {orders}"),
+    "except_all": _same("SELECT user_id AS k FROM {events} EXCEPT ALL SELECT o_custkey FROM {orders}"),
+    "aggregates": _same(
+        "SELECT l_returnflag, max_by(l_orderkey, l_extendedprice) AS dearest, round(covar_pop(l_quantity, l_discount), 4) AS cv, round(var_pop(l_quantity), 4) AS vp, "
+        "bool_or(l_tax > 0.07) AS taxed, min(l_shipdate) AS first_day FROM {lineitem} GROUP BY l_returnflag"
+    ),
+    "percentiles": (
+        "SELECT event_type, round(percentile(value, 0.25), 4) AS q1, round(median(value), 4) AS q2 FROM {events} GROUP BY event_type",
+        "SELECT event_type, round(quantile_cont(value, 0.25), 4) AS q1, round(median(value), 4) AS q2 FROM events GROUP BY event_type",
+    ),
+    "value_windows": _same(
+        "SELECT event_id, lead(event_id, 2) OVER w AS second_next, first_value(event_id) OVER w AS first_id, nth_value(event_id, 3) OVER w AS third_id, round(percent_rank() OVER w, 6) AS pr, "
+        "round(cume_dist() OVER w, 6) AS cd FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts)"
+    ),
+    "unpivot": _same("SELECT o_orderkey, measure, amount FROM (SELECT o_orderkey, o_totalprice AS price, o_totalprice / 2 AS half FROM {orders}) UNPIVOT (amount FOR measure IN (price, half))"),
+    "predicates": _same(
+        "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size BETWEEN 10 AND 30 THEN 'medium' ELSE 'large' END AS class FROM {part} WHERE p_brand LIKE 'Brand%' AND p_type IS NOT NULL AND p_size IN (5, 15, 25, 35)"
+    ),
+    "math": (
+        "SELECT o_orderkey, round(sqrt(o_totalprice), 4) AS root, round(ln(o_totalprice), 6) AS log, o_orderkey % 7 AS rest, CAST(floor(o_totalprice) AS BIGINT) AS low, o_orderkey div 7 AS part, "
+        "width_bucket(o_totalprice, 0, 500000, 10) AS bin FROM {orders}",
+        "SELECT o_orderkey, round(sqrt(o_totalprice), 4) AS root, round(ln(o_totalprice), 6) AS log, o_orderkey % 7 AS rest, CAST(floor(o_totalprice) AS BIGINT) AS low, o_orderkey // 7 AS part, "
+        "CAST(least(greatest(floor(o_totalprice / 50000) + 1, 0), 11) AS BIGINT) AS bin FROM orders",
+    ),
+    "dates": (
+        "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(QUARTER FROM o_orderdate) AS BIGINT) AS q, CAST(dayofweek(o_orderdate) - 1 AS BIGINT) AS dow, "
+        "o_orderdate + INTERVAL 1 MONTH AS next_month FROM {orders}",
+        "SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, dayofweek(o_orderdate) AS dow, o_orderdate + INTERVAL 1 MONTH AS next_month FROM orders",
+    ),
+    "arrays": (
+        "SELECT o_custkey, array_join(slice(k, 1, 3), ',') AS head, aggregate(transform(k, x -> x % 10), 0L, (s, x) -> s + x) AS digits FROM "
+        "(SELECT o_custkey, sort_array(collect_list(o_orderkey)) AS k FROM {orders} GROUP BY o_custkey)",
+        "SELECT o_custkey, array_to_string(k[1:3], ',') AS head, CAST(list_sum(list_transform(k, lambda x: x % 10)) AS BIGINT) AS digits FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS k FROM orders GROUP BY o_custkey)",
+    ),
+    "maps": (
+        "SELECT user_id, m['click'] AS clicks, m['view'] AS views FROM (SELECT user_id, map_from_entries(collect_list(struct(event_type, 2 * n))) AS m FROM "
+        "(SELECT user_id, event_type, count(*) AS n FROM {events} GROUP BY user_id, event_type) GROUP BY user_id)",
+        "SELECT user_id, nullif(2 * count(*) FILTER (WHERE event_type = 'click'), 0) AS clicks, nullif(2 * count(*) FILTER (WHERE event_type = 'view'), 0) AS views FROM events GROUP BY user_id",
+    ),
+    "recursion": (
+        "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t",
+        "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t",
+    ),
 }

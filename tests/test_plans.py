@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.operators import series
 from chronoloom.plans import registry
@@ -15,7 +16,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["asof_backward", "asof_forward", "asof_nearest", "interval_join", "interval_join_keyed", "interpolate_hourly", "sessions", "rolling_time"])
+@pytest.mark.parametrize("name", ["asof_backward", "asof_forward", "asof_nearest", "asof_backward_stretches", "dtw_daily", "interval_join", "interval_join_keyed", "interpolate_hourly", "sessions", "rolling_time"])
 def test_no_nested_loop_and_no_python(spark, name):
     plan = _plan(registry.queries()[name](spark, SF))
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
@@ -45,6 +46,43 @@ def test_asof_ties_nulls_and_tolerance(spark):
     assert series.asof(left.limit(0), right, "ts", ["k"], ["v"]).count() == 0
 
 
+def test_asof_stretches_change_nothing(spark):
+    left, right = _sides(spark)
+    for o in ({}, {"allow_exact": False}, {"direction": "forward"}, {"direction": "nearest"}, {"tolerance": "5 seconds"}):
+        run = lambda **e: sorted(map(repr, series.asof(left, right, "ts", ["k"], ["v"], tie=["seq"], **o, **e).collect()))
+        assert run() == run(every="2 seconds") == run(every="7 seconds")
+
+
+def test_fill_and_grid(spark):
+    df = spark.createDataFrame([("a", AT(0), 1, None), ("a", AT(1800), 2, 5.0), ("a", AT(3600), 3, None), ("b", AT(10), 4, None), ("b", None, 5, None)], "k string, ts timestamp_ntz, id int, v double")
+    values = lambda m: {r.id: r.v for r in series.fill(df, "ts", "v", ["k"], m).collect()}
+    assert values("forward") == {1: None, 2: 5.0, 3: 5.0, 4: None, 5: None}
+    assert values("backward") == {1: 5.0, 2: 5.0, 3: None, 4: None, 5: None}
+    assert {(r.k, r.ts) for r in series.grid(df, "ts", "1 hour", ["k"]).collect()} == {("a", AT(0)), ("a", AT(3600))}
+
+
+def test_dtw_by_brute_force(spark):
+    events = registry._events(spark, SF)
+    x, y = (events.where(f"event_type = '{t}'") for t in ("view", "purchase"))
+
+    def means(df):
+        out = {}
+        for r in series.calendar_bucket(df, "ts", "day", ["user_id"], [F.avg("value").alias("v")]).orderBy("bucket_start").collect():
+            out.setdefault(r.user_id, []).append(r.v)
+        return out
+
+    def distance(a, b):
+        d = {(0, 0): 0.0}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = abs(a[i - 1] - b[j - 1]) + min(d.get(p, float("inf")) for p in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
+        return d[len(a), len(b)]
+
+    a, b = means(x), means(y)
+    got = {r.user_id: r.distance for r in registry.queries()["dtw_daily"](spark, SF).collect()}
+    assert set(got) == set(a) & set(b) and all(got[k] == pytest.approx(distance(a[k], b[k])) for k in got)
+
+
 def test_interpolation_meets_its_anchors(spark):
     df = spark.createDataFrame([("a", AT(0), 0.0), ("a", AT(7200), 20.0), ("a", AT(5000), None)], "k string, ts timestamp_ntz, v double")
     rows = {r.ts: r.linear for r in series.interpolate(df, "ts", "v", "1 hour", ["k"]).collect()}
