@@ -1,7 +1,7 @@
 """SimHash near-duplicates by bit-sliced comparison of blocks.
 
 1. ``fingerprints``: each text's word shingles are hashed with XXH64 (seed 42)
-   and vote on the bits of a fingerprint (64 bits, or 256 by remixing each hash).
+   and vote on the bits of a fingerprint (64 bits, or more by remixing each hash).
 2. Blocking keys.  For a small radius the 64 bits are cut into radius + 3 bands;
    two fingerprints within the radius agree on at least three whole bands, so
    one key for each choice of three bands finds every such pair (``band_keys``).
@@ -157,7 +157,7 @@ def within(planes: np.ndarray, flips: np.ndarray, query: np.ndarray, word: np.nd
     return live, ~(beyond | _greater(counter, radius))
 
 
-def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 18) -> list[tuple[int, int, int]]:
+def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 15) -> list[tuple[int, int, int]]:
     """(block, i, j): a spanning forest of each block's rows that lie within ``radius`` bits.
 
     All blocks are compared together; each begins at a word of its own.
@@ -174,6 +174,7 @@ def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 18) ->
     lane = first[owner] * 64 + row
     flips = np.where(np.unpackbits(lanes[lane], axis=1).T.astype(bool), ~_U(0), _U(0))
     parent = list(range(len(lanes)))
+    group = np.arange(len(lanes))  # each lane's root after the last step
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -194,21 +195,25 @@ def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 18) ->
         hits, bit = np.nonzero(np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         other, mine = word[hits] * 64 + bit, lane[query[hits]]
         real = (other > mine) & (other < (first[owner] * 64 + sizes[owner])[query[hits]])
+        real &= group[mine] != group[other]
+        before = len(found)
         for x, y, k in zip(mine[real].tolist(), other[real].tolist(), owner[query[hits][real]].tolist()):
             a, b = root(x), root(y)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 found.append((k, x - 64 * int(first[k]), y - 64 * int(first[k])))
+        if len(found) > before:
+            group = np.array([root(x) for x in range(len(parent))])
         at = to
     return found
 
 
-def _compared(batches: Iterator[pd.DataFrame], radius: int, lanes: int = 1 << 15) -> Iterator[pd.DataFrame]:
-    """Links of each run of equal ``key, ci, cj``; the rows come sorted by these."""
+def _compared(batches: Iterator[pd.DataFrame], radius: int, lane_bits: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """Links of each run of equal ``key, ci, cj``; the rows come sorted by these.  About ``lane_bits`` of fingerprints are compared at a time."""
     run: list[bytes] = []
     at: tuple | None = None
     blocks: list[list[bytes]] = []
-    held = 0
+    held = 0  # bits
 
     def compare() -> pd.DataFrame:
         out = []
@@ -222,9 +227,9 @@ def _compared(batches: Iterator[pd.DataFrame], radius: int, lanes: int = 1 << 15
             if at != (key, ci, cj):
                 if len(run) > 1:
                     blocks.append(run)
-                    held += -(-len(run) // 64) * 64
+                    held += -(-len(run) // 64) * 64 * 8 * len(run[0])
                 run, at = [], (key, ci, cj)
-                if held >= lanes:
+                if held >= lane_bits:
                     yield compare()
                     blocks.clear()
                     held = 0
@@ -235,10 +240,16 @@ def _compared(batches: Iterator[pd.DataFrame], radius: int, lanes: int = 1 << 15
 
 
 def links(prints: DataFrame, radius: int, chunk: int = 4096) -> DataFrame:
-    """``u, v``: fingerprints within ``radius`` that share a key, as spanning forests of blocks."""
-    keyed = prints.select("fp", "keys").distinct().select("fp", F.explode("keys").alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    """``u, v``: fingerprints within ``radius`` that share a key, as spanning forests of blocks.
+
+    Keys are met on a hash of the fingerprint; only where a key is shared does
+    the fingerprint itself travel.  Equal hashes would only add rows to compare.
+    """
+    f = F.xxhash64("fp").alias("f")
+    keyed = prints.select(f, F.explode("keys").alias("key")).distinct()
+    sizes = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     blocks = keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    blocks = blocks.join(prints.select(f, "fp").distinct(), "f")
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("mine", j).alias("ci"), F.greatest("mine", j).alias("cj")))
     dealt = blocks.withColumn("mine", mine).select("key", "fp", F.explode(pairs).alias("c")).select("key", "c.ci", "c.cj", "fp")
@@ -278,19 +289,20 @@ def survivors(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    bits: int = 256,
-    radius: int = 44,
+    bits: int = 1024,
+    radius: int = 172,
     bands: int = 20,
     rows: int = 4,
+    chunk: int = 2048,
 ) -> DataFrame:
     """The rows of ``df`` that stay: of each near-duplicate group the one with the smallest id.
 
-    Five-word shingles and 256 bits.  A similarity (Jaccard) of 0.8 means an
-    expected distance of 39 bits, so a radius of 44 links pairs from there on;
-    20 bands of 4 min-hashes put such a pair in one block with a chance of 0.9999.
+    Five-word shingles and 1024 bits.  A similarity (Jaccard) of 0.8 means an
+    expected distance of 155 bits (deviation 11.5), one of 0.7 of 196 bits, so a
+    radius of 172 parts them; 20 bands of 4 min-hashes put such a pair in one block with a chance of 0.9999.
     Rows with a null id have no identity to be compared by and stay.
     """
-    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows)
+    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk)
     gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
     kept = packed(df, id=F.col(id_col))
     return kept.join(gone, F.col("id") == F.col("gone"), "left_anti").select("_row.*")

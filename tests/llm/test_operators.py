@@ -112,7 +112,7 @@ def test_simhash_query(spark, docs, empty):
     assert got == _brute_components([(r.doc_id, _brute_print(r.text)) for r in table.collect()], 2)
 
 
-@pytest.mark.parametrize("width,radius", [(8, 2), (8, 0), (32, 44)])
+@pytest.mark.parametrize("width,radius", [(8, 2), (8, 0), (32, 44), (128, 172)])
 def test_bit_sliced_blocks(width, radius):
     rng = np.random.default_rng(width + radius)
     blocks = []
@@ -151,6 +151,20 @@ def test_near_survivors(spark, docs):
     assert left.columns == docs.columns and left.where("doc_id is null").count() == 2
 
 
+def test_near_prints_part_similar_texts_from_others():
+    rng = np.random.default_rng(2)
+    linked = {}
+    for similarity in (0.65, 0.85):
+        shared = round(2 * similarity * 200 / (1 + similarity))
+        hits = 0
+        for _ in range(40):
+            h = rng.integers(0, 2**63, 400 - shared).astype(np.uint64) * np.uint64(2)
+            a, b = (int.from_bytes(simhash.simhash(x, 1024), "big") for x in (h[:200], h[200 - shared :]))
+            hits += (a ^ b).bit_count() <= 172
+        linked[similarity] = hits
+    assert linked[0.65] <= 2 and linked[0.85] >= 38
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
