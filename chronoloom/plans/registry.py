@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import series
 from chronoloom.plans.relational import RELATIONAL
+from chronoloom.plans.streams import STREAMS
 from chronoloom.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,7 +239,7 @@ def dtw_daily(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()}
+    return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()} | {k: f for k, (f, _) in STREAMS.items()}
 
 
 def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
@@ -248,4 +249,4 @@ def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _QUERIES.items() if sql} | {k: sql for k, (_, sql) in RELATIONAL.items()}
+    return {k: sql for k, (_, sql) in _QUERIES.items() if sql} | {k: sql for k, (_, sql) in (RELATIONAL | STREAMS).items()}
