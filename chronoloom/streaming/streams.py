@@ -1,8 +1,8 @@
 """The time-series operators over unbounded input, with Structured Streaming.
 
 Event times are ``timestamp`` (a watermark takes no other type) and the session
-zone is UTC.  Rows at or before the watermark count as late and are dropped by
-the stateful operators; windows, sessions and unmatched rows come out once the
+zone is UTC.  Rows at or before the watermark that the micro-batch before had
+count as late and are dropped by the stateful operators; windows, sessions and unmatched rows come out once the
 watermark has passed them, so a drained stream equals the batch operator on the
 closed prefix.  State is evicted by the watermark, so its size follows the delay
 and the number of live keys, not the length of the stream.
