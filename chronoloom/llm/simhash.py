@@ -1,7 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison of blocks.
 
 1. ``fingerprints``: each text's word shingles are hashed with XXH64 (seed 42)
-   and vote on the bits of a fingerprint (64 bits, or more by remixing each hash).
+   and vote on the bits of a fingerprint (64 bits, or more by remixing each hash);
+   repeats vote each time, or once with ``distinct``.
 2. Blocking keys.  For a small radius the 64 bits are cut into radius + 3 bands;
    two fingerprints within the radius agree on at least three whole bands, so
    one key for each choice of three bands finds every such pair (``band_keys``).
@@ -94,15 +95,19 @@ def minhash_keys(h: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def fingerprints(
-    df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, radius: int, bands: int = 0, rows: int = 0
+    df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, radius: int, bands: int = 0, rows: int = 0, distinct: bool = False
 ) -> DataFrame:
-    """``id, fp, keys`` per row.  With ``bands``, keys are min-hash bands, else those of ``band_keys``."""
+    """``id, fp, keys`` per row.  With ``bands``, keys are min-hash bands, else those of ``band_keys``.
+
+    With ``distinct``, a shingle votes once however often it is repeated.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps, keys = [], []
             for text in pdf["t"]:
                 h = shingle_hashes(text, shingle)
+                h = np.unique(h) if distinct else h
                 fp = simhash(h, bits)
                 found = minhash_keys(h, bands, rows) if bands else band_keys(fp, radius)
                 fps.append(fp)
@@ -267,9 +272,10 @@ def near_groups(
     bands: int = 0,
     rows: int = 0,
     chunk: int = 4096,
+    distinct: bool = False,
 ) -> DataFrame:
     """``id, fp, component`` for every row of ``df``."""
-    prints = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows))
+    prints = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows, distinct))
     roots = components(links(prints, radius, chunk)).select(F.col("u").alias("fp"), "root")
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     owner = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -297,12 +303,12 @@ def survivors(
 ) -> DataFrame:
     """The rows of ``df`` that stay: of each near-duplicate group the one with the smallest id.
 
-    Five-word shingles and 1024 bits.  A similarity (Jaccard) of 0.8 means an
+    Distinct five-word shingles and 1024 bits.  A similarity (Jaccard) of 0.8 means an
     expected distance of 155 bits (deviation 11.5), one of 0.7 of 196 bits, so a
     radius of 172 parts them; 20 bands of 4 min-hashes put such a pair in one block with a chance of 0.9999.
     Rows with a null id have no identity to be compared by and stay.
     """
-    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk)
+    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk, distinct=True)
     gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
     kept = packed(df, id=F.col(id_col))
     return kept.join(gone, F.col("id") == F.col("gone"), "left_anti").select("_row.*")

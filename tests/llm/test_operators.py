@@ -165,6 +165,17 @@ def test_near_prints_part_similar_texts_from_others():
     assert linked[0.65] <= 2 and linked[0.85] >= 38
 
 
+def test_near_survivors_ignore_how_often_a_passage_repeats(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n)]
+    shared, run = new(1004), ["="] * 54
+    copies = [" ".join(shared), " ".join([*shared, *run])]
+    # 700 shared shingles of 1000: similarity 0.54, whatever both repeat.
+    others = [" ".join([*shared[:704], *new(300), *["-"] * 100]) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate([*copies, *others])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.survivors(df).collect()) == [0, 2, 3]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
