@@ -15,7 +15,12 @@
    rows are dealt as pairs of chunks to separate groups, so memory stays bounded
    and no pair is lost.  Each group returns a spanning forest of its links, not
    the pairs.
-4. ``near_groups``: connected components over distinct fingerprints.
+4. With an exact ``similarity`` the radius only names candidates: rows of a block
+   that links join are a group, each different group is dealt once with the
+   shingle sets of its rows, and only pairs of that Jaccard similarity are links
+   (``exact_links``).
+5. ``near_groups``: connected components over distinct fingerprints, or over
+   distinct shingle sets where the similarity is exact.
 
 Defined cases: null and empty texts (no word) have fingerprint zero, linked like
 any other; fewer words than a shingle give one shingle of all words.  Equal
@@ -95,11 +100,12 @@ def minhash_keys(h: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def fingerprints(
-    df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, radius: int, bands: int = 0, rows: int = 0, distinct: bool = False
+    df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, radius: int, bands: int = 0, rows: int = 0, distinct: bool = False, named: bool = False
 ) -> DataFrame:
     """``id, fp, keys`` per row.  With ``bands``, keys are min-hash bands, else those of ``band_keys``.
 
-    With ``distinct``, a shingle votes once however often it is repeated.
+    With ``distinct``, a shingle votes once however often it is repeated.  With
+    ``named`` (and ``distinct``), ``set_name`` follows the bits of ``fp``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +116,7 @@ def fingerprints(
                 h = np.unique(h) if distinct else h
                 fp = simhash(h, bits)
                 found = minhash_keys(h, bands, rows) if bands else band_keys(fp, radius)
-                fps.append(fp)
+                fps.append(fp + set_name(h) if named else fp)
                 keys.append(np.array(found, _U).view(np.int64))
             yield pd.DataFrame({"id": pdf["id"], "fp": fps, "keys": keys})
 
@@ -118,6 +124,22 @@ def fingerprints(
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, fp binary, keys array<bigint>")
 
 
+def set_name(h: np.ndarray) -> bytes:
+    """16 bytes that name a set of shingles, given sorted and without repeats."""
+    return xxhash.xxh3_128_digest(h.astype("<u8").tobytes())
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``name, hashes``: the distinct shingles of each different set among the texts of column ``t``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(text, shingle)) for text in pdf["t"]]
+            yield pd.DataFrame({"name": [set_name(h) for h in sets], "hashes": [h.astype("<u8").tobytes() for h in sets]})
+
+    return texts.mapInPandas(run, "name binary, hashes binary").dropDuplicates(["name"])
+
+
 def _planes(fps: np.ndarray) -> np.ndarray:
     """Bit planes [bits, words] of fingerprints [lanes, bytes]; lanes are a multiple of 64."""
     columns = np.unpackbits(fps, axis=1).T
@@ -213,8 +235,30 @@ def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 15) ->
     return found
 
 
-def _compared(batches: Iterator[pd.DataFrame], radius: int, lane_bits: int = 1 << 22) -> Iterator[pd.DataFrame]:
-    """Links of each run of equal ``key, ci, cj``; the rows come sorted by these.  About ``lane_bits`` of fingerprints are compared at a time."""
+def _joined(blocks: list[list[bytes]], found: list[tuple[int, int, int]]) -> list[tuple[int, bytes]]:
+    """(group, row) for the rows of each block that ``found`` joins; a group's number is a hash of its rows."""
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(x: tuple[int, int]) -> tuple[int, int]:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, i, j in found:
+        parent[root((k, i))] = root((k, j))
+    groups: dict[tuple[int, int], list[bytes]] = {}
+    for k, i in list(parent):
+        groups.setdefault(root((k, i)), []).append(blocks[k][i])
+    numbers = [xxhash.xxh64_intdigest(b"".join(sorted(x)), 7) for x in groups.values()]
+    return [(n - (n >> 63 << 64), x) for n, rows in zip(numbers, groups.values()) for x in rows]
+
+
+def _compared(batches: Iterator[pd.DataFrame], radius: int, width: int = 0, lane_bits: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """Links of each run of equal ``key, ci, cj``; the rows come sorted by these.  About ``lane_bits`` of fingerprints are compared at a time.
+
+    With ``width``, only so many bytes of a fingerprint are compared and the
+    groups that the links join are returned as ``g, node``.
+    """
     run: list[bytes] = []
     at: tuple | None = None
     blocks: list[list[bytes]] = []
@@ -223,9 +267,10 @@ def _compared(batches: Iterator[pd.DataFrame], radius: int, lane_bits: int = 1 <
     def compare() -> pd.DataFrame:
         out = []
         if blocks:
-            arrays = [np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in blocks]
-            out = [(blocks[k][i], blocks[k][j]) for k, i, j in block_links(arrays, radius)]
-        return pd.DataFrame(out, columns=["u", "v"])
+            arrays = [np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)[:, : width or None] for x in blocks]
+            found = block_links(arrays, radius)
+            out = _joined(blocks, found) if width else [(blocks[k][i], blocks[k][j]) for k, i, j in found]
+        return pd.DataFrame(out, columns=["g", "node"] if width else ["u", "v"])
 
     for pdf in batches:
         for key, ci, cj, fp in zip(pdf["key"].tolist(), pdf["ci"].tolist(), pdf["cj"].tolist(), pdf["fp"].tolist()):
@@ -244,8 +289,70 @@ def _compared(batches: Iterator[pd.DataFrame], radius: int, lane_bits: int = 1 <
     yield compare()
 
 
-def links(prints: DataFrame, radius: int, chunk: int = 4096) -> DataFrame:
-    """``u, v``: fingerprints within ``radius`` that share a key, as spanning forests of blocks.
+def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is ``similarity`` or more; a set has no repeats."""
+    sizes = np.array([len(x) for x in sets])
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    held = np.zeros(len(words) + 1, bool)
+    found = []
+    left = np.arange(len(sets))
+    queue: list[int] = []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        could = np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) * (1 - 1e-9)
+        near = left[could]
+        if not len(near):
+            continue
+        mine = flat[starts[i] : starts[i] + sizes[i]]
+        held[mine] = True
+        both = np.array([np.count_nonzero(held[flat[starts[j] : starts[j] + sizes[j]]]) for j in near.tolist()])
+        held[mine] = False
+        near = near[both / np.maximum(1, sizes[near] + sizes[i] - both) >= similarity]
+        found += [(i, j) for j in near.tolist()]
+        queue += near.tolist()
+        left = left[~np.isin(left, near)]
+    return found
+
+
+def _checked(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """``u, v`` for each run of equal ``g``; the rows come sorted by it."""
+    nodes: list[bytes] = []
+    sets: list[np.ndarray] = []
+    at = None
+    for pdf in batches:
+        out = []
+        for g, node, hashes in zip(pdf["g"].tolist(), pdf["node"].tolist(), pdf["hashes"].tolist()):
+            if g != at:
+                out += [(nodes[i], nodes[j]) for i, j in (_similar(sets, similarity) if nodes else [])]
+                nodes, sets, at = [], [], g
+            nodes.append(node)
+            sets.append(np.frombuffer(hashes, "<u8"))
+        yield pd.DataFrame(out, columns=["u", "v"])
+    yield pd.DataFrame([(nodes[i], nodes[j]) for i, j in (_similar(sets, similarity) if nodes else [])], columns=["u", "v"])
+
+
+def exact_links(df: DataFrame, prints: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bits: int, chunk: int, similarity: float) -> DataFrame:
+    """``u, v``: the similar pairs among candidates, as spanning forests; ids of ``df`` are not null.
+
+    A forest of candidates could leave a similar pair joined only by way of pairs
+    that are not, so all rows that candidates join within a block are compared.
+    Shingle sets are made again from the texts, of such rows only.
+    """
+    members = durable(links(prints, radius, chunk, bits // 8).distinct())
+    linked = members.select(F.col("node").alias("fp")).distinct()
+    ids = prints.join(linked, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("linked_id")).select("linked_id").distinct()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    sets = shingle_sets(texts.join(ids, F.col("id") == F.col("linked_id"), "left_semi").select("t"), shingle)
+    named = members.withColumn("name", F.substring("node", bits // 8 + 1, 16))
+    dealt = named.join(sets, "name").select("g", "node", "hashes").repartition("g").sortWithinPartitions("g", "node")
+    return dealt.mapInPandas(lambda batches: _checked(batches, similarity), "u binary, v binary")
+
+
+def links(prints: DataFrame, radius: int, chunk: int = 4096, width: int = 0) -> DataFrame:
+    """``u, v``: fingerprints within ``radius`` that share a key, as spanning forests of blocks; with ``width``, ``g, node`` of ``_compared``.
 
     Keys are met on a hash of the fingerprint; only where a key is shared does
     the fingerprint itself travel.  Equal hashes would only add rows to compare.
@@ -259,7 +366,7 @@ def links(prints: DataFrame, radius: int, chunk: int = 4096) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("mine", j).alias("ci"), F.greatest("mine", j).alias("cj")))
     dealt = blocks.withColumn("mine", mine).select("key", "fp", F.explode(pairs).alias("c")).select("key", "c.ci", "c.cj", "fp")
     dealt = dealt.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "fp")
-    return dealt.mapInPandas(lambda batches: _compared(batches, radius), "u binary, v binary")
+    return dealt.mapInPandas(lambda batches: _compared(batches, radius, width), "g bigint, node binary" if width else "u binary, v binary")
 
 
 def near_groups(
@@ -273,10 +380,17 @@ def near_groups(
     rows: int = 0,
     chunk: int = 4096,
     distinct: bool = False,
+    similarity: float | None = None,
 ) -> DataFrame:
-    """``id, fp, component`` for every row of ``df``."""
-    prints = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows, distinct))
-    roots = components(links(prints, radius, chunk)).select(F.col("u").alias("fp"), "root")
+    """``id, fp, component`` for every row of ``df``.
+
+    With ``similarity`` (for ``distinct`` shingles and ids that are not null) that
+    exact Jaccard similarity decides, and ``fp`` ends with the name of the set.
+    """
+    exact = similarity is not None
+    prints = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows, distinct, exact))
+    found = exact_links(df, prints, id_col, text_col, shingle, radius, bits, chunk, similarity) if exact else links(prints, radius, chunk)
+    roots = components(found).select(F.col("u").alias("fp"), "root")
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     owner = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = owner.groupBy("root").agg(F.min("least").alias("component"))
@@ -296,19 +410,22 @@ def survivors(
     text_col: str = "text",
     shingle: int = 5,
     bits: int = 1024,
-    radius: int = 172,
+    radius: int = 272,
     bands: int = 20,
     rows: int = 4,
     chunk: int = 2048,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """The rows of ``df`` that stay: of each near-duplicate group the one with the smallest id.
 
-    Distinct five-word shingles and 1024 bits.  A similarity (Jaccard) of 0.8 means an
-    expected distance of 155 bits (deviation 11.5), one of 0.7 of 196 bits, so a
-    radius of 172 parts them; 20 bands of 4 min-hashes put such a pair in one block with a chance of 0.9999.
+    The exact Jaccard similarity of the distinct five-word shingles decides: 0.8 or
+    more is a link.  Candidates are within 272 of 1024 bits: at 0.8 the expected
+    distance is at most 192 (four shingles against the same four and one more;
+    deviation 12.5), about 155 for long texts, so over six deviations are left
+    at any length.  20 bands of 4 min-hashes put such a pair in one block with a chance of 0.99997.
     Rows with a null id have no identity to be compared by and stay.
     """
-    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk, distinct=True)
+    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk, distinct=True, similarity=similarity)
     gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
     kept = packed(df, id=F.col(id_col))
     return kept.join(gone, F.col("id") == F.col("gone"), "left_anti").select("_row.*")

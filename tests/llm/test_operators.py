@@ -176,6 +176,47 @@ def test_near_survivors_ignore_how_often_a_passage_repeats(spark):
     assert sorted(r.doc_id for r in simhash.survivors(df).collect()) == [0, 2, 3]
 
 
+def test_near_survivors_equal_exact_similarity_at_any_length(spark):
+    rng = random.Random(31)
+    new = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for n in (8, 9, 11, 13, 16, 22, 40, 160):
+        for _ in range(12):
+            base = new(n)
+            rows += [base, [*new(rng.randrange(max(2, n // 4))), *base], [*base, *new(rng.randrange(1, max(3, n // 3)))], [*base[: -rng.randrange(1, 4)], *new(2)]]
+    rng.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    want = [i for i in range(len(rows)) if root(i) == i]
+    assert sorted(r.doc_id for r in simhash.survivors(df).collect()) == want
+    assert sorted(r.doc_id for r in simhash.survivors(df, chunk=2).collect()) == want
+
+
+def test_similar_pairs_are_found_beside_pairs_that_are_not():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 56), replace=False)) for _ in range(120)] + [pool[:0]]
+    near = np.array([[len(set(a.tolist()) & set(b.tolist())) * 5 >= 4 * len(set(a.tolist()) | set(b.tolist())) for b in sets] for a in sets])
+    found = simhash._similar(sets, 0.8)
+    assert all(near[i, j] for i, j in found)
+    reach = near.astype(int)
+    for _ in range(8):
+        reach = ((reach @ reach) > 0).astype(int)
+    assert len(found) == len(sets) - len({tuple(r) for r in reach.tolist()})
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
