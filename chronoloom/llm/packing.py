@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import os
 import unicodedata
-import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import durable
 
-#: id, piece, start, length, crc of one piece.
-_PIECE = "piece int, start bigint, length bigint, crc bigint"
+#: Beside the id, what is known of one piece; its token ids are little-endian unsigned 32-bit bytes.
+_PIECE = "piece int, start bigint, length bigint, ids binary"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -91,7 +90,7 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, piece, start, length, crc``: texts cut after every ``capacity`` ids, the end id 0 included."""
+    """``id, piece, start, length, ids``: texts cut after every ``capacity`` ids, the end id 0 included."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,8 +101,8 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col:
                 ids = encode(text or "") + b"\0\0\0\0"
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((key, p, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "crc"])
+                    rows.append((key, p, at // 4, len(part) // 4, part))
+            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids"])
             yield out.astype({"id": pdf["id"].dtype}) if len(pdf) and not pdf["id"].isna().any() else out
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, {_PIECE}")
@@ -177,9 +176,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def pack(
-    df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1 << 20
+    df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1 << 16
 ) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: id, piece, start, length, ids, ids_crc32 (of these ids), sequence_id, offset."""
     cut = durable(pieces(df, tokenizer, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
     buckets = max(64, cut.count() // bucket_rows)
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
@@ -192,16 +191,26 @@ def pack(
     place = F.expr("row_number() over (partition by length, bucket order by uid) - 1")
     ranked = cut.withColumn("place", place).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place"))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def assign(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
         length, first, first_bin, each, place = shared.value.T
-        starts = (length << 44) + first
-        for pdf in batches:
-            at = np.searchsorted(starts, (pdf["length"].to_numpy() << 44) + pdf["rank"].to_numpy(), "right") - 1
-            nth = pdf["rank"].to_numpy() - first[at]
-            pdf["sequence_id"] = first_bin[at] + nth // each[at]
-            pdf["offset"] = place[at] + nth % each[at] * length[at]
-            yield pdf.drop(columns="rank")
+        at = np.searchsorted((length << 44) + first, (size.to_numpy() << 44) + rank.to_numpy(), "right") - 1
+        nth = rank.to_numpy() - first[at]
+        return pd.DataFrame({"sequence_id": first_bin[at] + nth // each[at], "offset": place[at] + nth % each[at] * length[at]})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    found = ranked.select("id", "piece", "start", "length", "crc", "rank").mapInPandas(assign, f"id {kind}, {_PIECE}, sequence_id bigint, offset bigint")
-    return found.withColumnsRenamed({"id": id_col, "crc": "ids_crc32"})
+    found = ranked.withColumn("bin", assign("length", "rank"))
+    return found.select(F.col("id").alias(id_col), "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "bin.sequence_id", "bin.offset")
+
+
+def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``sequence_id, ids, parts``: the token ids of each sequence of ``pack``, and which piece begins where in it."""
+    part = F.struct("offset", F.col(id_col).alias("id"), "piece", "start", "length", "ids")
+    held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part), lambda a, b: (a["offset"] - b["offset"]).cast("int")).alias("p"))
+    ids = F.aggregate("p", F.lit(b""), lambda all, x: F.concat(all, x["ids"]))
+    parts = F.transform("p", lambda x: x.dropFields("ids"))
+    return held.select("sequence_id", ids.alias("ids"), parts.alias("parts"))
+
+
+def write_sequences(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", **options) -> None:
+    """Writes the packed sequences of ``df`` as Parquet, one row each."""
+    sequences(pack(df, tokenizer, id_col=id_col, **options), id_col).write.parquet(path)

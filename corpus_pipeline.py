@@ -37,8 +37,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row per piece of a document."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Training sequences: one row per piece of a document, with its token ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids_crc32")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("private", private), ("packed", packed)]

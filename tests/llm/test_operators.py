@@ -408,6 +408,27 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packed_ids_are_the_texts(spark, docs, empty, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing.write_sequences(docs, str(tmp_path / "sequences"), path)
+    whole, met = packing.encoder(path)._tokenizer, defaultdict(list)
+    for r in spark.read.parquet(str(tmp_path / "sequences")).collect():
+        ids, end = np.frombuffer(r.ids, "<u4").tolist(), 0
+        for p in r.parts:
+            assert p.offset == end
+            end += p.length
+            met[p.id].append((p.start, ids[p.offset : end]))
+        assert end == len(ids) <= 2048
+    texts = defaultdict(list)
+    for key, text, *_ in _rows():
+        texts[key].append([*whole.encode(text or "", add_special_tokens=False).ids, 0])
+    for key, want in texts.items():
+        assert sorted(met[key]) == sorted((at, ids[at : at + 2048]) for ids in want for at in range(0, len(ids), 2048))
+    assert met.keys() == texts.keys() and packing.sequences(packing.pack(empty, path)).count() == 0
+    last = corpus_pipeline.packed(spark, docs, SF)
+    assert last.where("octet_length(ids) = 4 * length").count() == packing.pack(docs, path).count()
+
+
 def test_encoder_equals_the_tokenizer():
     encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), cached=40)
     parts = ["a", "The", "don't", "'s", ".", " ", ",", "\n", "é", "İ", "ΑΣ", "日本", "12", "\t", " ", "<|endoftext|>", "≠", "\x1c", "\r\n", "🙂", "क़", "́"]
