@@ -8,7 +8,8 @@ is a permutation of the format's values, so equal values stay equal, different
 ones stay different, and separators keep their place (an octet's length may change).
 
 * card: all digits but the last are permuted, then the Luhn digit is renewed;
-* telephone (NANP): area and exchange stay in 200-999;
+* telephone: any ten digits in a written form; those with area and exchange in
+  200-999 (NANP) are permuted among themselves, and so are all others;
 * IPv4: over all 2**32 addresses; leading zeros of octets are not addresses;
 * social security: areas 001-899 without 666, groups 01-99, serials 0001-9999;
 * date (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, or mm/dd/yyyy where only that is a
@@ -24,6 +25,8 @@ columns are carried along untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ PATTERN = (
     rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.\d)"
     r"|\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}"
     r"|\d{3}-\d\d-\d{4}"
-    r"|(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}"
+    r"|(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
     r"|\d(?:[ -]?\d){12,18}"
     r")(?![\p{L}\p{N}_])"
 )
@@ -99,10 +102,19 @@ def _card(x: Column, key: str) -> Column:
 def _phone(x: Column, key: str) -> Column:
     digits = _digits(x)
     last = F.substring(digits, -10, 10)
-    value = ((_number(last, 1, 3) - 200) * 800 + _number(last, 4, 3) - 200) * 10000 + _number(last, 7, 4)
-    new = feistel(value, 80000, 80000, key, "phone")
-    line, rest = new % 10000, F.floor(new / 10000).cast("long")
-    fresh = F.concat(_padded(F.floor(rest / 800).cast("long") + 200, 3), _padded(rest % 800 + 200, 3), _padded(line, 4))
+    area, exchange, line = _number(last, 1, 3), _number(last, 4, 3), _number(last, 7, 4)
+
+    def moved(rank: Column, half: int, tag: str, pair: Callable[[Column], tuple[Column, Column]]) -> Column:
+        new = feistel(rank * 10000 + line, half, half, key, tag)
+        a, e = pair(F.floor(new / 10000).cast("long"))
+        return F.concat(_padded(a, 3), _padded(e, 3), _padded(new % 10000, 4))
+
+    nanp = moved((area - 200) * 800 + exchange - 200, 80000, "phone", lambda r: (F.floor(r / 800).cast("long") + 200, r % 800 + 200))
+    # Areas 000-199 with any exchange come first, then areas 200-999 with exchanges 000-199: 60000 ** 2 numbers.
+    rank = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    head = lambda r: F.when(r < 200_000, F.floor(r / 1000)).otherwise(F.floor(r / 200) - 800).cast("long")
+    others = moved(rank, 60000, "phone-other", lambda r: (head(r), F.when(r < 200_000, r % 1000).otherwise(r % 200)))
+    fresh = F.when((area >= 200) & (exchange >= 200), nanp).otherwise(others)
     return _refilled(x, F.when(F.length(digits) == 11, F.concat(F.lit("1"), fresh)).otherwise(fresh))
 
 

@@ -261,6 +261,30 @@ def test_pseudonyms(spark, empty):
     assert pii.pseudonymised(empty, "k").count() == 0
 
 
+def test_telephone_numbers_beyond_the_nanp(spark):
+    rng = random.Random(7)
+    numbers = [(rng.randrange(1000), rng.randrange(1000), rng.randrange(10000)) for _ in range(300)]
+    numbers += [(17, 555, 7713), (117, 555, 7713), (0, 0, 0), (199, 999, 9999), (200, 0, 0), (999, 199, 9999), (200, 199, 1), (200, 200, 0)]
+    forms = ["+1 ({:03}) {:03}-{:04}", "({:03}){:03}.{:04}", "{:03}-{:03}-{:04}", "{:03} {:03} {:04}"]
+    texts = [f"call {forms[i % 4].format(*n)}, please" for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    for r in pii.pseudonymised(df, "k").collect():
+        a, e, n = numbers[r.doc_id]
+        new = re.fullmatch(r"call (\+1 )?\(?(\d{3})\)?[ .-]?(\d{3})[ .-](\d{4}), please", r.text).groups()[1:]
+        if a >= 200 and e >= 200:
+            want = _py_feistel(((a - 200) * 800 + e - 200) * 10000 + n, 80000, 80000, "k", "phone")
+            want = (want // 10000 // 800 + 200, want // 10000 % 800 + 200, want % 10000)
+        else:
+            pairs = [(a, e) for a in range(1000) for e in range(1000) if a < 200 or e < 200] if not seen else seen["pairs"]
+            seen["pairs"] = pairs
+            at = a * 1000 + e if a < 200 else 200_000 + (a - 200) * 200 + e
+            assert pairs[at] == (a, e)
+            want = _py_feistel(at * 10000 + n, 60000, 60000, "k", "phone-other")
+            want = (*pairs[want // 10000], want % 10000)
+        assert tuple(map(int, new)) == want and r.n_phone == 1 and r.text != texts[r.doc_id]
+
+
 def _py_feistel(value, a, b, key, tag):
     left, right = divmod(value, b)
     for i in range(pii.ROUNDS):
