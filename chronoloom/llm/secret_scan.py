@@ -2,10 +2,10 @@
 
 A byte-pair vocabulary learned on ordinary text spells words in few tokens and
 random strings in many.  Candidates are runs of at least 16 letters, digits and
-``+/_-`` that hold a digit beside letters; those with fewer than ``max_ratio``
-characters a token are reported as kind ``opaque``.  Known digests (hexadecimal
-of the usual lengths), UUIDs, dated or numbered names made of plain words and
-plain numbers are left out first, as are spans inside one that a pattern found.
+``+/_-`` that hold a letter; those with fewer than ``max_ratio`` characters a
+token are reported as kind ``opaque``, whether or not they hold digits.  Known
+digests (hexadecimal of the usual lengths), UUIDs and plain numbers are left out
+first, as are spans inside one that a pattern found.
 
 Defined cases: a null text counts as empty; rows are independent, so repeated
 rows and null ids are treated like any.
@@ -28,7 +28,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_PLAIN_PARTS = re.compile(r"([A-Za-z]?[a-z]+|[A-Z]+|\d+)([-_/+]+([A-Za-z]?[a-z]+|[A-Z]+|\d+))*[-_/+]*")
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _encodings: dict[str, object] = {}
@@ -46,13 +45,11 @@ def encoding(path: str, pattern: str):
 
 
 def known_name(run: str) -> bool:
-    """Whether the run is a digest, an identifier or a name rather than a secret."""
+    """Whether the run is a digest, an identifier or a number rather than a secret."""
     bare = run.rstrip("=")
-    if not re.search(r"\d", bare) or not re.search(r"[A-Za-z]", bare):
+    if not re.search(r"[A-Za-z]", bare):
         return True
-    if re.fullmatch(r"[0-9a-fA-F]+", bare) and len(bare) in _DIGESTS or _UUID.fullmatch(bare):
-        return True
-    return _PLAIN_PARTS.fullmatch(bare) is not None
+    return bool(re.fullmatch(r"[0-9a-fA-F]+", bare) and len(bare) in _DIGESTS or _UUID.fullmatch(bare))
 
 
 def spans_of(text: str | None, count_tokens, max_ratio: float) -> list[tuple[int, int, int]]:

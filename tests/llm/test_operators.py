@@ -387,6 +387,20 @@ def test_secret_spans(spark, docs, empty):
     assert scan(docs).count() == docs.count() and scan(empty).count() == 0
 
 
+def test_letter_only_and_word_digit_secrets():
+    encode = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    found = lambda text: [text[a:b] for a, k, b in secret_scan.spans_of(text, lambda s: len(encode(s)), 2.2) if k == 3]
+    secrets = ["qzxkvtbwmlrpdynh", "qzxkvtbwmlrpdynh-483920", "xkqd-vbwz-mtrp-lyhn", "XKQDVBWZMTRPLYHNQG", "qZxKvTbWmLrPdYnHsF"]
+    assert found("key " + " or ".join(secrets) + " end") == secrets
+    names = ["getElementsByTagName", "internationalization", "release-2024-notes-final", "src/main/java/com/example", "2024-11-28-0000-1111", "----------------"]
+    names += ["Donaudampfschifffahrtsgesellschaft", "d3b07384-d9a0-4c9b-8f4e-0123456789ab", "ABCDEF0123456789" * 2]
+    assert found(" ".join(names)) == []
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, least in ((letters, 0.97), (letters.upper(), 0.99), (letters + letters.upper() + "0123456789", 0.999)):
+        hits = sum(found(s) == [s] for s in ("".join(rng.choices(alphabet, k=16)) for _ in range(2000)))
+        assert hits >= 2000 * least
+
+
 # Packing.
 
 
