@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import exact_dedup, packing, pieces, pii, quality_rules, secret_scan, sharding, simhash, site_quality, toxicity
-from chronoloom.llm.common import table
+from chronoloom.llm.common import table, whole
 
 #: Key of the pseudonyms in the registered query and the pipeline; a real run brings its own.
 PII_KEY = "registered-query"
@@ -49,7 +49,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shuffled(table(spark, sf_dir, "documents"))
+    rows = sharding.shuffled(table(spark, sf_dir, "documents"), payload=True)
+    text = whole(F.col("_row.text"))
+    rows = rows.withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary")))
+    return rows.drop("_row")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -495,6 +495,15 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).drop("_shard", "_slot").count() == docs.count()
 
 
+def test_the_sharding_query_moves_whole_records(spark, monkeypatch):
+    held, cut = [], sharding.durable
+    monkeypatch.setattr(sharding, "durable", lambda df: held.append(df.columns) or cut(df))
+    rows = registry.op9_sharding(spark, SF)
+    assert "_row" in held[0] and rows.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    texts = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows.collect()) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in texts)
+
+
 # Pieces.
 
 
