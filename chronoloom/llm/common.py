@@ -1,26 +1,56 @@
-"""What several operators share: durable cuts of lineage and row packing."""
+"""What several operators share: durable cuts of lineage, kept tables and row packing."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors reach.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    Where it is unset, a session on one machine (tests) gets a temporary folder;
+    on a cluster that is an error, since each executor would write to its own disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared folder, so that later reads take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def executor_bytes(spark: SparkSession) -> int:
+    """Heap of the smaller of driver and executor, by the session's settings (1 GB where they are unset)."""
+    unit = {"": 1 << 20, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    conf = spark.sparkContext.getConf()
+    sizes = []
+    for name in ("spark.executor.memory", "spark.driver.memory"):
+        number, mark = re.fullmatch(r"(\d+)([bkmgt]?)b?", conf.get(name, "1g").strip().lower()).groups()
+        sizes.append(int(number) * unit[mark])
+    return min(sizes)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,9 @@ digests (hexadecimal of the usual lengths), UUIDs and plain numbers are left out
 first, as are spans inside one that a pattern found.
 
 Defined cases: a null text counts as empty; rows are independent, so repeated
-rows and null ids are treated like any.
+rows are treated like any; ids of any type and null ids come back as they are;
+only the id and the text are read, so other columns may have any name.  Time
+grows with a text's length, whatever the number of its finds.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,12 +59,15 @@ def spans_of(text: str | None, count_tokens, max_ratio: float) -> list[tuple[int
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    found.sort()
+    opaque, at, reach = [], 0, 0
     for m in _RUN.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, _, b in found) or known_name(m[0]):
-            continue
-        if len(m[0]) < max_ratio * count_tokens(m[0]):
-            found.append((m.start(), 3, m.end()))
-    return sorted(found)
+        while at < len(found) and found[at][0] <= m.start():
+            reach = max(reach, found[at][2])
+            at += 1
+        if m.end() > reach and not known_name(m[0]) and len(m[0]) < max_ratio * count_tokens(m[0]):
+            opaque.append((m.start(), 3, m.end()))
+    return sorted(found + opaque)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -74,22 +78,17 @@ def scanned(
     df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 2.2
 ) -> DataFrame:
     """id, n_assign, n_access, n_hex, n_opaque, base_sha256, spans for every row."""
-    kind = df.schema[id_col].dataType.simpleString()
+    counts = "n_assign bigint, n_access bigint, n_hex bigint, n_opaque bigint"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"{counts}, base_sha256 string, spans string")
+    def run(texts: pd.Series) -> pd.DataFrame:
         encode = encoding(vocabulary, pattern).encode_ordinary
-        count = lambda s: len(encode(s))
-        for pdf in batches:
-            rows = []
-            for text in pdf["t"].tolist():
-                spans = spans_of(text, count, max_ratio)
-                kinds = [k for _, k, _ in spans]
-                base = joined([s for s in spans if s[1] < 3])
-                rows.append((*[kinds.count(k) for k in range(4)], hashlib.sha256(base.encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_opaque", "base_sha256", "spans"])
-            out.insert(0, "id", pdf["id"].to_numpy())
-            yield out
-
-    counts = "n_assign bigint, n_access bigint, n_hex bigint, n_opaque bigint"
-    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, {counts}, base_sha256 string, spans string")
-    return found.withColumnRenamed("id", id_col)
+        rows = []
+        for text in texts.tolist():
+            spans = spans_of(text, lambda s: len(encode(s)), max_ratio)
+            kinds = [k for _, k, _ in spans]
+            base = joined([s for s in spans if s[1] < 3])
+            rows.append((*[kinds.count(k) for k in range(4)], hashlib.sha256(base.encode()).hexdigest(), joined(spans)))
+        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_opaque", "base_sha256", "spans"])
+
+    return df.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("found")).select(F.col("id").alias(id_col), "found.*")
