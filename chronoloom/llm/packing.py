@@ -15,12 +15,15 @@ The pieces learn their rank among those of equal length from counts by (length,
 bucket), and look their bin up in the broadcast segments.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed
-each; an empty table gives an empty result.
+each; ids of any type and null ids come back as they are; only the id and the
+text are read, so other columns may have any name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from collections import defaultdict
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +56,11 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer, self._cached, self._longest = Tokenizer.from_file(path), cached, longest
+        # Chunks can be encoded apart only where white space parts tokens and is dropped.
+        together = self._tokenizer.encode(" a  b\n", add_special_tokens=False).ids
+        apart = [i for x in "ab" for i in self._tokenizer.encode(x, add_special_tokens=False).ids]
+        if together != apart or any(re.search(r"\s", token) for token in self._tokenizer.get_vocab()):
+            raise ValueError(f"{path}: tokens of this vocabulary can hold white space")
         self._known: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
 
@@ -89,23 +98,35 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, piece, start, length, ids``: texts cut after every ``capacity`` ids, the end id 0 included."""
+def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, batch_bytes: int = 1 << 25) -> DataFrame:
+    """``id, piece, start, length, ids``: texts cut after every ``capacity`` ids, the end id 0 included.
+
+    Pieces leave in batches of about ``batch_bytes`` of ids, however many a batch of texts gives.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["id"].tolist(), pdf["t"].tolist()):
-                ids = encode(text or "") + b"\0\0\0\0"
+
+        def cut(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            owner, piece, start, length, ids = zip(*rows) if rows else [()] * 5
+            columns = [keys.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids"])
+
+        for batch in batches:
+            keys, rows, held = batch.column("id"), [], 0
+            for k, text in enumerate(batch.column("t")):
+                ids = encode(text.as_py() or "") + b"\0\0\0\0"
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((key, p, at // 4, len(part) // 4, part))
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids"])
-            yield out.astype({"id": pdf["id"].dtype}) if len(pdf) and not pdf["id"].isna().any() else out
-
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, {_PIECE}")
+                    rows.append((k, p, at // 4, len(part) // 4, part))
+                held += len(ids)
+                if held >= batch_bytes:
+                    yield cut(keys, rows)
+                    rows, held = [], 0
+            yield cut(keys, rows)
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, {_PIECE}")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
