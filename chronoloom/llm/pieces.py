@@ -12,10 +12,13 @@ units with the least second loss can differ from their best, and A* runs on thes
 
 Characters without a piece become their UTF-8 byte pieces, at a score ten below
 the lowest.  Decoding joins the pieces and turns byte pieces back to text, so a
-round trip gives the text itself.
+round trip gives the text itself, but for the character that the pieces use for
+a blank (U+2581): it comes back as a blank, as the vocabulary's own rule has it.
 
 Defined cases: a null text counts as empty, with no ids, score 0 and one
-segmentation; rows are independent; no limit is set on a text's or unit's length.
+segmentation; rows are independent, so repeated rows are treated like any; ids of
+any type and null ids come back as they are; only the id and the text are read,
+so other columns may have any name; no limit is set on a text's or unit's length.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +57,16 @@ class Pieces:
         self._normal, self._unknown = normal, min(s for _, s in normal.values() if s > -1e8) - 10
         self._longest = max(map(len, normal))
         self._prefix = bool(model.normalizer_spec.add_dummy_prefix)
+        if any(_SPACE in p.lstrip(_SPACE) for p in normal):
+            raise ValueError(f"{path}: pieces with a blank after another character can cross the cuts before blanks")
         self._breaks = "\n" if not any("\n" in p for p in normal) else ""
         self._cached = cached
-        #: Pieces by their characters: node = (score or 0, nodes by the next character).
+        #: Pieces by their characters: node = (score or None, nodes by the next character).
         self._trie: dict[str, tuple] = {}
         for p, (_, score) in sorted(normal.items(), key=lambda x: len(x[0])):
             at = self._trie
             for c in p[:-1]:
-                at = at.setdefault(c, (0.0, {}))[1]
+                at = at.setdefault(c, (None, {}))[1]
             at[p[-1]] = (score, at[p[-1]][1] if p[-1] in at else {})
         self._flatten()
         self._chunks: dict[str, tuple[float, bytes, float]] = {}
@@ -81,8 +86,8 @@ class Pieces:
                 keys.append(node << 20 | int(self._letter[ord(c)]))
                 nodes.append(len(scores))
                 todo.append((len(scores), below, prefix + c))
-                scores.append(score or -np.inf)
-                ids.append(self._normal[prefix + c][0] if score else -1)
+                scores.append(-np.inf if score is None else score)
+                ids.append(-1 if score is None else self._normal[prefix + c][0])
         order = np.argsort(keys)
         self._keys, self._nodes = np.array(keys)[order], np.array(nodes)[order]
         self._scores, self._piece = np.array(scores), np.array(ids, np.int64)
@@ -178,7 +183,7 @@ class Pieces:
         first[0] = 0.0
         for s in range(n):
             one, two, at, e = first[s], second[s], trie, s
-            if unit[s] not in at or not at[unit[s]][0]:
+            if unit[s] not in at or at[unit[s]][0] is None:
                 value = one + self._unknown
                 if value > first[s + 1]:
                     first[s + 1], second[s + 1], back[s + 1] = value, max(first[s + 1], two + self._unknown), s
@@ -190,7 +195,7 @@ class Pieces:
                     break
                 score, at = found
                 e += 1
-                if score:
+                if score is not None:
                     value = one + score
                     old = first[e]
                     if value > old:
@@ -332,38 +337,45 @@ def pieces(path: str) -> Pieces:
     return _models[path]
 
 
+def _by_row(df: DataFrame, id_col: str, text_col: str, fields: list[tuple[str, str, pa.DataType]], rows_of) -> DataFrame:
+    """``id_col`` untouched beside ``fields`` (name, SQL type, Arrow type); ``rows_of`` gives a tuple for each of a batch's texts."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*rows_of(batch.column("t").to_pylist()))) or [()] * len(fields)
+            made = [pa.array(values, arrow) for values, (_, _, arrow) in zip(columns, fields)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], ["id", *[name for name, _, _ in fields]])
+
+    schema = ", ".join([f"id {kind}", *[f"{name} {sql}" for name, sql, _ in fields]])
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
 def segmented(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``nbest``: up to n structs (score, ids), best first, and ``decoded``, the best one's text."""
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(texts: list[str | None]) -> Iterator[tuple]:
         m = pieces(model)
-        for pdf in batches:
-            found = list(m.best_of(pdf["t"].tolist(), n))
-            found = [[(s, np.frombuffer(ids, "<u4").tolist()) for s, ids in x] for x in found]
-            nbest = [[{"score": s, "ids": ids} for s, ids in x] for x in found]
-            yield pd.DataFrame({"id": pdf["id"], "nbest": nbest, "decoded": [m.decode(x[0][1]) for x in found]})
+        for found in m.best_of(texts, n):
+            found = [(s, np.frombuffer(ids, "<u4").tolist()) for s, ids in found]
+            yield [{"score": s, "ids": ids} for s, ids in found], m.decode(found[0][1])
 
-    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, nbest array<struct<score:double,ids:array<int>>>, decoded string")
-    return found.withColumnRenamed("id", id_col)
+    nbest = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
+    return _by_row(df, id_col, text_col, [("nbest", "array<struct<score:double,ids:array<int>>>", nbest), ("decoded", "string", pa.string())], rows_of)
 
 
 def segmentation_digests(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_ids`` and ``ids_crc32`` of the best, all scores and CRCs, and whether decoding gives the text back."""
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(texts: list[str | None]) -> Iterator[tuple]:
         m = pieces(model)
-        for pdf in batches:
-            rows = []
-            texts = pdf["t"].tolist()
-            for text, found in zip(texts, m.best_of(texts, n)):
-                crcs = [zlib.crc32(ids) for _, ids in found]
-                again = m.decode(np.frombuffer(found[0][1], "<u4").tolist())
-                rows.append((len(found[0][1]) // 4, crcs[0], [s for s, _ in found], crcs, again == (text or "")))
-            out = pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "scores", "nbest_crc32", "round_trip"])
-            out.insert(0, "id", pdf["id"].to_numpy())
-            yield out
-
-    schema = f"id {kind}, n_ids bigint, ids_crc32 bigint, scores array<double>, nbest_crc32 array<bigint>, round_trip boolean"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+        for text, found in zip(texts, m.best_of(texts, n)):
+            crcs = [zlib.crc32(ids) for _, ids in found]
+            again = m.decode(np.frombuffer(found[0][1], "<u4").tolist())
+            yield len(found[0][1]) // 4, crcs[0], [s for s, _ in found], crcs, again == (text or "")
+
+    fields = [
+        ("n_ids", "bigint", pa.int64()), ("ids_crc32", "bigint", pa.int64()), ("scores", "array<double>", pa.list_(pa.float64())),
+        ("nbest_crc32", "array<bigint>", pa.list_(pa.int64())), ("round_trip", "boolean", pa.bool_()),
+    ]
+    return _by_row(df, id_col, text_col, fields, rows_of)
