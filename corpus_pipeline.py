@@ -2,17 +2,23 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has
 kept; all but the last return the columns of ``docs``.
+
+Defined cases: a null or empty text fails the quality rules; of equal texts the
+largest id stays, of near copies the smallest; rows with a null id pass the stage
+of near copies; rows that repeat id and text are one document; columns of
+``docs`` may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import exact_dedup, packing, pii, quality_rules, simhash
 from chronoloom.llm.common import durable, table
-from chronoloom.llm.registry import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +37,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents under pseudonyms; an ``n_chars`` column follows the new text."""
-    out = pii.pseudonymised(docs, PII_KEY, counts=False)
+    """The same documents under pseudonyms; an ``n_chars`` column follows the new text.
+
+    The key is the session's ``spark.chronoloom.pii.key``, which links the
+    pseudonyms of several runs.  Without it the stage draws a key for itself alone.
+    """
+    key = spark.conf.get("spark.chronoloom.pii.key", None) or secrets.token_hex(32)
+    out = pii.pseudonymised(docs, key, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
