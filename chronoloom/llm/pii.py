@@ -13,14 +13,16 @@ ones stay different, and separators keep their place (an octet's length may chan
 * IPv4: over all 2**32 addresses; leading zeros of octets are not addresses;
 * social security: areas 001-899 without 666, groups 01-99, serials 0001-9999;
 * date (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, or mm/dd/yyyy where only that is a
-  date): over its century, 1901-2000 (75 * 487 days) or 2001-2100 (92 * 397);
+  date), of the years 0001-9999: over its own century, such as 1901-2000;
 * e-mail: letters and digits before the last dot, each within its own kind.
 
-Finds that are not valid stay as they are.
+Finds that are not valid stay as they are.  Who has the key can invert all this,
+so the key is the caller's to bring and to keep; none is in the code.
 
 Defined cases: a null text stays null with zero counts, an empty one empty; rows
 are independent, so repeated rows and null ids are treated like any; other
-columns are carried along untouched.
+columns are carried along untouched, but for those named like a count; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,11 +50,11 @@ PATTERN = (
 )
 
 
-def _digest(key: str, tag: str, i: Column, x: Column) -> Column:
+def _digest(key: str, tag: str | Column, i: Column, x: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), x.cast("string")), 256)
 
 
-def feistel(value: Column, a: Column | int, b: Column | int, key: str, tag: str) -> Column:
+def feistel(value: Column, a: Column | int, b: Column | int, key: str, tag: str | Column) -> Column:
     """A keyed permutation of 0 .. a * b - 1; ``value`` outside has no meaning."""
     a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (a, b))
 
@@ -96,7 +98,7 @@ def _card(x: Column, key: str) -> Column:
     ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
     body = _padded(feistel(_number(digits, 1, n), ten(n - half), ten(half), key, "card"), n)
     check = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(body, d.cast("string"))))[0]
-    return F.when(F.call_function("luhn_check", digits), _refilled(x, F.concat(body, check.cast("string")))).otherwise(x)
+    return F.when(F.call_function("luhn_check", digits), _refilled(x, F.concat(body, check.cast("string"))))
 
 
 def _phone(x: Column, key: str) -> Column:
@@ -133,14 +135,22 @@ def _ssn(x: Column, key: str) -> Column:
     fresh = F.floor(head / 99).cast("long") + 1
     fresh = fresh + (fresh >= 666).cast("long")
     made = F.concat(_padded(fresh, 3), F.lit("-"), _padded(head % 99 + 1, 2), F.lit("-"), _padded(new % 9999 + 1, 4))
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), made).otherwise(x)
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), made)
 
 
 def _permuted_day(day: Column, key: str) -> Column:
-    """The permuted date, or null if ``day`` is null or beyond both centuries."""
-    n = F.datediff(day, F.lit("1901-01-01").cast("date")).cast("long")
-    new = F.when(n.between(0, 36524), feistel(n, 75, 487, key, "date20")).when(n.between(36525, 73048), feistel(n - 36525, 92, 397, key, "date21") + 36525)
-    return F.date_add(F.lit("1901-01-01").cast("date"), new.cast("int"))
+    """The permuted date of its century, or null if ``day`` is null or before the year 1.
+
+    A century has 36524 = 92 * 397 days, with a leap day at its end 36525 = 75 * 487;
+    the last one ends with 9999 and has 36159 = 51 * 709.
+    """
+    century = F.floor((F.year(day) - 1) / 100).cast("int")
+    start = F.make_date(century * 100 + 1, F.lit(1), F.lit(1))
+    long, last = century % 4 == 3, century == 99
+    a = F.when(last, 51).when(long, 75).otherwise(92).cast("long")
+    b = F.when(last, 709).when(long, 487).otherwise(397).cast("long")
+    new = feistel(F.datediff(day, start).cast("long"), a, b, key, F.concat(F.lit("date"), century.cast("string")))
+    return F.when(F.year(day) >= 1, F.date_add(start, new.cast("int")))
 
 
 def _date(x: Column, key: str) -> Column:
@@ -153,18 +163,20 @@ def _date(x: Column, key: str) -> Column:
     made = F.when(iso, F.date_format(_permuted_day(plain, key), "yyyy-MM-dd"))
     made = made.when(by_day.isNotNull(), form(_permuted_day(by_day, key), "dd", "-", "MM", "-", "yyyy"))
     made = made.when(by_month.isNotNull() & (mark == "/"), form(_permuted_day(by_month, key), "MM", "-", "dd", "-", "yyyy"))
-    return F.coalesce(F.when(F.length(made) == 10, made), x)
+    return F.when(F.length(made) == 10, made)
 
 
 def _email(x: Column, key: str) -> Column:
     """Letters and digits before the last dot, moved within a-z, A-Z or 0-9."""
 
     def moved(s: Column, i: Column, other: Column) -> Column:
-        digest = _digest(key, "email", i, other)
+        # A digest moves 32 characters; longer parts have one for every 32.
+        blocks = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / 32).cast("int"))
+        digest = F.array_join(F.transform(blocks, lambda n: _digest(key, "email", i, F.concat_ws("|", n.cast("string"), other))), "")
 
         def char(k: Column) -> Column:
             c = F.ascii(F.substring(s, k, F.lit(1)))
-            by = F.conv(F.substring(digest, (k % 31) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            by = F.conv(F.substring(digest, k * 2 - 1, F.lit(2)), 16, 10).cast("int")
             to = F.when(c.between(97, 122), (c - 97 + by) % 26 + 97).when(c.between(65, 90), (c - 65 + by) % 26 + 65)
             return F.chr(to.when(c.between(48, 57), (c - 48 + by) % 10 + 48).otherwise(c))
 
@@ -189,7 +201,7 @@ def kind_of(x: Column) -> Column:
 
 
 def pseudonym(x: Column, key: str) -> Column:
-    """The pseudonym of one find; the find itself where it is not valid."""
+    """The pseudonym of one find; null where it is not valid."""
     kind = kind_of(x)
     makers = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
     made = F.when(kind == "card", _card(x, key))
@@ -206,7 +218,7 @@ def _finds(text: Column, key: str) -> Column:
 
 def _joined(text: Column, finds: Column) -> Column:
     between = F.split(text, PATTERN, -1)
-    put = F.array_join(F.zip_with(between, finds, lambda a, f: F.concat(a, F.coalesce(f["now"], F.lit("")))), "")
+    put = F.array_join(F.zip_with(between, finds, lambda a, f: F.concat(a, F.coalesce(f["now"], f["was"], F.lit("")))), "")
     return F.when(F.size(finds) > 0, put).otherwise(text)
 
 
@@ -217,7 +229,7 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text", counts: bool
     """
     rows = packed(df, text=F.col(text_col), finds=_finds(whole(text_col), key))
     rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), _joined(whole("text"), F.col("finds"))))
-    valid = lambda k: F.size(F.filter("finds", lambda f: (f["kind"] == k) & (f["was"] != f["now"]))).cast("long")
+    valid = lambda k: F.size(F.filter("finds", lambda f: (f["kind"] == k) & f["now"].isNotNull())).cast("long")
     names = [f"n_{k}" for k in KINDS] if counts else []
     own = [F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in names]
     return rows.select(*own, *[valid(k[2:]).alias(k) for k in names])
