@@ -67,3 +67,8 @@ def packed(df: DataFrame, **more: Column) -> DataFrame:
     ``select("_row.*")`` gives the columns back.
     """
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(k) for k, c in more.items()])
+
+
+def remainder(id_col: Column) -> Column:
+    """crc32 of the id as text, mod 5; a null id counts as the text ''."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5
