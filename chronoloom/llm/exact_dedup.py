@@ -1,20 +1,27 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 counts, for each of two positions a text hashes to, how many rows fall
-there.  Positions met at least twice become the bits of a filter: bitmaps of
-32,768 bits, broadcast.  Pass 2 probes the filter.  A row with a clear bit is
-surely the only one of its text and passes straight through; only the rest is
-shuffled, by SHA-256, and grouped exactly.  False positives cost a shuffle of
-the row, never a wrong result.
-
-The filter has 16 bits a row up to ``max_bits`` (256 MB at the default), which
-bounds the broadcast at any input size; beyond that more rows are shuffled.
+Pass 1 finds the hashes that may be repeated: the 64-bit hashes of all texts are
+counted, combined in each task before the shuffle, so of a row no more than its
+hash travels and a hot text is one row a task.  Hashes met twice fill a blocked
+Bloom filter: each has four bits within one bitmap of 32,768 bits.  Pass 2 probes
+the filter with one broadcast join.  A row with a clear bit is surely the only one
+of its text and passes straight through; only the rest is shuffled, by SHA-256,
+and grouped exactly.  False positives cost a shuffle of the row, never a wrong
+result.
+
+Only repeated hashes are in the filter, so its size follows their number and not
+that of the rows: 16 bits each (0.24 % false positives), in at most ``max_bits``
+(256 MB) and a sixteenth of an executor's or the driver's heap.  256 MB hold 134
+million repeated texts at that rate, and a billion at 51 %.  (Bitmaps of what each
+task has seen, merged by a shuffle, would move a whole filter for every task; the
+hashes are less as soon as there are more than a few tasks.)
 
 Defined cases: a null text counts as empty, so null and empty texts are equal.
 The row with the largest id stays; null ids are smaller than any id, and where
 all ids of a group are null they all count as the one that stays.  Rows that
 repeat both id and text are one document: ``kept`` is the same on each of them,
-and ``survivors`` returns one.  An empty table gives an empty result.
+and ``survivors`` returns one.  Ids of any orderable type; other columns may have
+any name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,43 +29,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import durable, packed, whole
+from chronoloom.llm.common import durable, executor_bytes, packed, whole
 
 #: Bits in one row of the filter, fixed by Spark's bitmap functions.
 BITMAP_BITS = 32768
+#: Bits of a hash in its bitmap, from 15 bits each of a second hash.
+PROBES = 4
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
-def _positions(text: Column, half: int) -> list[Column]:
-    """Two positions from 1, the second beyond the half that the first uses."""
-    first = F.xxhash64(text)
-    return [F.pmod(first, F.lit(half)) + 1, F.pmod(F.xxhash64(first, F.lit(1)), F.lit(half)) + 1 + half]
+def _places(h: Column) -> list[Column]:
+    again = F.xxhash64(h, F.lit(1))
+    return [F.shiftrightunsigned(again, 15 * i).bitwiseAND(F.lit(BITMAP_BITS - 1)) for i in range(PROBES)]
 
 
-def filter_bits(rows: int, bits_per_row: int, max_bits: int) -> int:
-    """Smallest power of two with ``bits_per_row`` for each row, within 2**17 and ``max_bits``."""
-    return min(max_bits, 1 << max(17, (max(1, rows) * bits_per_row - 1).bit_length()))
+def bitmaps_for(hashes: int, bits_per_hash: int, max_bits: int) -> int:
+    """How many bitmaps give each hash its bits, within ``max_bits``; one at least."""
+    return max(1, min(-(-hashes * bits_per_hash // BITMAP_BITS), max_bits // BITMAP_BITS))
 
 
-def repeated_filter(texts: DataFrame, bits: int) -> DataFrame:
-    """``bucket, bitmap``: the positions that two or more rows of ``texts.t`` share."""
-    hits = texts.select(F.explode(F.array(*_positions(F.col("t"), bits // 2))).alias("p")).groupBy("p").count().where("count > 1")
-    return hits.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+def repeated_filter(texts: DataFrame, bits_per_hash: int, max_bits: int) -> tuple[DataFrame, int]:
+    """``bucket, bitmap`` of the hashes that two or more rows of ``texts.t`` share, and the number of buckets."""
+    again = durable(texts.select(_hash(F.col("t")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    buckets = bitmaps_for(again.count(), bits_per_hash, min(max_bits, executor_bytes(texts.sparkSession) // 16 * 8))
+    bits = again.select(F.pmod("h", F.lit(buckets)).alias("bucket"), F.explode(F.array(*_places(F.col("h")))).alias("p"))
+    return bits.groupBy("bucket").agg(F.bitmap_construct_agg("p").alias("bitmap")), buckets
 
 
-def _is_set(bitmap: Column, position: Column) -> Column:
-    at = F.bitmap_bit_position(position)
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+def _is_set(bitmap: Column, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
-def _probed(rows: DataFrame, bits: int, bitmaps: DataFrame) -> DataFrame:
+def _probed(rows: DataFrame, bitmaps: DataFrame, buckets: int) -> DataFrame:
     """``rows`` (with ``t``) and ``maybe``: whether its text may occur again."""
-    for k, p in enumerate(_positions(F.col("t"), bits // 2)):
-        one = bitmaps.select(F.col("bucket").alias(f"b{k}"), F.col("bitmap").alias(f"m{k}"))
-        rows = rows.withColumn(f"p{k}", p)
-        rows = rows.join(F.broadcast(one), F.bitmap_bucket_number(f"p{k}") == F.col(f"b{k}"), "left")
-        rows = rows.withColumn(f"s{k}", _is_set(F.col(f"m{k}"), F.col(f"p{k}"))).drop(f"b{k}", f"m{k}", f"p{k}")
-    return rows.withColumn("maybe", F.col("s0") & F.col("s1")).drop("s0", "s1")
+    rows = rows.withColumn("h", _hash(F.col("t"))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    found = rows.join(F.broadcast(bitmaps), "bucket", "left")
+    every = F.lit(True)
+    for place in _places(F.col("h")):
+        every &= _is_set(F.col("bitmap"), place)
+    return found.withColumn("maybe", F.coalesce(every, F.lit(False))).drop("h", "bucket", "bitmap")
 
 
 def _groups(again: DataFrame) -> DataFrame:
@@ -72,12 +85,11 @@ def _groups(again: DataFrame) -> DataFrame:
 
 
 def exact_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 31
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 31
 ) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     texts = df.select(F.col(id_col).alias("id"), whole(text_col).alias("t"))
-    bits = filter_bits(df.count(), bits_per_row, max_bits)
-    rows = _probed(texts, bits, repeated_filter(texts, bits))
+    rows = _probed(texts, *repeated_filter(texts, bits_per_hash, max_bits))
     digests = durable(rows.select("id", F.sha2("t", 256).alias("sha"), "maybe"))
     alone = digests.where(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))
     again = digests.where("maybe").select("id", "sha")
@@ -92,7 +104,7 @@ def exact_groups(
 
 
 def survivors(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 31
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 31
 ) -> DataFrame:
     """The rows of ``df`` that stay, one of each text, with the columns of ``df``.
 
@@ -100,11 +112,11 @@ def survivors(
     the row with the largest id of each text is carried on.
     """
     texts = df.select(F.col(id_col).alias("id"), whole(text_col).alias("t"))
-    bits = filter_bits(df.count(), bits_per_row, max_bits)
-    bitmaps = durable(repeated_filter(texts, bits))
-    rows = _probed(packed(df, id=F.col(id_col), t=whole(text_col)), bits, bitmaps)
+    bitmaps, buckets = repeated_filter(texts, bits_per_hash, max_bits)
+    bitmaps = durable(bitmaps)
+    rows = _probed(packed(df, id=F.col(id_col), t=whole(text_col)), bitmaps, buckets)
     again = rows.where("maybe").withColumn("sha", F.sha2("t", 256))
-    best = _groups(_probed(texts, bits, bitmaps).where("maybe").select("id", F.sha2("t", 256).alias("sha")))
+    best = _groups(_probed(texts, bitmaps, buckets).where("maybe").select("id", F.sha2("t", 256).alias("sha")))
     best = best.select(F.col("sha").alias("best_sha"), "keep")
     on = (F.col("sha") == F.col("best_sha")) & F.col("id").eqNullSafe(F.col("keep"))
     chosen = again.join(best, on, "left_semi").groupBy("sha").agg(F.first("_row").alias("_row"))
