@@ -7,14 +7,16 @@ leaves weight only where the labels give reason, so the model is a short list of
 (place, weight) that is broadcast for scoring.
 
 Bounds: the learner is one sequential task and sees a seeded sample of at most
-about ``max_labelled`` (12,000) labelled rows, features computed in parallel
-before; the model has at most 2**22 weights and in practice some thousands.
-Every row is scored, on its whole text.
+about ``max_labelled`` (12,000) labelled ids, in an order of their hashes and only
+while their features number at most ``max_features`` (100 million, 400 MB) in all;
+features are computed in parallel before.  The model has at most 2**22 weights
+and in practice some thousands.  Every row is scored, on its whole text.
 
 Defined cases: null and empty texts have the score of the base rate; a null id
 counts as the text '' for the held-out rule; null labels are left out, of several
-labels of one id the highest counts; without labels every score is 0.05 or less;
-repeated rows score alike.
+labels of one id the highest counts, of rows that repeat an id one is learned
+from; without labels every score is 0.05 or less; repeated rows score alike; an
+empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import remainder
+
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 BITS = 22
@@ -88,17 +92,13 @@ class Model:
     weights: np.ndarray
 
 
-def remainder(id_col: Column) -> Column:
-    """crc32 of the id as text, mod 5."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5
-
-
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     max_labelled: int = 12_000,
+    max_features: int = 100_000_000,
     epochs: int = 3,
     alpha: float = 0.1,
     beta: float = 1.0,
@@ -114,20 +114,27 @@ def fit(
     picked = known.withColumn("turn", order).where(F.col("turn") < int(share * (1 << 30)))
     seen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "doc_id")
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def features(texts: pd.Series) -> pd.Series:
         hasher = Hasher()
-        for pdf in batches:
-            yield pd.DataFrame({"turn": pdf["turn"], "y": pdf["y"], "at": [hasher.places(t).astype(np.int32) for t in pdf["t"].tolist()]})
+        return pd.Series([hasher.places(t).astype(np.int32) for t in texts.tolist()])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.asarray(at, np.int64), y) for pdf in batches for at, y in zip(pdf["at"], pdf["y"].tolist())]
+        rows, held = [], 0
+        for pdf in batches:
+            for at, y in zip(pdf["at"], pdf["y"].tolist()):
+                held += len(at)
+                if held <= max_features:
+                    rows.append((np.asarray(at, np.int32), y))
         rate = (sum(y for _, y in rows) + 0.5) / (len(rows) + 10)
         offset = float(np.log(rate / (1 - rate)))
         w = ftrl(rows, offset, BITS, epochs, alpha, beta, l1, l2)
         yield pd.DataFrame({"at": [-1, *w], "w": [offset, *w.values()]})
 
-    rows = seen.select("turn", "y", "t").mapInPandas(features, "turn bigint, y int, at array<int>")
-    model = rows.repartition(1).sortWithinPartitions("turn", "at").mapInPandas(learn, "at int, w double").toPandas()
+    # One row an id, shrunk before the shuffle; then all of them in one task, in the order of their hashes.
+    rows = seen.select("doc_id", "turn", "y", features("t").alias("at")).groupBy("doc_id").agg(F.min(F.struct("turn", "y", "at")).alias("r"))
+    rows = rows.coalesce(1).select("doc_id", "r.*").sortWithinPartitions("turn", "doc_id").drop("doc_id")
+    model = rows.mapInPandas(learn, "at int, w double").toPandas()
     offset = model.loc[model["at"] < 0, "w"]
     model = model[model["at"] >= 0]
     return Model(float(offset.iloc[0]) if len(offset) else float(np.log(0.05 / 0.95)), model["at"].to_numpy(np.int64), model["w"].to_numpy(float))
