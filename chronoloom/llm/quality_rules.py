@@ -8,14 +8,18 @@ verdict's threshold is read from labelled rows that pass the base rules: the
 score that parts bad from good best while at most ``max_false`` of the good ones
 are rejected.
 
-Bounds: the forest is fitted on at most ``trees * subsample`` rows (12,800), which
-is what isolation forests use at any size; the threshold on counts of 1,000
-score bins by label.  The forest (under 1 MB) travels with the scoring function.
+Bounds: the forest is fitted on a sample of about ``trees * subsample`` ids (12,800,
+thinned by a hash of the id before anything leaves a task), which is what isolation
+forests use at any size; the threshold on counts of 1,000 score bins of all
+labelled rows.  The forest (under 1 MB) travels with the scoring function.
+Statistics are computed once and kept.
 
 Defined cases: a null or empty text has no words, so base_failed; a row with a
-null id is scored like any other but not used for calibration; without labelled
-rows of both kinds nothing but the base rules rejects; an empty table gives an
-empty result.
+null id is scored like any other but used neither for the forest nor for the
+threshold; of rows that repeat an id one is in the sample; any quality over 0 is
+good, and of several labels of an id the lowest counts; without labelled rows of
+both kinds nothing but the base rules rejects; an empty table gives an empty
+result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import durable, packed
+from chronoloom.llm.common import kept_table, packed
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -169,40 +173,44 @@ def _scored(rows: DataFrame, forest: Forest) -> DataFrame:
     return rows.withColumn("score", score(*[F.col(c) for c in RATES]))
 
 
-def fitted(
-    stats: DataFrame, labels: DataFrame, trees: int = 200, subsample: int = 64, max_false: float = 0.002, bins: int = 1000, seed: int = 5
-) -> tuple[Rules, DataFrame]:
-    """The rules, and ``stats`` (``id`` and the statistics of each row) with scores."""
-    picked = stats.orderBy(F.xxhash64("id", F.lit(seed)), "id", *RATES).limit(trees * subsample).select(*RATES).toPandas()
-    forest = grow(picked.to_numpy(float).reshape(-1, len(RATES)), trees, subsample, seed)
-    scored = durable(_scored(stats, forest))
+def sampled(stats: DataFrame, size: int, seed: int) -> np.ndarray:
+    """The rates of about ``size`` ids of ``stats``, chosen by a hash of the id."""
+    share = min(1.0, size / max(1, stats.count()))
+    turn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))
+    picked = stats.where(F.col("id").isNotNull() & turn).groupBy("id").agg(F.min(F.struct(*RATES)).alias("r")).select("r.*").toPandas()
+    picked = picked.sort_values(list(RATES))  # the same forest, in whatever order the rows arrive
+    return picked.to_numpy(float).reshape(-1, len(RATES))
+
+
+def fitted(stats: DataFrame, labels: DataFrame, trees: int = 200, subsample: int = 64, max_false: float = 0.002, bins: int = 1000, seed: int = 5) -> Rules:
+    """The rules for ``stats``: ``id`` and the statistics of each row."""
+    forest = grow(sampled(stats, trees * subsample, seed), trees, subsample, seed)
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    seen = scored.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(known, scored["id"] == known["doc_id"])
-    counts = seen.groupBy("quality", F.floor(F.col("score") * bins).alias("bin")).count().collect()
-    by = {q: {r["bin"]: r["count"] for r in counts if (r["quality"] > 0) == q} for q in (True, False)}
-    return Rules(forest, best_threshold(by[True], by[False], bins, max_false)), scored
+    seen = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(known, stats["id"] == known["doc_id"])
+    binned = _scored(seen.select("quality", *RATES), forest).select((F.col("quality") > 0).alias("good"), F.floor(F.col("score") * bins).alias("bin"))
+    counts = binned.groupBy("good", "bin").count().collect()
+    by = {q: {r["bin"]: r["count"] for r in counts if r["good"] == q} for q in (True, False)}
+    return Rules(forest, best_threshold(by[True], by[False], bins, max_false))
 
 
-def statistics_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return durable(df.select(F.col(id_col).alias("id"), rule_statistics(F.col(text_col)).alias("s")).select("id", "s.*"))
+def _verdict(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``rows`` (with the statistics) and ``base_failed``, ``score``, ``kept``."""
+    rows = _scored(rows, rules.forest).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") < rules.threshold))
 
 
 def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``score`` and ``kept``."""
-    rules, scored = fitted(statistics_table(df, id_col, text_col), labels)
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    out = scored.select(F.col("id").alias(id_col), *_COUNTS, failed.alias("base_failed"), "score")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") < rules.threshold))
+    stats = kept_table(df.select(F.col(id_col).alias("id"), rule_statistics(F.col(text_col)).alias("s")).select("id", "s.*"))
+    return _verdict(stats, fitted(stats, labels)).select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "score", "kept")
 
 
 def survivors(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that the rules keep.  The fitted rules are small, so rows are judged where they lie, without a shuffle."""
-    rules, _ = fitted(statistics_table(df, id_col, text_col), labels)
-
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
-        s = np.array([statistics_of(t) for t in texts.tolist()], float).reshape(-1, len(_COUNTS) + len(RATES))
-        fine = (s[:, 0] >= 10) & (100 * s[:, 4] <= 20 * s[:, 0])
-        return pd.Series(fine & (rules.forest.score(s[:, len(_COUNTS) :]) < rules.threshold))
-
-    return packed(df, keeps=keeps(F.col(text_col))).where("keeps").select("_row.*")
+    """The rows of ``df`` that the rules keep.
+
+    Rows are kept with their statistics in one pass over the texts; the fit then
+    reads the statistics' columns alone, and the last pass filters, without a shuffle.
+    """
+    rows = kept_table(packed(df, id=F.col(id_col), s=rule_statistics(F.col(text_col))))
+    rules = fitted(rows.select("id", "s.*"), labels)
+    return _verdict(rows.select("_row", "s.*"), rules).where("kept").select("_row.*")
