@@ -2,6 +2,12 @@
 
 Times are ``timestamp_ntz``.  All are compositions of built-in functions: one
 shuffle on the series key, no join for as-of, equi-joins for interval joins.
+
+Where rows follow each other, all rows of a key meet in one task.  For keys too
+long for that, ``stretch`` (an interval) makes the window one on the key and that
+stretch of time, so a key spreads over as many tasks as it has stretches.  What a
+stretch takes over from those before it comes from one row a stretch; that small
+table is joined on the same partitioning, so the rows are shuffled once still.
 """
 
 from __future__ import annotations
@@ -28,6 +34,19 @@ def _length(interval: str) -> Column:
     return _since_epoch(F.lit("1970-01-01").cast("timestamp_ntz") + F.expr(f"INTERVAL {interval}"))
 
 
+def _at(keys: list[str], time: str, stretch: str) -> Column:
+    """The keys and the number of the stretch as one value; null equals null in it, as in a window."""
+    return F.struct(*[F.col(c) for c in keys], F.floor(_since_epoch(F.col(time)) / _length(stretch)).alias("_n"))
+
+
+def _taken_over(rows: DataFrame, keys: list[str], carried: Column, ahead: bool) -> DataFrame:
+    """``_s, _c``: for each stretch ``_s`` the last ``carried`` (an aggregate) of those before it, or the next after it."""
+    number = F.col("_s._n")
+    order = number.desc() if ahead else number.asc()
+    w = Window.partitionBy(*[F.col(f"_s.`{c}`") for c in keys]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("_s").agg(carried.alias("_e")).select("_s", F.last("_e", ignorenulls=True).over(w).alias("_c"))
+
+
 def bucket(df: DataFrame, time: str, every: str, by: list[str], aggs: list[Column], slide: str | None = None) -> DataFrame:
     """Aggregates per key and window [start, end); windows count from the epoch, calendar units are not windows."""
     w = F.window(time, every, slide) if slide else F.window(time, every)
@@ -54,21 +73,41 @@ def grid(df: DataFrame, time: str, every: str, by: list[str]) -> DataFrame:
     return ends.select(*by, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {every}"))).alias(time))
 
 
-def fill(df: DataFrame, time: str, value: str, by: list[str], method: str = "forward", tie: list[str] | None = None) -> DataFrame:
+def fill(df: DataFrame, time: str, value: str, by: list[str], method: str = "forward", tie: list[str] | None = None, stretch: str | None = None) -> DataFrame:
     """``df`` with nulls of ``value`` replaced by the last value before (``forward``) or the next after (``backward``)."""
-    order = [F.col(c).desc() if method == "backward" else F.col(c).asc() for c in (time, *(tie or []))]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
-
-
-def interpolate(df: DataFrame, time: str, value: str, every: str, by: list[str]) -> DataFrame:
+    ahead = method == "backward"
+    order = [F.col(c).desc() if ahead else F.col(c).asc() for c in (time, *(tie or []))]
+    over = lambda *keys: F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if not stretch:
+        return df.withColumn(value, over(*by))
+    rows = df.withColumn("_s", _at(by, time, stretch))
+    # Null times come first in a window's ascending order, and last in its descending one.
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(time).isNotNull(), F.col(time), *[F.col(c) for c in tie or []]))
+    edges = _taken_over(rows, by, F.min_by(value, known) if ahead else F.max_by(value, known), ahead)
+    filled = rows.withColumn(value, over("_s")).join(edges, "_s", "left")
+    return filled.withColumn(value, F.coalesce(value, "_c")).select(*df.columns)
+
+
+def interpolate(df: DataFrame, time: str, value: str, every: str, by: list[str], stretch: str | None = None) -> DataFrame:
     """Regular times of each series with the value before, the value after and the linear value between.
 
-    Rows with a null time or value are no anchors; of equal times the largest value is one.
+    Rows with a null time or value are no anchors; of equal times the largest value
+    is one.  The rows are dealt by the series first, so that one shuffle serves both
+    the anchors and their neighbours.
     """
-    anchors = df.where(F.col(time).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(time).alias("t0")).agg(F.max(value).alias("v0"))
-    w = Window.partitionBy(*by).orderBy("t0")
-    spans = anchors.select(*by, "t0", "v0", F.lead("t0").over(w).alias("t1"), F.lead("v0").over(w).alias("v1"))
+    rows = df.where(F.col(time).isNotNull() & F.col(value).isNotNull())
+    rows = rows.select(*by, F.col(time).alias("t0"), F.col(value).alias("v0"))
+    if stretch:
+        rows = rows.withColumn("_s", _at(by, "t0", stretch))
+    keys = ["_s"] if stretch else by
+    rows = rows.repartition(*keys) if keys else rows
+    anchors = rows.groupBy(*dict.fromkeys([*by, *keys]), "t0").agg(F.max("v0").alias("v0"))
+    here = F.lead(F.struct("t0", "v0")).over(Window.partitionBy(*keys).orderBy("t0"))
+    spans = anchors.withColumn("_next", here)
+    if stretch:
+        edges = _taken_over(rows, by, F.min(F.struct(F.col("t0"), (-F.col("v0")).alias("v"))), True)
+        spans = spans.join(edges, "_s", "left").withColumn("_next", F.coalesce("_next", F.when(F.col("_c").isNotNull(), F.struct(F.col("_c.t0").alias("t0"), (-F.col("_c.v")).alias("v0")))))
+    spans = spans.select(*by, "t0", "v0", F.col("_next.t0").alias("t1"), F.col("_next.v0").alias("v1"))
     step = F.expr(f"INTERVAL {every}")
     first = F.timestamp_add("MICROSECOND", F.pmod(-_since_epoch(F.col("t0")), _length(every)), F.col("t0"))
     last = F.coalesce(F.timestamp_add("MICROSECOND", F.lit(-1), F.col("t1")), F.col("t0"))
@@ -89,27 +128,15 @@ def asof(
     tolerance: str | None = None,
     allow_exact: bool = True,
     tie: list[str] | None = None,
-    every: str | None = None,
+    stretch: str | None = None,
 ) -> DataFrame:
     """``left`` with ``right_<time>`` and ``right_<value>`` of its match, null without one.
 
-    Both sides go through one window on the key; no join.  Of right rows at one
-    time the last by ``tie`` (then by its values) matches.  Null keys or times
-    match nothing.  ``nearest`` takes the earlier of two equally near matches.
-
-    With ``every``, the window is on the key and that stretch of time, so a key
-    with a huge history spreads over as many tasks as it has stretches; what a
-    stretch carries over from those before it comes from one row a stretch.
+    Both sides go through windows on the key, after one shuffle; no join.  Of right
+    rows at one time the last by ``tie`` (then by its values) matches.  Null keys
+    or times match nothing.  ``nearest`` looks both ways in the same partitions and
+    takes the earlier of two equally near matches.
     """
-    if direction == "nearest":
-        names = left.columns
-        back = asof(left, right, time, by, values, "backward", tolerance, allow_exact, tie, every)
-        mine, other = F.struct(*[F.col(f"right_{c}") for c in (time, *values)]).alias("_b"), [f"right_{c}" for c in (time, *values)]
-        held = back.select(*names, mine)
-        ahead = asof(held, right, time, by, values, "forward", tolerance, allow_exact, tie, every)
-        before, after = F.col(f"_b.right_{time}"), F.col(f"right_{time}")
-        first = before.isNotNull() & (after.isNull() | (micros(F.col(time), before) <= micros(after, F.col(time))))
-        return ahead.select(*names, *[F.when(first, F.col(f"_b.{c}")).otherwise(F.col(c)).alias(c) for c in other])
     keyed = F.lit(True)
     for c in by:
         keyed &= F.col(c).isNotNull()
@@ -119,55 +146,99 @@ def asof(
     kind = right.select(packed_right.alias("m")).schema["m"].dataType
     a = left.select(*by, F.col(time).alias("_t"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"), none.cast(kind).alias("_m"))
     b = right.select(*by, F.col(time).alias("_t"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), packed_right.alias("_m"))
+    rows, keys = a.unionByName(b), list(by)
+    if stretch:
+        rows, keys = rows.withColumn("_s", _at(by, "_t", stretch)), ["_s"]
     side = F.when(F.col("_m").isNotNull(), 0 if allow_exact else 1).otherwise(1 if allow_exact else 0)
-    ahead = direction == "forward"
-    order = [F.col("_t").desc() if ahead else F.col("_t").asc(), side, F.col("_m").asc()]
-    rows, parts = a.unionByName(b), list(by)
-    if every:
-        rows, parts = rows.withColumn("_s", F.floor(_since_epoch(F.col("_t")) / _length(every))), [*by, "_s"]
-    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("_f", F.last("_m", ignorenulls=True).over(w)).where("_l is not null")
-    if every:
-        found = found.join(_carried(rows, by, ahead), parts, "left").withColumn("_f", F.coalesce("_f", "_c"))
+    ways = {"backward": [False], "forward": [True], "nearest": [False, True]}[direction]
+    found = rows
+    for ahead in ways:
+        order = [F.col("_t").desc() if ahead else F.col("_t").asc(), side, F.col("_m").asc()]
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn(f"_f{ahead:d}", F.last("_m", ignorenulls=True).over(w))
+    found = found.where("_l is not null")
+    for ahead in ways if stretch else []:
+        sign = -1 if ahead else 1
+        edge = F.max(F.when(F.col("_m").isNotNull(), F.struct((sign * _since_epoch(F.col("_t"))).alias("t"), "_m")))
+        edges = _taken_over(rows, by, edge, ahead).select("_s", F.col("_c._m").alias("_c"))
+        found = found.join(edges, "_s", "left").withColumn(f"_f{ahead:d}", F.coalesce(f"_f{ahead:d}", "_c")).drop("_c")
+    if direction == "nearest":
+        before, after = F.col(f"_f0.{time}"), F.col(f"_f1.{time}")
+        first = before.isNotNull() & (after.isNull() | (micros(F.col("_t"), before) <= micros(after, F.col("_t"))))
+        found = found.withColumn("_f", F.when(first, F.col("_f0")).otherwise(F.col("_f1")))
+    else:
+        found = found.withColumnRenamed(f"_f{ways[0]:d}", "_f")
     fits = keyed & F.col("_t").isNotNull()
     if tolerance:
         fits &= F.abs(micros(F.col("_t"), F.col(f"_f.{time}"))) <= _length(tolerance)
     return found.select("_l.*", *[F.when(fits, F.col(f"_f.{c}")).alias(f"right_{c}") for c in (time, *values)])
 
 
-def _carried(rows: DataFrame, by: list[str], ahead: bool) -> DataFrame:
-    """Per key and stretch the match ``_c`` that the stretches before it (after it, if ``ahead``) leave."""
-    sign = -1 if ahead else 1
-    edge = F.max(F.when(F.col("_m").isNotNull(), F.struct((sign * _since_epoch(F.col("_t"))).alias("t"), "_m")))
-    w = Window.partitionBy(*by).orderBy(F.col("_s") * sign).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.groupBy(*by, "_s").agg(edge.alias("_e")).select(*by, "_s", F.last("_e._m", ignorenulls=True).over(w).alias("_c"))
-
+def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, upper: str, by: list[str] | None = None, lower: str = "0 seconds") -> DataFrame:
+    """Pairs with right time in [left time + ``lower``, left time + ``upper``] and equal ``by``.
 
-def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, width: str, seconds: int) -> DataFrame:
-    """Pairs with right time in [left time, left time + width]; no key.
-
-    Both sides are dealt to bins of the width (``seconds``), the left to the two
-    its interval can meet, so the join is an equi-join on the bin.
+    Both sides are dealt to bins as long as that interval, the left to the two that
+    it can meet, so the join is an equi-join on keys and bin, and a hot key spreads
+    over its bins.  Null keys and times match nothing.
     """
-    bin_of = lambda t: F.floor(_since_epoch(t) / (seconds * 1_000_000))
-    a = left.select("*", F.explode(F.array(bin_of(F.col(left_time)), bin_of(F.col(left_time)) + 1)).alias("_bin"))
-    b = right.withColumn("_bin", bin_of(F.col(right_time)))
-    near = F.col(right_time).between(F.col(left_time), F.col(left_time) + F.expr(f"INTERVAL {width}"))
-    return a.join(b, "_bin").where(near).drop("_bin")
-
-
-def rolling(df: DataFrame, time: str, by: list[str], window: str | int, aggs: dict[str, str]) -> DataFrame:
-    """``df`` with aggregates (SQL text) over the rows within ``window`` before each row's time, or over that many rows before it."""
-    frame = f"ROWS BETWEEN {window} PRECEDING" if isinstance(window, int) else f"RANGE BETWEEN INTERVAL {window} PRECEDING"
-    keys = ", ".join(f"`{c}`" for c in by)
-    over = f"OVER (PARTITION BY {keys} ORDER BY `{time}` {frame} AND CURRENT ROW)"
-    return df.withColumns({name: F.expr(f"{text} {over}") for name, text in aggs.items()})
-
-
-def delta(df: DataFrame, time: str, value: str, by: list[str]) -> DataFrame:
+    width = F.greatest(_length(upper) - _length(lower), F.lit(1))
+    bin_of = lambda us: F.floor(us / width)
+    first = bin_of(_since_epoch(F.col(left_time)) + _length(lower))
+    a = left.select("*", F.explode(F.array(first, first + 1)).alias("_bin"))
+    b = right.withColumn("_bin", bin_of(_since_epoch(F.col(right_time))))
+    near = F.col(right_time).between(F.col(left_time) + F.expr(f"INTERVAL {lower}"), F.col(left_time) + F.expr(f"INTERVAL {upper}"))
+    return a.join(b, [*(by or []), "_bin"]).where(near).drop("_bin")
+
+
+def rolling(df: DataFrame, time: str, by: list[str], window: str | int, aggs: dict[str, str], stretch: str | int | None = None, tie: list[str] | None = None) -> DataFrame:
+    """``df`` with aggregates (SQL text) over the rows within ``window`` before each row's time, or over that many rows before it.
+
+    With ``stretch``, rows that a later stretch still looks back to are dealt to it
+    as well, so it must be no shorter than the window.  A window of rows takes a
+    number of rows as stretch, rows being numbered through the key first, and a
+    ``tie`` that makes their order the same each time.
+    """
+    by_rows = isinstance(window, int)
+    frame = f"ROWS BETWEEN {window} PRECEDING" if by_rows else f"RANGE BETWEEN INTERVAL {window} PRECEDING"
+    order = ", ".join(f"`{c}`" for c in (time, *((tie or []) if by_rows else [])))
+    over = lambda keys: {name: F.expr(f"{text} OVER (PARTITION BY {keys} ORDER BY {order} {frame} AND CURRENT ROW)") for name, text in aggs.items()}
+    if not stretch:
+        return df.withColumns(over(", ".join(f"`{c}`" for c in by)))
+    keys = [F.col(c) for c in by]
+    if by_rows:
+        rows = _numbered(df, time, by, tie or [])
+        number, back = F.floor(F.col("_at") / stretch), F.floor((F.col("_at") + window) / stretch)
+    else:
+        us = _since_epoch(F.col(time))
+        rows, number, back = df, F.floor(us / _length(stretch)), F.floor((us + _length(window)) / _length(stretch))
+    # Rows without a time are a stretch of their own.
+    reach = F.coalesce(F.sequence(number, F.least(back, number + 1)), F.array(F.lit(None).cast("long")))
+    rows = rows.select("*", number.alias("_own"), F.explode(reach).alias("_in")).withColumn("_s", F.struct(*keys, "_in"))
+    return rows.withColumns(over("_s")).where("_own <=> _in").select(*df.columns, *aggs)
+
+
+def _numbered(df: DataFrame, time: str, by: list[str], tie: list[str]) -> DataFrame:
+    """``df`` and ``_at``: the number of each row in its key's order, counted day by day."""
+    rows = df.withColumn("_s", _at(by, time, "1 day"))
+    counts = rows.groupBy("_s").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*[F.col(f"_s.`{c}`") for c in by]).orderBy("_s._n").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_s", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_s").orderBy(time, *tie)) - 1
+    return rows.withColumn("_at", place).join(before, "_s").withColumn("_at", F.col("_at") + F.col("_before")).drop("_s", "_before")
+
+
+def delta(df: DataFrame, time: str, value: str, by: list[str], stretch: str | None = None) -> DataFrame:
     """``df`` with the change since the series' row before and the microseconds between."""
-    w = Window.partitionBy(*by).orderBy(time)
-    return df.withColumns({"change": F.col(value) - F.lag(value).over(w), "elapsed_us": micros(F.col(time), F.lag(time).over(w))})
+    before = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    if stretch:
+        rows = df.withColumn("_s", _at(by, time, stretch))
+        edges = _taken_over(rows, by, F.max_by(before, F.coalesce(_since_epoch(F.col(time)), F.lit(-(1 << 63)))), False)
+        rows = rows.withColumn("_b", F.lag(before).over(Window.partitionBy("_s").orderBy(time))).join(edges, "_s", "left")
+        rows = rows.withColumn("_b", F.coalesce("_b", "_c"))
+    else:
+        rows = df.withColumn("_b", F.lag(before).over(Window.partitionBy(*by).orderBy(time)))
+    rows = rows.withColumns({"change": F.col(value) - F.col("_b.v"), "elapsed_us": micros(F.col(time), F.col("_b.t"))})
+    return rows.select(*df.columns, "change", "elapsed_us")
 
 
 def align(series: dict[str, DataFrame], time: str, unit: str, value: str, by: list[str]) -> DataFrame:

@@ -128,7 +128,7 @@ def interpolate_hourly(spark, d):
 def interval_join(spark, d):
     a = _events(spark, d, "click").select(F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
     b = _events(spark, d, "error").select(F.col("event_id").alias("error_id"), F.col("ts").alias("error_ts"))
-    return series.interval_join(a, b, "click_ts", "error_ts", "5 seconds", 5).select("click_id", "error_id")
+    return series.interval_join(a, b, "click_ts", "error_ts", "5 seconds").select("click_id", "error_id")
 
 
 @_query(
@@ -137,7 +137,16 @@ def interval_join(spark, d):
 def interval_join_keyed(spark, d):
     a = _events(spark, d, "view").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("a"))
     b = _events(spark, d, "purchase").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("b"))
-    return a.join(b, "user_id").where(F.expr("b BETWEEN a AND a + INTERVAL 1 HOUR")).select("view_id", "purchase_id")
+    return series.interval_join(a, b, "a", "b", "1 hour", ["user_id"]).select("view_id", "purchase_id")
+
+
+@_query(
+    "SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 3 HOUR AND a.ts - INTERVAL 10 MINUTE WHERE a.event_type = 'view' AND b.event_type = 'purchase'"
+)
+def interval_join_before(spark, d):
+    a = _events(spark, d, "view").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("a"))
+    b = _events(spark, d, "purchase").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("b"))
+    return series.interval_join(a, b, "a", "b", "-10 minutes", ["user_id"], lower="-3 hours").select("view_id", "purchase_id")
 
 
 @_query(
@@ -180,12 +189,38 @@ def cross_correlation(spark, d):
 
 @_query(_ASOF.format(p=_P, v=_V, op=">="))
 def asof_backward_stretches(spark, d):
-    return _matched(spark, d, every="5 days")
+    return _matched(spark, d, stretch="5 days")
 
 
 @_query(_ASOF.format(p=_P, v=_V, op="<="))
 def asof_forward_stretches(spark, d):
-    return _matched(spark, d, direction="forward", every="5 days")
+    return _matched(spark, d, direction="forward", stretch="5 days")
+
+
+@_query(_QUERIES["asof_nearest"][1])
+def asof_nearest_stretches(spark, d):
+    return _matched(spark, d, direction="nearest", stretch="5 days")
+
+
+@_query(_QUERIES["interpolate_hourly"][1])
+def interpolate_hourly_stretches(spark, d):
+    return series.interpolate(_events(spark, d), "ts", "value", "1 hour", ["user_id"], "7 days").withColumn("linear", F.round("linear", 4))
+
+
+@_query(_QUERIES["rolling_time"][1])
+def rolling_time_stretches(spark, d):
+    out = series.rolling(_events(spark, d), "ts", ["user_id"], "1 day", {"n": "count(*)", "total": "sum(value)"}, "3 days")
+    return out.select("event_id", "n", F.round("total", 4).alias("total"))
+
+
+@_query(_QUERIES["rolling_rows"][1])
+def rolling_rows_stretches(spark, d):
+    return series.rolling(_events(spark, d), "ts", ["user_id"], 4, {"high": "max(value)"}, 10, ["event_id"]).select("event_id", "high")
+
+
+@_query(_QUERIES["differences"][1])
+def differences_stretches(spark, d):
+    return series.delta(_events(spark, d), "ts", "value", ["user_id"], "2 days").select("event_id", _R(F.col("change"), "change"), "elapsed_us")
 
 
 @_query(
@@ -223,6 +258,16 @@ def fill_backward(spark, d):
     return series.fill(_gappy(spark, d), "ts", "value", ["user_id"], "backward").select("event_id", "value")
 
 
+@_query(_GAPS.format(v="CASE WHEN event_type = 'view' THEN value END", o=""))
+def fill_forward_stretches(spark, d):
+    return series.fill(_gappy(spark, d), "ts", "value", ["user_id"], stretch="1 day").select("event_id", "value")
+
+
+@_query(_GAPS.format(v="CASE WHEN event_type = 'view' THEN value END", o="DESC"))
+def fill_backward_stretches(spark, d):
+    return series.fill(_gappy(spark, d), "ts", "value", ["user_id"], "backward", stretch="1 day").select("event_id", "value")
+
+
 @_query(
     "WITH x AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, avg(value) AS a FROM events WHERE event_type = 'view' GROUP BY 1), "
     "y AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, avg(value) AS b FROM events WHERE event_type = 'purchase' GROUP BY 1) "
@@ -233,9 +278,14 @@ def clock_offset(spark, d):
     return series.clock_offset(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", 3).withColumn("corr", F.round("corr", 4))
 
 
-@_query("")
+@_query(
+    "WITH p AS (SELECT user_id, event_type, list(v ORDER BY t) AS s FROM (SELECT user_id, event_type, date_trunc('day', ts) AS t, avg(value) AS v FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL) GROUP BY ALL) "
+    "SELECT a.user_id, round(list_reduce(list_transform(a.s, lambda v: [v]), lambda before, x: "
+    "list_reduce(list_transform(b.s, lambda v: [v]), lambda row, y: list_append(row, abs(x[1] - y[1]) + least(row[len(row)], before[len(row) + 1], before[len(row)])), ['inf'::DOUBLE]), "
+    "list_prepend(0::DOUBLE, list_transform(b.s, lambda v: 'inf'::DOUBLE)))[-1], 4) AS distance FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase'"
+)
 def dtw_daily(spark, d):
-    return series.dtw(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", "day", ["user_id"])
+    return series.dtw(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", "day", ["user_id"]).withColumn("distance", F.round("distance", 4))
 
 
 def queries() -> dict[str, Query]:
