@@ -29,49 +29,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import durable, executor_bytes, packed, whole
-
-#: Bits in one row of the filter, fixed by Spark's bitmap functions.
-BITMAP_BITS = 32768
-#: Bits of a hash in its bitmap, from 15 bits each of a second hash.
-PROBES = 4
-
+from chronoloom.llm.bloom import MAX_BITS, filter_of, probed
+from chronoloom.llm.common import durable, packed, whole
 
 def _hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _places(h: Column) -> list[Column]:
-    again = F.xxhash64(h, F.lit(1))
-    return [F.shiftrightunsigned(again, 15 * i).bitwiseAND(F.lit(BITMAP_BITS - 1)) for i in range(PROBES)]
-
-
-def bitmaps_for(hashes: int, bits_per_hash: int, max_bits: int) -> int:
-    """How many bitmaps give each hash its bits, within ``max_bits``; one at least."""
-    return max(1, min(-(-hashes * bits_per_hash // BITMAP_BITS), max_bits // BITMAP_BITS))
-
-
 def repeated_filter(texts: DataFrame, bits_per_hash: int, max_bits: int) -> tuple[DataFrame, int]:
-    """``bucket, bitmap`` of the hashes that two or more rows of ``texts.t`` share, and the number of buckets."""
-    again = durable(texts.select(_hash(F.col("t")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    buckets = bitmaps_for(again.count(), bits_per_hash, min(max_bits, executor_bytes(texts.sparkSession) // 16 * 8))
-    bits = again.select(F.pmod("h", F.lit(buckets)).alias("bucket"), F.explode(F.array(*_places(F.col("h")))).alias("p"))
-    return bits.groupBy("bucket").agg(F.bitmap_construct_agg("p").alias("bitmap")), buckets
-
-
-def _is_set(bitmap: Column, place: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (place % 8).cast("int")) == 1
+    """The filter of the hashes that two or more rows of ``texts.t`` share, and its number of buckets."""
+    again = texts.select(_hash(F.col("t")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    return filter_of(durable(again), bits_per_hash, max_bits)
 
 
 def _probed(rows: DataFrame, bitmaps: DataFrame, buckets: int) -> DataFrame:
     """``rows`` (with ``t``) and ``maybe``: whether its text may occur again."""
-    rows = rows.withColumn("h", _hash(F.col("t"))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    found = rows.join(F.broadcast(bitmaps), "bucket", "left")
-    every = F.lit(True)
-    for place in _places(F.col("h")):
-        every &= _is_set(F.col("bitmap"), place)
-    return found.withColumn("maybe", F.coalesce(every, F.lit(False))).drop("h", "bucket", "bitmap")
+    return probed(rows, _hash(F.col("t")), bitmaps, buckets)
 
 
 def _groups(again: DataFrame) -> DataFrame:
@@ -85,7 +58,7 @@ def _groups(again: DataFrame) -> DataFrame:
 
 
 def exact_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 31
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     texts = df.select(F.col(id_col).alias("id"), whole(text_col).alias("t"))
@@ -104,7 +77,7 @@ def exact_groups(
 
 
 def survivors(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = 1 << 31
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """The rows of ``df`` that stay, one of each text, with the columns of ``df``.
 
