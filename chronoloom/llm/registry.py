@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import exact_dedup, packing, pieces, pii, quality_rules, secret_scan, sharding, simhash, site_quality, toxicity
-from chronoloom.llm.common import table, whole
+from chronoloom.llm.common import spread, table, whole
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,15 +21,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judged(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scanned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secret_scan.scanned(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return site_quality.posteriors(docs, table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
 
 
@@ -38,11 +38,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_groups(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_groups(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.segmentation_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.segmentation_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
