@@ -5,12 +5,13 @@ zone is UTC.  Rows at or before the watermark that the micro-batch before had
 count as late and are dropped by the stateful operators; windows, sessions and unmatched rows come out once the
 watermark has passed them, so a drained stream equals the batch operator on the
 closed prefix.  State is evicted by the watermark, so its size follows the delay
-and the number of live keys, not the length of the stream.
+and the number of live keys, not the length of the stream.  It is kept in RocksDB,
+outside the executors' heap.
 """
 
 from __future__ import annotations
 
-import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chronoloom.operators import series
 
@@ -56,46 +57,72 @@ def distinct_within(df: DataFrame, keys: list[str]) -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], delay: str) -> DataFrame:
     """Each left row with the latest right row of its key at or before it, once the watermark has passed it.
 
-    Adds ``right_<time>`` and ``right_<value>``.  Per key the state holds the left
-    rows still open, the right rows that the watermark has not passed, and the
-    latest one that it has.  A null key matches nothing.  Of tied right rows the
-    one whose values are largest as JSON text matches.  ``left`` and ``right``
-    come without a watermark of their own.
+    Adds ``right_<time>`` and ``right_<value>``.  Per key the state holds, as a
+    list, the rows that the watermark has not passed, and the latest right row that
+    it has.  New rows are appended without reading the list; a timer has it read
+    when the watermark passes some of them.  A null key matches nothing.  Of tied
+    right rows the one whose values are largest as JSON text matches.  ``left`` and
+    ``right`` come without a watermark of their own; the session's state store must
+    be RocksDB, which ``drain`` sees to.
     """
     names = [time, *values]
     row = lambda cols: F.to_json(F.struct(*cols), _JSON)
-    keyed = lambda df, side, text: df.where(F.col(time).isNotNull()).select(*by, F.col(time).cast("timestamp").alias("_at"), F.lit(side).alias("_left"), text.alias("_row"))
+    keyed = lambda df, side, text: df.where(F.col(time).isNotNull()).select(*by, F.col(time).cast("timestamp").alias("_at"), F.lit(side).alias("side_left"), text.alias("row_text"))
     usable = right.where(" AND ".join(f"`{k}` IS NOT NULL" for k in by))
     both = keyed(left, True, row(left.columns)).unionByName(keyed(usable, False, row(names)))
-    both = both.withWatermark("_at", delay).withColumn("_us", F.unix_micros("_at"))
-    found = both.groupBy(*by).applyInPandasWithState(_matched, "_l string, _r string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    both = both.withWatermark("_at", delay).withColumn("at_us", F.unix_micros("_at"))
+    found = both.groupBy(*by).transformWithStateInPandas(_AsOf(), "_l string, _r string", "append", "EventTime")
     kinds = lambda df, cols: ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
     found = found.select(F.from_json("_l", kinds(left, left.columns), _JSON).alias("_l"), F.from_json("_r", kinds(right, names), _JSON).alias("_r"))
     return found.select("_l.*", *[F.col(f"_r.{c}").alias(f"right_{c}") for c in names])
 
 
-def _matched(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One key's rows as (microseconds, is it a left row, row): right rows come before left ones of the same time."""
-    rows = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-    for pdf in batches:
-        rows += zip(pdf["_us"].tolist(), pdf["_left"].tolist(), pdf["_row"].tolist())
-    passed = state.getCurrentWatermarkMs() * 1000
-    out, last, held = [], None, []
-    for at, is_left, text in sorted(rows):
-        if at > passed:
-            held.append((at, is_left, text))
-        elif is_left:
-            out.append((text, last and last[2]))
+class _AsOf(StatefulProcessor):
+    """One key's open rows as (microseconds, is it a left row, row): right rows come before left ones of the same time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "at bigint, is_left boolean, row string")
+        self._last = handle.getValueState("last", "row string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = last = None
+        for pdf in rows:
+            self._open.appendList(list(zip(pdf["at_us"].tolist(), pdf["side_left"].tolist(), pdf["row_text"].tolist())))
+            low, high = int(pdf["at_us"].min()), int(pdf["at_us"].max())
+            first, last = low if first is None else min(first, low), high if last is None else max(last, high)
+        # One timer for the first of the new rows, one by which all of them have passed.
+        for at in {first, last} - {None}:
+            self._handle.registerTimer(self._passed_at(at))
+        yield pd.DataFrame({"_l": [], "_r": []}, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        last = self._last.get()[0] if self._last.exists() else None
+        out, held, newer = [], [], False
+        for at, is_left, text in sorted(tuple(x) for x in self._open.get()):
+            if at > passed:
+                held.append((at, is_left, text))
+            elif is_left:
+                out.append((text, last))
+            else:
+                last, newer = text, True
+        if held:
+            self._open.put(held)
+            self._handle.registerTimer(self._passed_at(held[0][0]))
         else:
-            last = (at, is_left, text)
-    held += [last] if last else []
-    if held:
-        state.update((json.dumps(held),))
-    elif state.exists:
-        state.remove()
-    if waits := [at for at, is_left, _ in held if is_left]:
-        state.setTimeoutTimestamp(-(-min(waits) // 1000))
-    yield pd.DataFrame(out, columns=["_l", "_r"], dtype=object)
+            self._open.clear()
+        if newer:
+            self._last.update((last,))
+        yield pd.DataFrame(out, columns=["_l", "_r"], dtype=object)
+
+    @staticmethod
+    def _passed_at(us: int) -> int:
+        """The timer, in milliseconds, that goes off once the watermark is at or past ``us``."""
+        return -(-us // 1000) - 1
+
+    def close(self) -> None:
+        pass
 
 
 def fill_forward(df: DataFrame, time: str, value: str, by: list[str], delay: str) -> DataFrame:
@@ -106,9 +133,21 @@ def fill_forward(df: DataFrame, time: str, value: str, by: list[str], delay: str
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{top}/{kind}-{uuid.uuid4().hex}"
+    """A new folder below the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine (tests) gets a temporary folder;
+    on a cluster that is an error, since each executor would write to its own disk.
+    The caller removes the folder when its rows are no longer read.
+    """
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if top is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{top or tempfile.mkdtemp(prefix='spark-shared-')}/{kind}-{uuid.uuid4().hex}"
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drain(df: DataFrame, folder: str | None = None, **trigger) -> DataFrame:
@@ -119,5 +158,10 @@ def drain(df: DataFrame, folder: str | None = None, **trigger) -> DataFrame:
     spark = df.sparkSession
     folder = folder or shared_folder(spark, "stream")
     query = df.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
-    query.trigger(**(trigger or {"availableNow": True})).outputMode("append").start().awaitTermination()
+    store = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        query.trigger(**(trigger or {"availableNow": True})).outputMode("append").start().awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if store is None else spark.conf.set(_STORE, store)
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")

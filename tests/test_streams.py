@@ -31,6 +31,23 @@ def test_asof_carries_state_between_batches(spark, tmp_path):
     assert got == {big: ("a", AT(10), AT(9), None), 2: (None, AT(11), None, None), 3: ("a", AT(30), AT(30), 3.5), 4: ("b", AT(90), None, None)}
 
 
+def test_asof_at_the_watermark(spark, tmp_path):
+    # The watermark ends at 440: the row at 440 comes out, with the right row of the same time; the one after it stays open.
+    _arrive(spark, tmp_path / "l", [("a", AT(440), 1, None), ("a", AT(440.001), 2, None)], [("b", AT(500), 3, None)])
+    _arrive(spark, tmp_path / "r", [("a", AT(440), 1, 4.5)], [("c", AT(500), 9, 9.0)])
+    out = streams.asof(_stream(spark, tmp_path / "l").select("k", "ts", "id"), _stream(spark, tmp_path / "r").select("k", "ts", "v"), "ts", ["k"], ["v"], "60 seconds")
+    assert {r.id: r.right_v for r in streams.drain(out).collect()} == {1: 4.5}
+
+
+def test_state_of_a_key_is_read_by_timers_only(spark, tmp_path):
+    """Many batches of one key, each far behind the watermark's delay but the last: all rows match, in order."""
+    files = [[("a", AT(10 * i), i, float(i))] for i in range(6)] + [[("b", AT(5000), 99, 0.0)]]
+    _arrive(spark, tmp_path / "l", *files)
+    _arrive(spark, tmp_path / "r", *[[("a", AT(10 * i - 1), i, float(i))] for i in range(6)], [("b", AT(5000), 99, 0.0)])
+    out = streams.asof(_stream(spark, tmp_path / "l").select("k", "ts", "id"), _stream(spark, tmp_path / "r").select("k", "ts", "v"), "ts", ["k"], ["v"], "1000 seconds")
+    assert {r.id: r.right_v for r in streams.drain(out).collect()} == {i: float(i) for i in range(6)}
+
+
 def test_drain_goes_on_where_it_stopped(spark, tmp_path):
     _arrive(spark, tmp_path / "in", [("a", AT(0), 1, 1.0), ("a", AT(100), 2, None)])
     run = lambda: {r.id: r.filled for r in streams.drain(streams.fill_forward(_stream(spark, tmp_path / "in"), "ts", "v", ["k"], "10 seconds"), str(tmp_path / "out")).collect()}
