@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.functions import forms, quantiles
 from chronoloom.operators import series
 from chronoloom.plans.relational import RELATIONAL
 from chronoloom.plans.streams import STREAMS
@@ -288,6 +289,48 @@ def dtw_daily(spark, d):
     return series.dtw(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", "day", ["user_id"]).withColumn("distance", F.round("distance", 4))
 
 
+@_query(_QUERIES["dtw_daily"][1])
+def dtw_cogrouped(spark, d):
+    # A band as wide as the longest series leaves every path open.
+    return forms.banded_dtw(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", "day", ["user_id"], 400).withColumn("distance", F.round("distance", 4))
+
+
+@_query(
+    "SELECT user_id, bucket_start, round(list_reduce(list(v) OVER (PARTITION BY user_id ORDER BY bucket_start), lambda a, b: a * 2 / 3 + b / 3), 4) AS smooth "
+    "FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS bucket_start, avg(value) AS v FROM events GROUP BY 1, 2)"
+)
+def smoothed_daily(spark, d):
+    return forms.smoothed(_events(spark, d), "ts", "value", "day", ["user_id"], 1 / 3).withColumn("smooth", F.round("smooth", 4))
+
+
+@_query("SELECT p_partkey, nfc_normalize(p_name || 'e' || chr(769)) AS composed FROM part")
+def composed_names(spark, d):
+    return read(spark, d, "part").select("p_partkey", forms.nfc(F.concat("p_name", F.lit("e\u0301"))).alias("composed"))
+
+
+@_query(
+    "SELECT p_partkey, w AS word, (instr(' ' || p_name || ' ', ' ' || w || ' ') - 1)::INTEGER AS at FROM (SELECT p_partkey, p_name, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) WHERE w <> ''"
+)
+def part_words(spark, d):
+    words = forms.Words(F.col("p_name").outer())
+    found = read(spark, d, "part").select("p_partkey", "p_name").lateralJoin(words)
+    return found.groupBy("p_partkey", "word").agg(F.min("at").alias("at"))
+
+
+@_query("SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t WHERE c_nationkey < 5")
+def lateral_frame(spark, d):
+    theirs = read(spark, d, "orders").where(F.col("o_custkey") == F.col("c_custkey").outer())
+    top = theirs.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(2).select("o_orderkey")
+    return read(spark, d, "customer").where("c_nationkey < 5").lateralJoin(top).select("c_custkey", "o_orderkey")
+
+
+@_query("SELECT event_type, round(quantile_cont(value, 0.25), 4) AS q1, round(median(value), 4) AS q2 FROM events GROUP BY event_type")
+def percentiles(spark, d):
+    found = quantiles.exact_quantiles(_events(spark, d), ["event_type"], "value", [0.25, 0.5])
+    pick = lambda q, name: F.round(F.max(F.when(F.col("q") == q, F.col("quantile"))), 4).alias(name)
+    return found.groupBy("event_type").agg(pick(0.25, "q1"), pick(0.5, "q2"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()} | {k: f for k, (f, _) in STREAMS.items()}
 
