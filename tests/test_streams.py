@@ -71,3 +71,16 @@ def test_tables_round_trip_and_bad_rows(spark, tmp_path):
         assert sorted(tables.scan(spark, str(tmp_path / format), format, "id int, t string, x double", **options).collect()) == sorted(df.collect())
     with pytest.raises(Exception, match="(?i)malformed|FAILED_READ"):
         tables.scan(spark, str(tmp_path / "json"), "json", "id int, t int, x double").collect()
+
+
+def test_a_database_table_is_read_in_ranges(spark):
+    """Over Spark's own embedded Derby, which lives in this JVM."""
+    url, driver = "jdbc:derby:memory:chronoloom;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = [(i, f"name {i}" if i % 7 else None, i / 3) for i in range(-5, 60)]
+    df = spark.createDataFrame(rows, "id long, name string, x double")
+    df.write.jdbc(url, "things", mode="overwrite", properties={"driver": driver})
+    back = tables.jdbc(spark, url, "things", "ID", 0, 50, 4, driver=driver)
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    few = back.where("id > 55").select("id")
+    assert few.count() == 4 and "PushedFilters: [*IsNotNull(id), *GreaterThan(id,55)]" in few._jdf.queryExecution().executedPlan().toString()
