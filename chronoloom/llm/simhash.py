@@ -7,18 +7,19 @@
    two fingerprints within the radius agree on at least three whole bands, so
    one key for each choice of three bands finds every such pair (``band_keys``).
    For a wide radius, keys are bands of min-hashes over the same shingles.
-3. ``links``: the rows of a key form a block.  A block holds its bit planes
+3. The rows of a key form a block.  A block holds its bit planes
    vertically: word w of plane b has bit b of 64 fingerprints.  For one query
    fingerprint against a block, each plane XORed with the query's bit is added
    to carry-save counters, 64 distances in one operation; a row of the block is
-   abandoned once all its distances exceed the radius.  Blocks over ``chunk``
-   rows are dealt as pairs of chunks to separate groups, so memory stays bounded
-   and no pair is lost.  Each group returns a spanning forest of its links, not
-   the pairs.
-4. With an exact ``similarity`` the radius only names candidates: rows of a block
-   that links join are a group, each different group is dealt once with the
-   shingle sets of its rows, and only pairs of that Jaccard similarity are links
-   (``exact_links``).
+   abandoned once all its distances exceed the radius.  A block over ``chunk``
+   rows is dealt as chunks, each with the block's pivot; only rows that nothing
+   joins to the pivot are compared with the other chunks (``linked``).  Each group
+   returns a spanning forest of its links, not the pairs.
+4. With an exact ``similarity`` the radius only names candidates: the rows that
+   they join, component by component, are dealt with their shingle sets, and only
+   pairs of that similarity are links (``exact_links``).  It is the cosine of the shingle sets, common shingles over
+   the geometric mean of both sizes: the similarity that agreeing SimHash bits
+   stand for.
 5. ``near_groups``: connected components over distinct fingerprints, or over
    distinct shingle sets where the similarity is exact.
 
@@ -26,19 +27,23 @@ Defined cases: null and empty texts (no word) have fingerprint zero, linked like
 any other; fewer words than a shingle give one shingle of all words.  Equal
 fingerprints are one node, whatever their ids.  ``component_id`` is the smallest
 id that is not null (null if a group has none).  Repeated rows each get a row.
+Ids of any type come back as they are; only the id and the text are read, so
+other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.bloom import filter_of, probed
 from chronoloom.llm.common import durable, packed
 from chronoloom.llm.graph import components
 
@@ -92,10 +97,19 @@ def band_keys(fp: bytes, radius: int) -> list[int]:
     return keys
 
 
+@cache
+def _multipliers(n: int) -> np.ndarray:
+    """``n`` odd numbers of 64 bits."""
+    return remix(np.arange(n, dtype=_U), 1000) | _U(1)
+
+
 def minhash_keys(h: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One key for each band of ``rows`` min-hashes over the distinct shingles."""
-    h = np.unique(h)
-    least = [int(remix(h, 1000 + i).min()) if len(h) else 0 for i in range(bands * rows)]
+    """One key for each band of ``rows`` min-hashes over the shingles.
+
+    The shingles are hashes already, so a further hash is one product: ``(h ^ h >> 32) * odd``.
+    """
+    mixed = h ^ (h >> _U(32))
+    least = [int((mixed * m).min()) if len(h) else 0 for m in _multipliers(bands * rows)]
     return [xxhash.xxh64_intdigest(b"%d:%r" % (b, least[b * rows : (b + 1) * rows]), 7) for b in range(bands)]
 
 
@@ -108,20 +122,19 @@ def fingerprints(
     ``named`` (and ``distinct``), ``set_name`` follows the bits of ``fp``.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps, keys = [], []
-            for text in pdf["t"]:
-                h = shingle_hashes(text, shingle)
-                h = np.unique(h) if distinct else h
-                fp = simhash(h, bits)
-                found = minhash_keys(h, bands, rows) if bands else band_keys(fp, radius)
-                fps.append(fp + set_name(h) if named else fp)
-                keys.append(np.array(found, _U).view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "fp": fps, "keys": keys})
+    @F.pandas_udf("fp binary, keys array<bigint>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        fps, keys = [], []
+        for text in texts:
+            h = shingle_hashes(text, shingle)
+            h = np.unique(h) if distinct else h
+            fp = simhash(h, bits)
+            found = minhash_keys(h, bands, rows) if bands else band_keys(fp, radius)
+            fps.append(fp + set_name(h) if named else fp)
+            keys.append(np.array(found, _U).view(np.int64))
+        return pd.DataFrame({"fp": fps, "keys": keys})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, fp binary, keys array<bigint>")
+    return df.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("p")).select("id", "p.fp", "p.keys")
 
 
 def set_name(h: np.ndarray) -> bytes:
@@ -184,12 +197,15 @@ def within(planes: np.ndarray, flips: np.ndarray, query: np.ndarray, word: np.nd
     return live, ~(beyond | _greater(counter, radius))
 
 
-def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 15) -> list[tuple[int, int, int]]:
+def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 15, splits: list[int] | None = None) -> list[tuple[int, int, int]]:
     """(block, i, j): a spanning forest of each block's rows that lie within ``radius`` bits.
 
-    All blocks are compared together; each begins at a word of its own.
+    With a split over 0, a block's rows before it are compared with those from it
+    on, and neither part within itself.  All blocks are compared together; each
+    begins at a word of its own.
     """
     sizes = np.array([len(x) for x in blocks])
+    splits = np.zeros(len(blocks), np.int64) if splits is None else np.array(splits)
     words = -(-sizes // 64)
     first = np.concatenate([[0], np.cumsum(words)])
     lanes = np.zeros((first[-1] * 64, blocks[0].shape[1]), np.uint8)
@@ -209,8 +225,10 @@ def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 15) ->
         return x
 
     found = []
-    start = lane // 64  # later words only: each pair is met once
-    spans = first[owner + 1] - start
+    cut = splits[owner]
+    start = np.where(cut > 0, first[owner] + cut // 64, lane // 64)  # later words only: each pair is met once
+    spans = np.where((cut > 0) & (row >= cut), 0, first[owner + 1] - start)
+    other_from = first[owner] * 64 + cut
     upto = np.cumsum(spans)
     at = 0
     while at < len(owner):
@@ -221,7 +239,7 @@ def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 15) ->
         query, word = query[live], word[live]
         hits, bit = np.nonzero(np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         other, mine = word[hits] * 64 + bit, lane[query[hits]]
-        real = (other > mine) & (other < (first[owner] * 64 + sizes[owner])[query[hits]])
+        real = (other > mine) & (other >= other_from[query[hits]]) & (other < (first[owner] * 64 + sizes[owner])[query[hits]])
         real &= group[mine] != group[other]
         before = len(found)
         for x, y, k in zip(mine[real].tolist(), other[real].tolist(), owner[query[hits][real]].tolist()):
@@ -235,66 +253,123 @@ def block_links(blocks: list[np.ndarray], radius: int, cells: int = 1 << 15) ->
     return found
 
 
-def _joined(blocks: list[list[bytes]], found: list[tuple[int, int, int]]) -> list[tuple[int, bytes]]:
-    """(group, row) for the rows of each block that ``found`` joins; a group's number is a hash of its rows."""
-    parent: dict[tuple[int, int], tuple[int, int]] = {}
+def _forest(rows: Iterator[tuple], find, bits: int = 1 << 22) -> Iterator[tuple[tuple, list[tuple], list[tuple[int, int]]]]:
+    """For each run of rows (key, flag, node, data) of equal key: the key, its rows and the links among them.
+
+    ``find`` gets several runs at once, about ``bits`` of data (counted in whole
+    words of 64 rows, as fingerprints are laid out), each with the number of its
+    flagged rows.
+    """
+    run: list[tuple] = []
+    runs: list[list[tuple]] = []
+    held = 0
+
+    def found() -> Iterator[tuple[tuple, list[tuple], list[tuple[int, int]]]]:
+        links: list[list[tuple[int, int]]] = [[] for _ in runs]
+        for k, i, j in find([[r[3] for r in x] for x in runs], [sum(r[1] for r in x) for x in runs]) if runs else []:
+            links[k].append((i, j))
+        for x, pairs in zip(runs, links):
+            yield x[0][0], x, pairs
+
+    for row in rows:
+        if run and run[0][0] != row[0]:
+            if len(run) > 1:
+                runs.append(run)
+                held += -(-len(run) // 64) * 64 * 8 * len(run[0][3])
+            run = []
+            if held >= bits:
+                yield from found()
+                runs, held = [], 0
+        run.append(row)
+    if len(run) > 1:
+        runs.append(run)
+    yield from found()
+
+
+def _apart(n: int, pairs: list[tuple[int, int]]) -> list[int]:
+    """The rows of ``n`` that ``pairs`` do not join to the first."""
+    parent = list(range(n))
 
-    def root(x: tuple[int, int]) -> tuple[int, int]:
-        while parent.setdefault(x, x) != x:
+    def root(x: int) -> int:
+        while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for k, i, j in found:
-        parent[root((k, i))] = root((k, j))
-    groups: dict[tuple[int, int], list[bytes]] = {}
-    for k, i in list(parent):
-        groups.setdefault(root((k, i)), []).append(blocks[k][i])
-    numbers = [xxhash.xxh64_intdigest(b"".join(sorted(x)), 7) for x in groups.values()]
-    return [(n - (n >> 63 << 64), x) for n, rows in zip(numbers, groups.values()) for x in rows]
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    return [i for i in range(n) if root(i)]
 
 
-def _compared(batches: Iterator[pd.DataFrame], radius: int, width: int = 0, lane_bits: int = 1 << 22) -> Iterator[pd.DataFrame]:
-    """Links of each run of equal ``key, ci, cj``; the rows come sorted by these.  About ``lane_bits`` of fingerprints are compared at a time.
+def linked(blocks: DataFrame, chunk: int, find) -> DataFrame:
+    """``u, v``: spanning forests of the links within blocks; ``blocks`` (kept) are ``key, n, node, data``, n being the key's rows.
 
-    With ``width``, only so many bytes of a fingerprint are compared and the
-    groups that the links join are returned as ``g, node``.
+    A block of up to ``chunk`` rows is compared at once.  Of a larger one, each
+    chunk is compared within, together with the block's pivot (its smallest node):
+    rows joined to the pivot are joined to each other.  Only the rest, rows not
+    joined to it, is then compared with all chunks.  So no link is lost between
+    rows that nothing else joins, no task holds more than two chunks, and a hot
+    group whose rows mostly resemble its pivot costs in proportion to its size.
+    ``find(blocks, flagged)`` gives links (block, i, j); with flagged rows, which
+    come first, only links between these and others are wanted.
     """
-    run: list[bytes] = []
-    at: tuple | None = None
-    blocks: list[list[bytes]] = []
-    held = 0  # bits
-
-    def compare() -> pd.DataFrame:
-        out = []
-        if blocks:
-            arrays = [np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)[:, : width or None] for x in blocks]
-            found = block_links(arrays, radius)
-            out = _joined(blocks, found) if width else [(blocks[k][i], blocks[k][j]) for k, i, j in found]
-        return pd.DataFrame(out, columns=["g", "node"] if width else ["u", "v"])
-
-    for pdf in batches:
-        for key, ci, cj, fp in zip(pdf["key"].tolist(), pdf["ci"].tolist(), pdf["cj"].tolist(), pdf["fp"].tolist()):
-            if at != (key, ci, cj):
-                if len(run) > 1:
-                    blocks.append(run)
-                    held += -(-len(run) // 64) * 64 * 8 * len(run[0])
-                run, at = [], (key, ci, cj)
-                if held >= lane_bits:
-                    yield compare()
-                    blocks.clear()
-                    held = 0
-            run.append(fp)
-    if len(run) > 1:
-        blocks.append(run)
-    yield compare()
+    kind = blocks.schema["node"].dataType.simpleString()
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    pivots = blocks.where(chunks > 1).groupBy("key", "n").agg(F.min(F.struct("node", "data")).alias("p"))
+    pivots = pivots.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("j"), F.lit(1).alias("pivot"), "p.node", "p.data")
+    dealt = blocks.select("key", own.alias("j"), F.lit(0).alias("pivot"), "node", "data").unionByName(pivots)
+    dealt = dealt.repartition("key", "j").sortWithinPartitions("key", "j", F.desc("pivot"), "node")
+
+    def within_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (((k, j), p, node, data) for pdf in batches for k, j, p, node, data in zip(*[pdf[c].tolist() for c in ("key", "j", "pivot", "node", "data")]))
+        for (key, _), x, pairs in _forest(rows, lambda datas, flagged: find(datas, [0] * len(datas))):
+            out = [(key, x[i][2], x[j][2], None) for i, j in pairs]
+            out += [(key, x[i][2], None, x[i][3]) for i in _apart(len(x), pairs)] if x[0][1] else []
+            yield pd.DataFrame(out, columns=["key", "u", "v", "data"], dtype=object)
+
+    first = durable(dealt.mapInPandas(within_chunks, f"key bigint, u {kind}, v {kind}, data binary"))
+    found = first.where("v is not null").select("u", "v")
+    rest = first.where("v is null")
+    sizes = durable(rest.groupBy("key").agg(F.count("*").alias("r")))
+    if sizes.isEmpty():
+        return found
+    parts = F.ceil(F.col("r") / chunk).cast("int")
+    ns = blocks.join(sizes, "key").select("key", "n", "r", "node", "data")
+    all_rows = ns.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), own.alias("j"), F.lit(0).alias("rest"), "node", "data")
+    of_key = ns.groupBy("key").agg(F.first("n").alias("n"), F.first("r").alias("r"))
+    apart = rest.select("key", F.col("u").alias("node"), "data").join(of_key.repartition("n"), "key")
+    apart = apart.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("j"), F.lit(1).alias("rest"), "node", "data")
+    dealt = all_rows.unionByName(apart).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("rest"), "node")
+
+    def across_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (((k, i, j), r, node, data) for pdf in batches for k, i, j, r, node, data in zip(*[pdf[c].tolist() for c in ("key", "i", "j", "rest", "node", "data")]))
+        for _, x, pairs in _forest(rows, find):
+            yield pd.DataFrame([(x[a][2], x[b][2]) for a, b in pairs], columns=["u", "v"], dtype=object)
+
+    return found.unionByName(dealt.mapInPandas(across_chunks, f"u {kind}, v {kind}"))
+
+
+def near_bits(radius: int, width: int | None = None):
+    """Links by fingerprints, of which ``width`` bytes count, within ``radius`` bits."""
+
+    def find(blocks: list[list[bytes]], flagged: list[int]) -> list[tuple[int, int, int]]:
+        return block_links([np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)[:, :width] for x in blocks], radius, splits=flagged)
+
+    return find
+
+
+def similar_enough(both: np.ndarray, size: int, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether ``both`` common members make sets of ``size`` and ``sizes`` as similar: both / sqrt(size * sizes)."""
+    return both.astype(float) ** 2 >= similarity**2 * size * sizes * (1 - 1e-12)
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose Jaccard similarity is ``similarity`` or more; a set has no repeats."""
+    """A spanning forest of the pairs that are similar enough; a set has no repeats and one member at least."""
     sizes = np.array([len(x) for x in sets])
     words, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    held = np.zeros(len(words) + 1, bool)
+    held = np.zeros(len(words), np.int64)
     found = []
     left = np.arange(len(sets))
     queue: list[int] = []
@@ -302,71 +377,73 @@ def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
         if not queue:
             queue, left = [int(left[0])], left[1:]
         i = queue.pop()
-        could = np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) * (1 - 1e-9)
-        near = left[could]
+        near = left[similar_enough(np.minimum(sizes[left], sizes[i]), sizes[i], sizes[left], similarity)]
         if not len(near):
             continue
         mine = flat[starts[i] : starts[i] + sizes[i]]
-        held[mine] = True
-        both = np.array([np.count_nonzero(held[flat[starts[j] : starts[j] + sizes[j]]]) for j in near.tolist()])
-        held[mine] = False
-        near = near[both / np.maximum(1, sizes[near] + sizes[i] - both) >= similarity]
+        held[mine] = 1
+        if 4 * len(near) > len(sets):
+            both = np.add.reduceat(held[flat], starts)[near]
+        else:
+            both = np.array([held[flat[starts[j] : starts[j] + sizes[j]]].sum() for j in near.tolist()])
+        held[mine] = 0
+        near = near[similar_enough(both, sizes[i], sizes[near], similarity)]
         found += [(i, j) for j in near.tolist()]
         queue += near.tolist()
         left = left[~np.isin(left, near)]
     return found
 
 
-def _checked(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """``u, v`` for each run of equal ``g``; the rows come sorted by it."""
-    nodes: list[bytes] = []
-    sets: list[np.ndarray] = []
-    at = None
-    for pdf in batches:
-        out = []
-        for g, node, hashes in zip(pdf["g"].tolist(), pdf["node"].tolist(), pdf["hashes"].tolist()):
-            if g != at:
-                out += [(nodes[i], nodes[j]) for i, j in (_similar(sets, similarity) if nodes else [])]
-                nodes, sets, at = [], [], g
-            nodes.append(node)
-            sets.append(np.frombuffer(hashes, "<u8"))
-        yield pd.DataFrame(out, columns=["u", "v"])
-    yield pd.DataFrame([(nodes[i], nodes[j]) for i, j in (_similar(sets, similarity) if nodes else [])], columns=["u", "v"])
+def similar_sets(similarity: float):
+    """Links by shingle sets."""
 
+    def find(blocks: list[list[bytes]], flagged: list[int]) -> list[tuple[int, int, int]]:
+        return [(k, i, j) for k, x in enumerate(blocks) for i, j in _similar([np.frombuffer(h, "<u8") for h in x], similarity)]
 
-def exact_links(df: DataFrame, prints: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bits: int, chunk: int, similarity: float) -> DataFrame:
-    """``u, v``: the similar pairs among candidates, as spanning forests; ids of ``df`` are not null.
+    return find
 
-    A forest of candidates could leave a similar pair joined only by way of pairs
-    that are not, so all rows that candidates join within a block are compared.
-    Shingle sets are made again from the texts, of such rows only.
-    """
-    members = durable(links(prints, radius, chunk, bits // 8).distinct())
-    linked = members.select(F.col("node").alias("fp")).distinct()
-    ids = prints.join(linked, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("linked_id")).select("linked_id").distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    sets = shingle_sets(texts.join(ids, F.col("id") == F.col("linked_id"), "left_semi").select("t"), shingle)
-    named = members.withColumn("name", F.substring("node", bits // 8 + 1, 16))
-    dealt = named.join(sets, "name").select("g", "node", "hashes").repartition("g").sortWithinPartitions("g", "node")
-    return dealt.mapInPandas(lambda batches: _checked(batches, similarity), "u binary, v binary")
+
+def unique_prints(prints: DataFrame) -> DataFrame:
+    """``fp, keys, least`` for each different fingerprint: its keys, and the smallest of its ids."""
+    found = prints.groupBy("fp").agg(F.first("keys").alias("keys"), F.min("id").alias("least"))
+    return durable(found.withColumn("keys", F.array_distinct("keys")))
 
 
-def links(prints: DataFrame, radius: int, chunk: int = 4096, width: int = 0) -> DataFrame:
-    """``u, v``: fingerprints within ``radius`` that share a key, as spanning forests of blocks; with ``width``, ``g, node`` of ``_compared``.
+def candidate_blocks(unique: DataFrame, node: Column) -> DataFrame:
+    """``key, n, node, data`` of the fingerprints that share a key, kept.
 
-    Keys are met on a hash of the fingerprint; only where a key is shared does
-    the fingerprint itself travel.  Equal hashes would only add rows to compare.
+    Keys are counted on a hash of the fingerprint.  A Bloom filter of the shared
+    keys keeps the others from being shuffled again, and only where a key is shared
+    does the fingerprint itself travel.  Equal hashes would only add rows to compare.
     """
     f = F.xxhash64("fp").alias("f")
-    keyed = prints.select(f, F.explode("keys").alias("key")).distinct()
+    keyed = unique.select(f, F.explode("keys").alias("key"))
     sizes = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    blocks = keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    blocks = blocks.join(prints.select(f, "fp").distinct(), "f")
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("mine", j).alias("ci"), F.greatest("mine", j).alias("cj")))
-    dealt = blocks.withColumn("mine", mine).select("key", "fp", F.explode(pairs).alias("c")).select("key", "c.ci", "c.cj", "fp")
-    dealt = dealt.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "fp")
-    return dealt.mapInPandas(lambda batches: _compared(batches, radius, width), "g bigint, node binary" if width else "u binary, v binary")
+    shared = probed(keyed, F.col("key"), *filter_of(sizes.select(F.col("key").alias("h")))).where("maybe").drop("maybe")
+    blocks = shared.join(sizes, "key").join(unique.select(f, "fp"), "f")
+    return durable(blocks.select("key", "n", node.alias("node"), F.col("fp").alias("data")))
+
+
+def exact_links(df: DataFrame, unique: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bits: int, chunk: int, similarity: float) -> DataFrame:
+    """``u, v``: links between similar shingle sets, as spanning forests over fingerprints; ids of ``df`` are not null.
+
+    A forest of candidates could leave a similar pair joined only by way of pairs
+    that are not, so all rows of a component of candidates are compared.  Shingle
+    sets are made again from the texts, of such rows only; a Bloom filter keeps the
+    other texts from being shuffled.
+    """
+    # Components over hashes: equal ones of different fingerprints could only make a component larger.
+    f = F.xxhash64("fp")
+    roots = components(linked(candidate_blocks(unique, f), chunk, near_bits(radius, bits // 8)))
+    name = F.substring("fp", bits // 8 + 1, 16).alias("name")
+    members = durable(unique.select("fp", "least", name, f.alias("u")).join(roots, "u").select("fp", "least", "name", F.col("root").alias("key")))
+    sizes = durable(members.groupBy("key").agg(F.count("*").alias("n")))
+    ids = durable(members.select("least").distinct().withColumn("h", F.xxhash64("least")))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    texts = probed(texts, F.xxhash64("id"), *filter_of(ids.select("h"))).where("maybe")
+    sets = shingle_sets(texts.join(ids, F.col("id") == F.col("least"), "left_semi").select("t"), shingle)
+    blocks = members.join(sizes, "key").join(sets, "name").where(F.length("hashes") > 0)
+    return linked(durable(blocks.select("key", "n", F.col("fp").alias("node"), F.col("hashes").alias("data"))), chunk, similar_sets(similarity))
 
 
 def near_groups(
@@ -385,15 +462,16 @@ def near_groups(
     """``id, fp, component`` for every row of ``df``.
 
     With ``similarity`` (for ``distinct`` shingles and ids that are not null) that
-    exact Jaccard similarity decides, and ``fp`` ends with the name of the set.
+    exact similarity decides, and ``fp`` ends with the name of the set.
     """
     exact = similarity is not None
     prints = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows, distinct, exact))
-    found = exact_links(df, prints, id_col, text_col, shingle, radius, bits, chunk, similarity) if exact else links(prints, radius, chunk)
+    unique = unique_prints(prints)
+    found = exact_links(df, unique, id_col, text_col, shingle, radius, bits, chunk, similarity) if exact else linked(candidate_blocks(unique, F.col("fp")), chunk, near_bits(radius))
     roots = components(found).select(F.col("u").alias("fp"), "root")
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    owner = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = owner.groupBy("root").agg(F.min("least").alias("component"))
+    # Kept, so that the join has its own exchange on both sides and a hot root can be split.
+    owner = durable(unique.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = durable(owner.groupBy("root").agg(F.min("least").alias("component")))
     by_print = owner.join(smallest, "root").select("fp", "component")
     return prints.select("id", "fp").join(by_print, "fp").select("id", "fp", "component")
 
@@ -409,21 +487,23 @@ def survivors(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    bits: int = 1024,
-    radius: int = 272,
-    bands: int = 20,
-    rows: int = 4,
-    chunk: int = 2048,
+    bits: int = 512,
+    radius: int = 176,
+    bands: int = 28,
+    rows: int = 3,
+    chunk: int = 512,
     similarity: float = 0.8,
 ) -> DataFrame:
     """The rows of ``df`` that stay: of each near-duplicate group the one with the smallest id.
 
-    The exact Jaccard similarity of the distinct five-word shingles decides: 0.8 or
-    more is a link.  Candidates are within 272 of 1024 bits: at 0.8 the expected
-    distance is at most 192 (four shingles against the same four and one more;
-    deviation 12.5), about 155 for long texts, so over six deviations are left
-    at any length.  20 bands of 4 min-hashes put such a pair in one block with a chance of 0.99997.
-    Rows with a null id have no identity to be compared by and stay.
+    The exact cosine similarity of the distinct five-word shingle sets decides: 0.8
+    or more is a link.  Candidates are within 176 of 512 bits: at 0.8 the expected
+    distance is 105, at most 128 for the shortest texts (two shingles against the
+    same two and one more; deviation 10), so nearly five deviations are left at any
+    length.  28 bands of 3 min-hashes put such a pair, whose Jaccard similarity is
+    0.64 at least, in one block with a chance of 0.9998.
+    Rows with a null id have no identity to be compared by and stay.  Texts without
+    a word are equal to each other.
     """
     found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk, distinct=True, similarity=similarity)
     gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()

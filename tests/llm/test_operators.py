@@ -134,6 +134,30 @@ def test_bit_sliced_blocks(width, radius):
         assert len(links) == len(x) - len({tuple(r) for r in reach.tolist()})
 
 
+def test_parts_of_a_block_are_compared_across_only():
+    rng = np.random.default_rng(8)
+    blocks, splits = [], []
+    for n, split in ((70, 1), (70, 69), (130, 64), (200, 100), (9, 0)):
+        base = rng.integers(0, 256, (4, 8), dtype=np.uint8)
+        x = base[rng.integers(0, 4, n)]
+        x[:, 7] = rng.integers(0, 2, n)
+        blocks.append(x)
+        splits.append(split)
+    found = simhash.block_links(blocks, 2, cells=300, splits=splits)
+    for k, (x, split) in enumerate(zip(blocks, splits)):
+        bits = np.unpackbits(x, axis=1)
+        near = (bits[:, None] != bits[None]).sum(2) <= 2
+        if split:
+            near[:split, :split] = np.eye(split)
+            near[split:, split:] = np.eye(len(x) - split)
+        links = [(i, j) for b, i, j in found if b == k]
+        assert all(near[i, j] for i, j in links)
+        reach = near.astype(int)
+        for _ in range(8):
+            reach = ((reach @ reach) > 0).astype(int)
+        assert len(links) == len(x) - len({tuple(r) for r in reach.tolist()})
+
+
 def test_chunks_of_a_large_block_lose_no_link(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["same"] * 3 + [f"t{i // 7}"] * 400 + [rng.choice("abcd")])) for i in range(60)]
@@ -151,18 +175,21 @@ def test_near_survivors(spark, docs):
     assert left.columns == docs.columns and left.where("doc_id is null").count() == 2
 
 
-def test_near_prints_part_similar_texts_from_others():
+def test_near_candidates_hold_similar_pairs_and_leave_others():
     rng = np.random.default_rng(2)
     linked = {}
-    for similarity in (0.65, 0.85):
-        shared = round(2 * similarity * 200 / (1 + similarity))
-        hits = 0
-        for _ in range(40):
-            h = rng.integers(0, 2**63, 400 - shared).astype(np.uint64) * np.uint64(2)
-            a, b = (int.from_bytes(simhash.simhash(x, 1024), "big") for x in (h[:200], h[200 - shared :]))
-            hits += (a ^ b).bit_count() <= 172
-        linked[similarity] = hits
-    assert linked[0.65] <= 2 and linked[0.85] >= 38
+    # Shares of 0.64 common shingles (cosine 0.78) and of none; the radius and bands are those of the near stage.
+    for similarity in (0.0, 0.64):
+        near = met = 0
+        for _ in range(300):
+            shared = round(2 * similarity * 60 / (1 + similarity))
+            h = rng.integers(0, 2**63, 120 - shared).astype(np.uint64) * np.uint64(2)
+            sides = h[:60], h[60 - shared :]
+            a, b = (int.from_bytes(simhash.simhash(x, 512), "big") for x in sides)
+            near += (a ^ b).bit_count() <= 176
+            met += not set(simhash.minhash_keys(sides[0], 28, 3)).isdisjoint(simhash.minhash_keys(sides[1], 28, 3))
+        linked[similarity] = near, met
+    assert linked[0.0] == (0, 0) and min(linked[0.64]) >= 299
 
 
 def test_near_survivors_ignore_how_often_a_passage_repeats(spark):
@@ -170,7 +197,7 @@ def test_near_survivors_ignore_how_often_a_passage_repeats(spark):
     new = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n)]
     shared, run = new(1004), ["="] * 54
     copies = [" ".join(shared), " ".join([*shared, *run])]
-    # 700 shared shingles of 1000: similarity 0.54, whatever both repeat.
+    # 700 shared shingles of 1000: cosine 0.7, whatever both repeat.
     others = [" ".join([*shared[:704], *new(300), *["-"] * 100]) for _ in range(2)]
     df = spark.createDataFrame(list(enumerate([*copies, *others])), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.survivors(df).collect()) == [0, 2, 3]
@@ -195,7 +222,7 @@ def test_near_survivors_equal_exact_similarity_at_any_length(spark):
 
     for i in range(len(rows)):
         for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if 25 * len(sets[i] & sets[j]) ** 2 >= 16 * len(sets[i]) * len(sets[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
@@ -207,8 +234,8 @@ def test_near_survivors_equal_exact_similarity_at_any_length(spark):
 def test_similar_pairs_are_found_beside_pairs_that_are_not():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 60).astype(np.uint64)
-    sets = [np.unique(rng.choice(pool, rng.integers(1, 56), replace=False)) for _ in range(120)] + [pool[:0]]
-    near = np.array([[len(set(a.tolist()) & set(b.tolist())) * 5 >= 4 * len(set(a.tolist()) | set(b.tolist())) for b in sets] for a in sets])
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 56), replace=False)) for _ in range(120)]
+    near = np.array([[25 * len(set(a.tolist()) & set(b.tolist())) ** 2 >= 16 * len(a) * len(b) for b in sets] for a in sets])
     found = simhash._similar(sets, 0.8)
     assert all(near[i, j] for i, j in found)
     reach = near.astype(int)
@@ -492,7 +519,14 @@ def test_sharding(spark, docs, empty, tmp_path):
     out = registry.op9_sharding(spark, SF).orderBy("shard", "slot").select("doc_id").toPandas()["doc_id"]
     assert not out.is_monotonic_increasing
     sharding.write_shards(docs, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).drop("_shard", "_slot").count() == docs.count()
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    names = [c for c in docs.columns]
+    assert Counter(map(tuple, written.select(*names).collect())) == Counter(map(tuple, docs.select(*names).collect()))
+    for file in (tmp_path / "shards").rglob("*.parquet"):
+        slots_of = [r["_slot"] for r in spark.read.parquet(str(file)).select("_slot").collect()]
+        assert slots_of == sorted(slots_of)
+    want = {(r.shard, r.slot): r.doc_id for r in sharding.shuffled(docs).collect()}
+    assert {(r["_shard"], r["_slot"]): r.doc_id for r in written.collect()} == want
 
 
 def test_the_sharding_query_moves_whole_records(spark, monkeypatch):
