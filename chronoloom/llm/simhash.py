@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -286,6 +286,12 @@ def _forest(rows: Iterator[tuple], find, bits: int = 1 << 22) -> Iterator[tuple[
     yield from found()
 
 
+def _frames(rows: Iterator[tuple], columns: list[str], together: int = 5000) -> Iterator[pd.DataFrame]:
+    """``rows`` in frames of that many."""
+    while part := list(islice(rows, together)):
+        yield pd.DataFrame(part, columns=columns, dtype=object)
+
+
 def _apart(n: int, pairs: list[tuple[int, int]]) -> list[int]:
     """The rows of ``n`` that ``pairs`` do not join to the first."""
     parent = list(range(n))
@@ -323,10 +329,14 @@ def linked(blocks: DataFrame, chunk: int, find) -> DataFrame:
 
     def within_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (((k, j), p, node, data) for pdf in batches for k, j, p, node, data in zip(*[pdf[c].tolist() for c in ("key", "j", "pivot", "node", "data")]))
-        for (key, _), x, pairs in _forest(rows, lambda datas, flagged: find(datas, [0] * len(datas))):
-            out = [(key, x[i][2], x[j][2], None) for i, j in pairs]
-            out += [(key, x[i][2], None, x[i][3]) for i in _apart(len(x), pairs)] if x[0][1] else []
-            yield pd.DataFrame(out, columns=["key", "u", "v", "data"], dtype=object)
+
+        def out() -> Iterator[tuple]:
+            for (key, _), x, pairs in _forest(rows, lambda datas, flagged: find(datas, [0] * len(datas))):
+                yield from ((key, x[i][2], x[j][2], None) for i, j in pairs)
+                if x[0][1]:
+                    yield from ((key, x[i][2], None, x[i][3]) for i in _apart(len(x), pairs))
+
+        yield from _frames(out(), ["key", "u", "v", "data"])
 
     first = durable(dealt.mapInPandas(within_chunks, f"key bigint, u {kind}, v {kind}, data binary"))
     found = first.where("v is not null").select("u", "v")
@@ -337,15 +347,14 @@ def linked(blocks: DataFrame, chunk: int, find) -> DataFrame:
     parts = F.ceil(F.col("r") / chunk).cast("int")
     ns = blocks.join(sizes, "key").select("key", "n", "r", "node", "data")
     all_rows = ns.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), own.alias("j"), F.lit(0).alias("rest"), "node", "data")
-    of_key = ns.groupBy("key").agg(F.first("n").alias("n"), F.first("r").alias("r"))
+    of_key = blocks.select("key", "n").distinct().join(sizes, "key")
     apart = rest.select("key", F.col("u").alias("node"), "data").join(of_key.repartition("n"), "key")
     apart = apart.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("j"), F.lit(1).alias("rest"), "node", "data")
     dealt = all_rows.unionByName(apart).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("rest"), "node")
 
     def across_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (((k, i, j), r, node, data) for pdf in batches for k, i, j, r, node, data in zip(*[pdf[c].tolist() for c in ("key", "i", "j", "rest", "node", "data")]))
-        for _, x, pairs in _forest(rows, find):
-            yield pd.DataFrame([(x[a][2], x[b][2]) for a, b in pairs], columns=["u", "v"], dtype=object)
+        yield from _frames(((x[a][2], x[b][2]) for _, x, pairs in _forest(rows, find) for a, b in pairs), ["u", "v"])
 
     return found.unionByName(dealt.mapInPandas(across_chunks, f"u {kind}, v {kind}"))
 
