@@ -2,7 +2,7 @@
 
 Each step is an aggregation and a join on the node, so no neighbour list is ever
 gathered.  In the aggregation a hot node shrinks before the shuffle.  Its result
-is dealt by another column before the join, so both sides of the join have an
+is dealt by a hash of the node before the join, so both sides of the join have an
 exchange of their own, which lets adaptive execution split a hot node.  Lineage is
 cut after each star; the rounds end as soon as all edges are stars.
 
@@ -21,14 +21,14 @@ from chronoloom.llm.common import durable
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour (or itself)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("m")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(F.xxhash64("u"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` have u > v: a node and its smaller neighbours are tied to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least.repartition("m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    tied = edges.join(least.repartition(F.xxhash64("u")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
