@@ -34,10 +34,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from chronoloom.llm.common import durable
 
-#: Beside the id, what is known of one piece; its token ids are little-endian unsigned 32-bit bytes.
+#: Beside the id, what is known of one piece; its token ids are little-endian unsigned integers, on the way of 16 bits where all ids of the vocabulary fit.
 _PIECE = "piece int, start bigint, length bigint, ids binary"
 _encoders: dict[str, "Encoder"] = {}
 
@@ -61,6 +62,8 @@ class Encoder:
         apart = [i for x in "ab" for i in self._tokenizer.encode(x, add_special_tokens=False).ids]
         if together != apart or any(re.search(r"\s", token) for token in self._tokenizer.get_vocab()):
             raise ValueError(f"{path}: tokens of this vocabulary can hold white space")
+        #: Bytes of an id on its way between tasks.
+        self.width = 2 if max(self._tokenizer.get_vocab().values()) < 1 << 16 else 4
         self._known: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
 
@@ -106,7 +109,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode, width = encoder(tokenizer).encode, encoder(tokenizer).width
 
         def cut(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
             owner, piece, start, length, ids = zip(*rows) if rows else [()] * 5
@@ -116,10 +119,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col:
         for batch in batches:
             keys, rows, held = batch.column("id"), [], 0
             for k, text in enumerate(batch.column("t")):
-                ids = encode(text.as_py() or "") + b"\0\0\0\0"
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((k, p, at // 4, len(part) // 4, part))
+                ids = np.frombuffer(encode(text.as_py() or "") + b"\0\0\0\0", "<u4").astype(f"<u{width}").tobytes()
+                for p, at in enumerate(range(0, len(ids), width * capacity)):
+                    part = ids[at : at + width * capacity]
+                    rows.append((k, p, at // width, len(part) // width, part))
                 held += len(ids)
                 if held >= batch_bytes:
                     yield cut(keys, rows)
@@ -129,6 +132,12 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, {_PIECE}")
 
 
+@F.pandas_udf(BinaryType())
+def _widened(ids: pd.Series, length: pd.Series) -> pd.Series:
+    """The ids as 32-bit integers."""
+    return pd.Series([x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(ids.tolist(), length.tolist())])
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Segments (length, first rank, first bin, pieces a bin, place in the bin), by length and rank.
 
@@ -199,7 +208,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(
     df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1 << 16
 ) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids, ids_crc32 (of these ids), sequence_id, offset."""
+    """One row per piece: id, piece, start, length, ids (little-endian unsigned 32-bit), ids_crc32 (of these), sequence_id, offset."""
     cut = durable(pieces(df, tokenizer, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
     buckets = max(64, cut.count() // bucket_rows)
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
@@ -219,7 +228,7 @@ def pack(
         nth = rank.to_numpy() - first[at]
         return pd.DataFrame({"sequence_id": first_bin[at] + nth // each[at], "offset": place[at] + nth % each[at] * length[at]})
 
-    found = ranked.withColumn("bin", assign("length", "rank"))
+    found = ranked.withColumn("bin", assign("length", "rank")).withColumn("ids", _widened("ids", "length"))
     return found.select(F.col("id").alias(id_col), "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "bin.sequence_id", "bin.offset")
 
 
