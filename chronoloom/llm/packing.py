@@ -69,29 +69,30 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        known = self._known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > self._cached:
-            self._older, self._known = known, {"": b""}
-            known = self._known
-        met, cut = {}, {}
-        for c in dict.fromkeys(chunks):
-            if c not in known:
-                if c in self._older:
-                    known[c] = self._older[c]
-                else:
-                    stem = c.rstrip(".,")
-                    cut[c] = (stem, c[len(stem) :]) if unicodedata.normalize("NFC", stem[-1:]).lower().isalpha() and "'" not in c else (c, "")
-        new = list(dict.fromkeys(p for pair in cut.values() for p in pair if p and p not in known))
-        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            met[c] = array("I", e.ids).tobytes()
+        if new := set(chunks).difference(self._known):
+            if len(self._known) > self._cached:
+                self._older, self._known = self._known, {"": b""}
+                new = set(chunks).difference(self._known)
+            self._learn(new)
+        out = b"".join(map(self._known.__getitem__, chunks))
+        for c in new:
+            if len(c) > self._longest:
+                del self._known[c]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds the ids of chunks that are not in the newer cache."""
+        known, older, cut = self._known, self._older, {}
+        for c in new:
+            if c in older:
+                known[c] = older[c]
+            else:
+                stem = c.rstrip(".,")
+                cut[c] = (stem, c[len(stem) :]) if unicodedata.normalize("NFC", stem[-1:]).lower().isalpha() and "'" not in c else (c, "")
+        parts = list({p for pair in cut.values() for p in pair}.difference(known))
+        met = dict(zip(parts, (array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False))))
         for c, (stem, end) in cut.items():
-            met[c] = (met[stem] if stem in met else known[stem]) + ((met[end] if end in met else known[end]) if end else b"")
-        known.update((c, ids) for c, ids in met.items() if len(c) <= self._longest)
-        return b"".join([met[c] if c in met else known[c] for c in chunks])
+            known[c] = (met[stem] if stem in met else known[stem]) + (met[end] if end in met else known[end])
 
 
 def encoder(path: str) -> Encoder:
