@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import exact_dedup, packing, pieces, pii, quality_rules, secret_scan, sharding, simhash, site_quality, toxicity
+from chronoloom.llm import conversation_repair, exact_dedup, packing, pieces, pii, quality_rules, secret_scan, sharding, simhash, site_quality, toxicity
 from chronoloom.llm.common import spread, table, whole
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmentation_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.summaries(conversation_repair.repaired(rows, present=F.col("there")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_pii, op3_quality_rules, op4_secret_scans, op5_quality_classifier, op6_exact_dedup, op7_packing, op8_simhash, op9_sharding, op10_sentencepiece, pipeline)
+    ops = (op1_toxicity, op2_pii, op3_quality_rules, op4_secret_scans, op5_quality_classifier, op6_exact_dedup, op7_packing, op8_simhash, op9_sharding, op10_sentencepiece, op11_conversation_repair, pipeline)
     return {f.__name__: f for f in ops}
 
 
