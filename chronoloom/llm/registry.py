@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import conversation_repair, exact_dedup, packing, pieces, pii, quality_rules, secret_scan, sharding, simhash, site_quality, toxicity
+from chronoloom.llm import conversation_repair, exact_dedup, lexical_search, packing, pieces, pii, quality_rules, secret_scan, sharding, simhash, site_quality, toxicity
 from chronoloom.llm.common import spread, table, whole
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.summaries(conversation_repair.repaired(rows, present=F.col("there")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,9 +72,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_pii, op3_quality_rules, op4_secret_scans, op5_quality_classifier, op6_exact_dedup, op7_packing, op8_simhash, op9_sharding, op10_sentencepiece, op11_conversation_repair, pipeline)
+    ops = (op1_toxicity, op2_pii, op3_quality_rules, op4_secret_scans, op5_quality_classifier, op6_exact_dedup, op7_packing, op8_simhash, op9_sharding, op10_sentencepiece, op11_conversation_repair, op12_lexical_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
