@@ -19,7 +19,8 @@ ones stay different, and separators keep their place (an octet's length may chan
 Finds that are not valid stay as they are.  Who has the key can invert all this,
 so the key is the caller's to bring and to keep; none is in the code.
 
-Defined cases: a null text stays null with zero counts, an empty one empty; rows
+Defined cases: a null text stays null with zero counts, an empty one empty; a
+text, and an address in it, may have any length, and both are treated whole; rows
 are independent, so repeated rows and null ids are treated like any; other
 columns are carried along untouched, but for those named like a count; an empty
 table gives an empty result.
@@ -37,9 +38,10 @@ from chronoloom.llm.common import packed, whole
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 ROUNDS = 10
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Every run is entered only at its start, so long runs cost no more than their length.
+#: Every run is entered only at its start and never given back, and repeated groups are possessive (Java's matcher
+#: then loops where it would call itself), so a run costs time in proportion to its length, and no stack.
 PATTERN = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
     r"|(?<![\p{L}\p{N}_.])(?:"
     rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.\d)"
     r"|\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}"
@@ -166,21 +168,27 @@ def _date(x: Column, key: str) -> Column:
     return F.when(F.length(made) == 10, made)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _email(x: Column, key: str) -> Column:
-    """Letters and digits before the last dot, moved within a-z, A-Z or 0-9."""
+    """Letters and digits before the last dot, moved within a-z, A-Z or 0-9; time grows with the length."""
 
     def moved(s: Column, i: Column, other: Column) -> Column:
-        # A digest moves 32 characters; longer parts have one for every 32.
+        # A digest moves 32 characters; longer parts have one for every 32.  It is of the other part, or of a long one's digest.
         blocks = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / 32).cast("int"))
-        digest = F.array_join(F.transform(blocks, lambda n: _digest(key, "email", i, F.concat_ws("|", n.cast("string"), other))), "")
+        short = F.when(F.length(other) > 512, F.sha2(other, 256)).otherwise(other)
+        digest = _bound(short, lambda o: F.array_join(F.transform(blocks, lambda n: _digest(key, "email", i, F.concat_ws("|", n.cast("string"), o))), ""))
+        pairs = F.slice(F.regexp_extract_all(digest, F.lit("(..)")), F.lit(1), F.length(s))
 
-        def char(k: Column) -> Column:
-            c = F.ascii(F.substring(s, k, F.lit(1)))
-            by = F.conv(F.substring(digest, k * 2 - 1, F.lit(2)), 16, 10).cast("int")
+        def char(letter: Column, pair: Column) -> Column:
+            c, by = F.ascii(letter), F.conv(pair, 16, 10).cast("int")
             to = F.when(c.between(97, 122), (c - 97 + by) % 26 + 97).when(c.between(65, 90), (c - 65 + by) % 26 + 65)
             return F.chr(to.when(c.between(48, 57), (c - 48 + by) % 10 + 48).otherwise(c))
 
-        return F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), char), "")).otherwise("")
+        return F.when(F.length(s) > 0, F.array_join(F.zip_with(F.split(s, ""), pairs, char), "")).otherwise("")
 
     def step(s: Column, i: Column) -> Column:
         left = F.when(i % 2 == 0, moved(s["l"], i, s["r"])).otherwise(s["l"])
