@@ -12,6 +12,8 @@ table is joined on the same partitioning, so the rows are shuffled once still.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +41,12 @@ def _at(keys: list[str], time: str, stretch: str) -> Column:
     return F.struct(*[F.col(c) for c in keys], F.floor(_since_epoch(F.col(time)) / _length(stretch)).alias("_n"))
 
 
-def _taken_over(rows: DataFrame, keys: list[str], carried: Column, ahead: bool) -> DataFrame:
-    """``_s, _c``: for each stretch ``_s`` the last ``carried`` (an aggregate) of those before it, or the next after it."""
+def _taken_over(rows: DataFrame, keys: list[str], carried: Column, ahead: bool, joined: Callable[[str], Column] | None = None) -> DataFrame:
+    """``_s, _c``: for each stretch ``_s`` the last ``carried`` (an aggregate) of those before it, or the next after it; or, ``joined``, an aggregate of them all."""
     number = F.col("_s._n")
     order = number.desc() if ahead else number.asc()
     w = Window.partitionBy(*[F.col(f"_s.`{c}`") for c in keys]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.groupBy("_s").agg(carried.alias("_e")).select("_s", F.last("_e", ignorenulls=True).over(w).alias("_c"))
+    return rows.groupBy("_s").agg(carried.alias("_e")).select("_s", (joined("_e") if joined else F.last("_e", ignorenulls=True)).over(w).alias("_c"))
 
 
 def bucket(df: DataFrame, time: str, every: str, by: list[str], aggs: list[Column], slide: str | None = None) -> DataFrame:
@@ -59,12 +61,41 @@ def calendar_bucket(df: DataFrame, time: str, unit: str, by: list[str], aggs: li
     return df.groupBy(*by, _ntz(F.date_trunc(unit, time)).alias("bucket_start")).agg(*aggs)
 
 
-def sessions(df: DataFrame, time: str, gap: str | Column, by: list[str], aggs: list[Column]) -> DataFrame:
-    """Aggregates per key and session; a session ends ``gap`` after its last row."""
+def sessions(df: DataFrame, time: str, gap: str | Column, by: list[str], aggs: list[Column], stretch: str | None = None) -> DataFrame:
+    """Aggregates per key and session; a session ends ``gap`` after its last row.
+
+    A row at the very end of a session still belongs to it.  Rows without a time,
+    or whose gap is null or not above zero, are left out.
+
+    With ``stretch`` each row learns its session's start inside its stretch, and
+    takes over what reaches into the stretch: how far the rows before reach (one
+    row's gap may span several stretches) and where the last session began.  Both
+    come from one row a stretch.  The aggregates then combine in each task before
+    their shuffle, so a session of any length is no single task's.
+    """
+    if stretch:
+        rows = _with_session_start(df, time, gap, by, stretch)
+        out = rows.groupBy(*by, F.col("_start").alias("session_start")).agg(F.max("_end").alias("session_end"), *aggs)
+        return out.select(*by, "session_start", "session_end", *[c for c in out.columns if c not in (*by, "session_start", "session_end")])
     out = df.groupBy(*by, F.session_window(time, gap).alias("_w")).agg(*aggs)
     return out.select(*by, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), *[c for c in out.columns if c not in (*by, "_w")])
 
 
+def _with_session_start(df: DataFrame, time: str, gap: str | Column, by: list[str], stretch: str) -> DataFrame:
+    """``df`` with ``_end``, a row's time and gap, and ``_start``, the first time of its session."""
+    after = F.expr(f"INTERVAL {gap}") if isinstance(gap, str) else gap.cast("interval")
+    rows = df.withColumn("_end", F.col(time) + after).where(F.col("_end") > F.col(time)).withColumn("_s", _at(by, time, stretch))
+    reach = _taken_over(rows, by, F.max("_end"), False, F.max)
+    ordered = Window.partitionBy("_s").orderBy(time)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.max("_end").over(before)).join(reach, "_s", "left")
+    fresh = F.col(time) > F.greatest("_before", "_c")  # null when nothing came before
+    rows = rows.withColumn("_fresh", F.when(F.coalesce(fresh, F.lit(True)), F.col(time))).drop("_before", "_c")
+    begun = _taken_over(rows, by, F.max("_fresh"), False)
+    rows = rows.withColumn("_start", F.max("_fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).join(begun, "_s", "left")
+    return rows.withColumn("_start", F.coalesce("_start", "_c")).drop("_s", "_c", "_fresh")
+
+
 def grid(df: DataFrame, time: str, every: str, by: list[str]) -> DataFrame:
     """Regular times of each key, multiples of ``every`` since the epoch, from its first to its last row."""
     ends = df.where(F.col(time).isNotNull()).groupBy(*by).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))

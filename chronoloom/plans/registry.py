@@ -234,6 +234,17 @@ def sessions_by_row(spark, d):
     return series.sessions(_events(spark, d), "ts", gap, ["user_id"], [F.count("*").alias("n")])
 
 
+@_query(_QUERIES["sessions"][1])
+def sessions_stretches(spark, d):
+    return series.sessions(_events(spark, d), "ts", "30 minutes", ["user_id"], [F.count("*").alias("n")], stretch="2 days")
+
+
+@_query(_QUERIES["sessions_by_row"][1])
+def sessions_by_row_stretches(spark, d):
+    gap = F.when(F.col("event_type") == "purchase", "6 hours").otherwise("1 hour")
+    return series.sessions(_events(spark, d), "ts", gap, ["user_id"], [F.count("*").alias("n")], stretch="3 hours")
+
+
 @_query(
     "SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, a + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01'), b, INTERVAL 1 HOUR)) AS ts "
     "FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id)"

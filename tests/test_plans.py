@@ -37,7 +37,19 @@ def _gaps(spark):
     return spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int, v double").repartition(3)
 
 
+def _aggs():
+    return [F.count("*").alias("n"), F.sum("v").alias("v"), F.max("id").alias("id")]
+
+
+def _row_gap():
+    """Some reach over several stretches; some are zero or null."""
+    return F.when(F.col("id") % 40 == 0, "45 seconds").when(F.col("id") % 3 == 0, "0 seconds").when(F.col("id") % 7 == 0, None).otherwise("2 seconds")
+
+
 STRETCHED = {
+    "sessions": lambda df, s: series.sessions(df, "ts", "3 seconds", ["k"], _aggs(), s and "4 seconds"),
+    "sessions by row": lambda df, s: series.sessions(df, "ts", _row_gap(), ["k"], _aggs(), s and "10 seconds"),
+    "sessions without a key": lambda df, s: series.sessions(df.where("id % 9 = 0"), "ts", "3 seconds", [], _aggs(), s and "5 seconds"),
     "fill forward": lambda df, s: series.fill(df, "ts", "v", ["k"], tie=["id"], stretch=s and "30 seconds"),
     "fill backward": lambda df, s: series.fill(df, "ts", "v", ["k"], "backward", tie=["id"], stretch=s and "30 seconds"),
     "interpolate": lambda df, s: series.interpolate(df, "ts", "v", "7 seconds", ["k"], s and "20 seconds"),
