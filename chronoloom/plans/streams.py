@@ -16,6 +16,8 @@ from chronoloom.streaming import streams
 _DELAY = "10 minutes"
 _W = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 _EACH_W = "(SELECT min(m) FROM (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS m FROM events WHERE event_type IN ('purchase', 'view') GROUP BY event_type))"
+_CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('purchase', 'view'))"
+_SEEN = "SELECT event_id, ts, user_id FROM events WHERE event_type = '{}'"
 _count = lambda: F.count("*").alias("n")
 
 
@@ -78,6 +80,39 @@ def stream_fill(spark, d):
     return streams.drain(streams.fill_forward(df, "ts", "v", ["user_id"], _DELAY)).select("event_id", "user_id", "filled")
 
 
+def _bought_and_seen(spark, d, tolerance, direction):
+    bought = _raw(spark, d, "purchase").select("event_id", "ts", "user_id")
+    seen = _raw(spark, d, "view").select("ts", "user_id", F.col("event_id").alias("view_id"))
+    out = streams.asof_within(bought, seen, "ts", ["user_id"], ["view_id"], _DELAY, tolerance, direction)
+    return streams.drain(out.select("event_id", "user_id", F.col("right_view_id").alias("view_id")))
+
+
+def stream_asof_nearest(spark, d):
+    return _bought_and_seen(spark, d, "2 hours", "nearest")
+
+
+def stream_asof_forward(spark, d):
+    return _bought_and_seen(spark, d, "6 hours", "forward")
+
+
+def stream_rows(spark, d):
+    df = _raw(spark, d).select("event_id", "ts", "user_id", "value")
+    rows = streams.drain(streams.row_windows(df, "ts", ["user_id"], "value", 3, 2, _DELAY))
+    last = F.concat("rows_before", F.array("value"))
+    mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)
+    return rows.select("event_id", F.try_element_at("rows_before", F.lit(-1)).alias("before"), F.try_element_at("rows_before", F.lit(-3)).alias("third_before"), F.round(mean, 4).alias("mean"), F.element_at("top_values", 1).alias("best"), F.try_element_at("top_values", F.lit(2)).alias("second_best"))
+
+
+def stream_late(spark, d):
+    """Hourly counts of rows that arrive in three batches, each over the whole time: in the third, what the watermark of the one before last had passed is dropped."""
+    folder = streams.shared_folder(spark, "late")
+    df = tables.read(spark, d, "events").select("event_id", "ts", "event_type")
+    for turn in (1, 2, 0):
+        tables.save(df.where(F.col("event_id") % 3 == turn).coalesce(1), folder, mode="append")
+    arriving = streams.follow(spark, folder, "ts", _DELAY, arrive=1)
+    return _ntz(streams.drain(streams.windows(arriving, "ts", "1 hour", ["event_type"], [_count()])))
+
+
 def _kept_as(format: str, name: str, by: list[str] | None = None, **options):
     """A query that writes a table in a format and reads it again."""
 
@@ -100,6 +135,27 @@ STREAMS = {
     "stream_distinct": (stream_distinct, "SELECT DISTINCT event_id FROM events"),
     "stream_asof": (stream_asof, f"SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts WHERE p.ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('purchase', 'view'))"),
     "stream_fill": (stream_fill, f"SELECT event_id, user_id, filled FROM (SELECT event_id, user_id, ts, last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS filled FROM events) WHERE ts <= {_W}"),
+    "stream_asof_nearest": (
+        stream_asof_nearest,
+        f"WITH p AS ({_SEEN.format('purchase')}), v AS ({_SEEN.format('view')}), b AS (SELECT p.event_id, v.event_id AS b_id, p.ts - v.ts AS far FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts), "
+        "f AS (SELECT p.event_id, v.event_id AS f_id, v.ts - p.ts AS far FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.ts <= v.ts) "
+        "SELECT p.event_id, p.user_id, CASE WHEN b.far <= INTERVAL 2 HOUR AND (f.far IS NULL OR b.far <= f.far) THEN b_id WHEN f.far <= INTERVAL 2 HOUR THEN f_id END AS view_id "
+        f"FROM p LEFT JOIN b USING (event_id) LEFT JOIN f USING (event_id) WHERE p.ts + INTERVAL 2 HOUR <= {_CLOSED}",
+    ),
+    "stream_asof_forward": (
+        stream_asof_forward,
+        f"SELECT p.event_id, p.user_id, CASE WHEN v.ts <= p.ts + INTERVAL 6 HOUR THEN v.event_id END AS view_id FROM ({_SEEN.format('purchase')}) p ASOF LEFT JOIN ({_SEEN.format('view')}) v ON p.user_id = v.user_id AND p.ts <= v.ts WHERE p.ts + INTERVAL 6 HOUR <= {_CLOSED}",
+    ),
+    "stream_rows": (
+        stream_rows,
+        "SELECT event_id, lag(value) OVER w AS before, lag(value, 3) OVER w AS third_before, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS mean, "
+        "list_extract(list_reverse_sort(list(value) OVER w), 1) AS best, list_extract(list_reverse_sort(list(value) OVER w), 2) AS second_best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts) QUALIFY ts <= " + _W,
+    ),
+    "stream_late": (
+        stream_late,
+        "SELECT event_type, s AS bucket_start, count(*) AS n FROM (SELECT event_id, event_type, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS s FROM events) "
+        f"WHERE s + INTERVAL 1 HOUR <= {_W} AND (event_id % 3 <> 0 OR s + INTERVAL 1 HOUR > (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_id % 3 = 1)) GROUP BY 1, 2",
+    ),
     "kept_csv": (_kept_as("csv", "customer", header=True), "SELECT * FROM customer"),
     "kept_json": (_kept_as("json", "supplier"), "SELECT * FROM supplier"),
     "kept_orc": (_kept_as("orc", "orders", ["o_orderstatus"]), "SELECT * FROM orders"),

@@ -11,9 +11,11 @@ outside the executors' heap.
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,10 +28,14 @@ from chronoloom.operators import series
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
-def follow(spark: SparkSession, path: str, time: str, delay: str, format: str = "parquet", **options) -> DataFrame:
-    """A stream of the files under ``path`` with a watermark ``delay`` behind the latest ``time``; rows without a time are left out."""
+def follow(spark: SparkSession, path: str, time: str, delay: str, format: str = "parquet", arrive: int | None = None, **options) -> DataFrame:
+    """A stream of the files under ``path`` with a watermark ``delay`` behind the latest ``time``; rows without a time are left out.
+
+    With ``arrive``, a micro-batch takes that many files.
+    """
     schema = spark.read.format(format).options(**options).load(path).schema
-    df = spark.readStream.schema(schema).format(format).options(**options).load(path)
+    files = spark.readStream.schema(schema).format(format).options(**options)
+    df = (files.option("maxFilesPerTrigger", arrive) if arrive else files).load(path)
     return df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withWatermark(time, delay)
 
 
@@ -65,13 +71,36 @@ def asof(left: DataFrame, right: DataFrame, time: str, by: list[str], values: li
     ``right`` come without a watermark of their own; the session's state store must
     be RocksDB, which ``drain`` sees to.
     """
+    return _matched(left, right, time, by, values, delay, _AsOf())
+
+
+def asof_within(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], delay: str, tolerance: str, direction: str = "nearest") -> DataFrame:
+    """Each left row with its match no farther than ``tolerance``, once no row that could be a nearer one can come.
+
+    ``forward`` takes the first right row at or after the left one, ``nearest`` the
+    nearer of that and the last one at or before it (the earlier of two equally
+    near), ``backward`` the latter.  A left row that looks ahead waits until the
+    watermark has passed it by the tolerance; a right row goes when no left row can
+    look as far.  So a key's state holds what the tolerance spans beside what the
+    delay does, and is empty after that.  Ties, null keys and the rest are as in ``asof``.
+    """
+    ahead, behind = direction != "backward", direction != "forward"
+    return _matched(left, right, time, by, values, delay, _AsOfWithin(_micros(tolerance), ahead, behind))
+
+
+def _micros(interval: str) -> int:
+    """Microseconds of an interval of weeks, days, hours, minutes, seconds or parts of them, as SQL text."""
+    return int(pd.Timedelta(interval).total_seconds() * 1_000_000)
+
+
+def _matched(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], delay: str, processor: StatefulProcessor) -> DataFrame:
     names = [time, *values]
     row = lambda cols: F.to_json(F.struct(*cols), _JSON)
     keyed = lambda df, side, text: df.where(F.col(time).isNotNull()).select(*by, F.col(time).cast("timestamp").alias("_at"), F.lit(side).alias("side_left"), text.alias("row_text"))
     usable = right.where(" AND ".join(f"`{k}` IS NOT NULL" for k in by))
     both = keyed(left, True, row(left.columns)).unionByName(keyed(usable, False, row(names)))
     both = both.withWatermark("_at", delay).withColumn("at_us", F.unix_micros("_at"))
-    found = both.groupBy(*by).transformWithStateInPandas(_AsOf(), "_l string, _r string", "append", "EventTime")
+    found = both.groupBy(*by).transformWithStateInPandas(processor, "_l string, _r string", "append", "EventTime")
     kinds = lambda df, cols: ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
     found = found.select(F.from_json("_l", kinds(left, left.columns), _JSON).alias("_l"), F.from_json("_r", kinds(right, names), _JSON).alias("_r"))
     return found.select("_l.*", *[F.col(f"_r.{c}").alias(f"right_{c}") for c in names])
@@ -125,6 +154,144 @@ class _AsOf(StatefulProcessor):
         pass
 
 
+class _Waiting(StatefulProcessor):
+    """Rows of a key that wait, as (microseconds, is it a left row, row), for the watermark to pass the time at which they leave.
+
+    New rows are appended without reading the list; a timer for the first of those
+    that are to leave has it read, and what stays put back.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "at bigint, is_left boolean, row string")
+
+    def leaves(self, at: int, is_left: bool) -> int:
+        """The time by which the row is done with."""
+        return at
+
+    def passed(self, rows: list[tuple], until: int) -> list[tuple]:
+        """Output for all waiting rows, in order, of which those that leave by ``until`` are about to."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times: set[int] = set()
+        for pdf in rows:
+            new = list(zip(pdf["at_us"].tolist(), pdf["side_left"].tolist(), pdf["row_text"].tolist()))
+            self._open.appendList(new)
+            leave = [self.leaves(at, is_left) for at, is_left, _ in new]
+            times |= {min(leave), max(leave)}
+        for at in {min(times), max(times)} if times else ():
+            self._wake(at)
+        yield pd.DataFrame({"_l": [], "_r": []}, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(x) for x in self._open.get()) if self._open.exists() else []
+        out = self.passed(rows, until) if rows else []
+        held = [x for x in rows if self.leaves(*x[:2]) > until]
+        if held:
+            self._open.put(held)
+            self._wake(min(self.leaves(*x[:2]) for x in held))
+        else:
+            self._open.clear()
+            self.idle(until)
+        yield pd.DataFrame(out, columns=["_l", "_r"], dtype=object)
+
+    def idle(self, until: int) -> None:
+        """No row of the key waits."""
+
+    def _wake(self, us: int) -> None:
+        """Has a timer, of whole milliseconds, go off once the watermark is at or past ``us``."""
+        self._handle.registerTimer(-(-us // 1000) - 1)
+
+    def close(self) -> None:
+        pass
+
+
+class _AsOfWithin(_Waiting):
+    """Matches no farther than ``tolerance`` microseconds, ``ahead`` of the left row, ``behind`` it, or either."""
+
+    def __init__(self, tolerance: int, ahead: bool, behind: bool):
+        self._tolerance, self._ahead, self._behind = tolerance, ahead, behind
+
+    def leaves(self, at: int, is_left: bool) -> int:
+        # A right row must still be there when the last left row that can look as far is decided.
+        return at + self._tolerance * (self._ahead + (not is_left and self._behind))
+
+    def passed(self, rows: list[tuple], until: int) -> list[tuple]:
+        known = [(at, text) for at, is_left, text in rows if not is_left]
+        times = [at for at, _ in known]
+        out = []
+        for at, is_left, text in rows:
+            if not is_left or self.leaves(at, True) > until:
+                continue
+            near = []
+            if self._behind and (k := bisect_right(times, at)):
+                near.append((at - times[k - 1], 0, known[k - 1][1]))
+            if self._ahead and (k := bisect_left(times, at)) < len(times):
+                near.append((times[k] - at, 1, known[bisect_right(times, times[k]) - 1][1]))
+            near = [x for x in near if x[0] <= self._tolerance]
+            out.append((text, min(near)[2] if near else None))
+        return out
+
+
+def row_windows(df: DataFrame, time: str, by: list[str], value: str, before: int, top: int, delay: str, idle: str | None = None) -> DataFrame:
+    """``df`` with windows over the rows of its key, which a stream's own window functions don't give.
+
+    Once the watermark has passed a row it comes out with ``rows_before``, the
+    values of up to ``before`` rows before it, oldest first, and ``top_values``, the
+    ``top`` largest values of its key so far, its own included, largest first and
+    nulls left out.  Rows of one time are in the order of their JSON text.  The
+    k-th row before is ``try_element_at(rows_before, -k)``, and any aggregate of
+    the last rows is one of that array.
+
+    A key's state is that ring and that list, beside the rows which the watermark
+    has not passed.  With ``idle``, it is forgotten once the watermark is that far
+    past the key's last row; rows that come later begin anew.
+    """
+    kind = df.schema[value].dataType.simpleString()
+    rows = df.where(F.col(time).isNotNull()).select(
+        *by, F.col(time).cast("timestamp").alias("_at"), F.lit(True).alias("side_left"), F.to_json(F.struct(F.struct(*df.columns).alias("row"), F.col(value).alias("value")), _JSON).alias("row_text")
+    )
+    rows = rows.withWatermark("_at", delay).withColumn("at_us", F.unix_micros("_at"))
+    found = rows.groupBy(*by).transformWithStateInPandas(_RowWindows(before, top, idle and _micros(idle)), "_l string, _r string", "append", "EventTime")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
+    found = found.select(F.from_json("_l", f"row struct<{kinds.replace('` ', '`: ')}>", _JSON).alias("_l"), F.from_json("_r", f"rows_before array<{kind}>, top_values array<{kind}>", _JSON).alias("_r"))
+    return found.select("_l.row.*", "_r.*")
+
+
+class _RowWindows(_Waiting):
+    """A ring of the last values and a list of the largest, as JSON beside the time of the last row."""
+
+    def __init__(self, before: int, top: int, idle: int | None):
+        self._before, self._top, self._idle = before, top, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._kept = handle.getValueState("kept", "at bigint, ring string, best string")
+
+    def passed(self, rows: list[tuple], until: int) -> list[tuple]:
+        last, ring, best = self._kept.get() if self._kept.exists() else (None, "[]", "[]")
+        ring, best, out = json.loads(ring), json.loads(best), []
+        for at, _, text in rows:
+            if at > until:
+                continue
+            value = json.loads(text)["value"]
+            if value is not None:
+                best = sorted([*best, value], reverse=True)[: self._top]
+            out.append((text, json.dumps({"rows_before": ring, "top_values": best})))
+            ring, last = [*ring, value][-self._before :] if self._before else [], at
+        if out:
+            self._kept.update((last, json.dumps(ring), json.dumps(best)))
+            if self._idle is not None:
+                self._wake(last + self._idle)
+        return out
+
+    def idle(self, until: int) -> None:
+        if self._idle is not None and self._kept.exists() and self._kept.get()[0] + self._idle <= until:
+            self._kept.clear()
+
+
 def fill_forward(df: DataFrame, time: str, value: str, by: list[str], delay: str) -> DataFrame:
     """``value`` of each row, or else the latest one before it in its key (``filled``)."""
     known = df.where(F.col(value).isNotNull())

@@ -1,9 +1,13 @@
 """Streams over several micro-batches: state that is carried, evicted and resumed; sinks read back."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from chronoloom.operators import series
 from chronoloom.sources import tables
 from chronoloom.streaming import streams
 
@@ -84,3 +88,67 @@ def test_a_database_table_is_read_in_ranges(spark):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
     few = back.where("id > 55").select("id")
     assert few.count() == 4 and "PushedFilters: [*IsNotNull(id), *GreaterThan(id,55)]" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def _states(spark, folder, variable):
+    """Keys with their stored values at the end of a drained stream."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, streams._ROCKSDB)
+    try:
+        return spark.read.format("statestore").option("stateVarName", variable).load(f"{folder}/progress").collect()
+    finally:
+        spark.conf.unset(conf)
+
+
+def _pair(spark, tmp_path):
+    return _stream(spark, tmp_path / "l").select("k", "ts", "id"), _stream(spark, tmp_path / "r").select("k", "ts", "v")
+
+
+@pytest.mark.parametrize("direction", ["nearest", "forward", "backward"])
+def test_asof_within_equals_batch(spark, tmp_path, direction):
+    """Rows out of order over seven micro-batches, with ties, null keys and matches at the tolerance's very edge."""
+    rng = random.Random(6)
+    at = lambda b: AT(100 * b + rng.randrange(0, 160) / 2)
+    left = [[(rng.choice(["a", "a", "b", None]), at(b), 100 * b + i, None) for i in range(40)] for b in range(6)]
+    right = [[(rng.choice(["a", "a", "b", None]), at(b), 0, float(100 * b + i)) for i in range(40)] for b in range(6)]
+    end = [("z", AT(9000), -1, 0.0)]
+    _arrive(spark, tmp_path / "l", *left, end, [("z", AT(9001), -2, 0.0)])
+    _arrive(spark, tmp_path / "r", *right, end, [("z", AT(9001), -2, 0.0)])
+    sides = _pair(spark, tmp_path)
+    folder = str(tmp_path / "out")
+    got = streams.drain(streams.asof_within(*sides, "ts", ["k"], ["v"], "150 seconds", "7 seconds", direction), folder)
+    got = {r.id: (r.k, r.ts, r.right_ts, r.right_v) for r in got.where("id >= 0").collect()}
+    batch = [spark.createDataFrame(sum(rows, []), ROWS).withColumn("ts", F.col("ts").cast("timestamp_ntz")) for rows in (left, right)]
+    want = series.asof(batch[0].select("k", "ts", "id"), batch[1].select("k", "ts", "v"), "ts", ["k"], ["v"], direction, "7 seconds")
+    assert got == {r.id: (r.k, r.ts, r.right_ts, r.right_v) for r in want.collect()}
+    assert sum(v[3] is not None for v in got.values()) > 60
+    # All rows but the last key's have gone from the state.
+    assert {r.key.k for r in _states(spark, folder, "open")} == {"z"}
+
+
+def test_row_windows_carry_a_bounded_state(spark, tmp_path):
+    rng = random.Random(9)
+    files, n = [], 0
+    for b in range(5):
+        files.append([(rng.choice("aab"), AT(50 * b + rng.randrange(90) + i / 100), n + i, rng.choice([None, float(rng.randrange(50))])) for i in range(30)])
+        n += 30
+    _arrive(spark, tmp_path / "in", *files, [("z", AT(2000), -1, 1.0)], [("z", AT(2001), -2, 1.0)])
+    folder = str(tmp_path / "out")
+    out = streams.row_windows(_stream(spark, tmp_path / "in"), "ts", ["k"], "v", 4, 3, "100 seconds", idle="10000 seconds")
+    got = {r.id: (r.rows_before, r.top_values) for r in streams.drain(out, folder).where("id >= 0").collect()}
+    want = {}
+    for k in "ab":
+        own = sorted((r for f in files for r in f if r[0] == k), key=lambda r: r[1])
+        for i, r in enumerate(own):
+            want[r[2]] = [x[3] for x in own[max(0, i - 4) : i]], sorted((x[3] for x in own[: i + 1] if x[3] is not None), reverse=True)[:3]
+    assert got == want
+    kept = {r.key.k: r.value for r in _states(spark, folder, "kept")}
+    assert set(kept) == {"a", "b"} and all(len(json.loads(v.ring)) == 4 and len(json.loads(v.best)) == 3 for v in kept.values())
+    assert {r.key.k for r in _states(spark, folder, "open")} == {"z"}
+
+
+def test_row_windows_forget_idle_keys(spark, tmp_path):
+    _arrive(spark, tmp_path / "in", [("a", AT(0), 1, 5.0)], [("b", AT(100), 2, 1.0)], [("b", AT(400), 3, 2.0)], [("a", AT(410), 4, 3.0)], [("b", AT(900), 5, 1.0)], [("b", AT(901), 6, 1.0)])
+    out = streams.row_windows(_stream(spark, tmp_path / "in"), "ts", ["k"], "v", 2, 1, "10 seconds", idle="60 seconds")
+    got = {r.id: (r.rows_before, r.top_values) for r in streams.drain(out).collect()}
+    assert got[1] == ([], [5.0]) and got[4] == ([], [3.0])
