@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions import forms, quantiles
-from chronoloom.operators import series
+from chronoloom.operators import clocks, series, warping
 from chronoloom.plans.relational import RELATIONAL
 from chronoloom.plans.streams import STREAMS
 from chronoloom.sources.tables import read
@@ -342,6 +342,44 @@ def percentiles(spark, d):
     return found.groupBy("event_type").agg(pick(0.25, "q1"), pick(0.5, "q2"))
 
 
+def _two_clocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events, and six in seven of them as another clock saw them: 2.5 s and 40 ppm off, and up to a millisecond of noise."""
+    x = _events(spark, d).select("event_id", "ts", "user_id")
+    us = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
+    seen = 2_500_000 + F.floor(us / 25_000) + F.col("event_id") * 7919 % 2001 - 1000
+    return x.drop("event_id"), x.where("event_id % 7 <> 0").select("user_id", F.timestamp_add("MICROSECOND", seen, F.col("ts")).alias("ts"))
+
+
+@_query(
+    "WITH x AS (SELECT user_id, ts FROM events), y AS (SELECT user_id, ts + to_microseconds(2500000 + date_sub('microsecond', TIMESTAMP '2024-01-01', ts) // 25000 + event_id * 7919 % 2001 - 1000) AS ts FROM events WHERE event_id % 7 <> 0), "
+    "b AS (SELECT x.user_id, x.ts, y.ts AS m FROM x ASOF JOIN y ON x.user_id = y.user_id AND x.ts >= y.ts), f AS (SELECT x.user_id, x.ts, y.ts AS m FROM x ASOF JOIN y ON x.user_id = y.user_id AND x.ts <= y.ts), "
+    "n AS (SELECT x.ts, CASE WHEN b.m IS NOT NULL AND (f.m IS NULL OR x.ts - b.m <= f.m - x.ts) THEN b.m ELSE f.m END AS m FROM x LEFT JOIN b USING (user_id, ts) LEFT JOIN f USING (user_id, ts)), "
+    "p AS (SELECT date_sub('microsecond', (SELECT min(ts) FROM x), ts) AS since, date_sub('microsecond', ts, m) AS apart FROM n WHERE abs(date_sub('microsecond', ts, m)) <= 300000000) "
+    "SELECT round(regr_intercept(apart, since), 0) AS offset_us, round(regr_slope(apart, since) * 1e6, 3) AS drift_ppm, count(*) AS matched FROM p"
+)
+def clock_fit_once(spark, d):
+    x, y = _two_clocks(spark, d)
+    out = clocks.clock_drift(x, y, "ts", ["user_id"], tolerance="5 minutes", rounds=1, robust=False)
+    return out.select(F.round("offset_us", 0).alias("offset_us"), F.round("drift_ppm", 3).alias("drift_ppm"), "matched")
+
+
+@_query("")
+def clock_drift(spark, d):
+    return clocks.clock_drift(*_two_clocks(spark, d), "ts", ["user_id"], tolerance="5 minutes")
+
+
+@_query("")
+def warping_path_daily(spark, d):
+    return warping.warping_path(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", "day", ["user_id"])
+
+
+@_query("")
+def nearest_series_daily(spark, d):
+    events = _events(spark, d)
+    out = warping.nearest_series(events, events.where("user_id % 20 = 0"), "ts", "value", "day", "user_id", 3, k=3)
+    return out.withColumn("distance", F.round("distance", 4))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()} | {k: f for k, (f, _) in STREAMS.items()}
 
