@@ -273,12 +273,16 @@ def delta(df: DataFrame, time: str, value: str, by: list[str], stretch: str | No
 
 
 def align(series: dict[str, DataFrame], time: str, unit: str, value: str, by: list[str]) -> DataFrame:
-    """One row per key and calendar unit with the mean of each named series; full outer."""
-    out = None
+    """One row per key and calendar unit with the mean of each named series, null where it has none.
+
+    The rows of all series are tagged and aggregated together: one shuffle for any
+    number of them, after sums and counts in each task.  Null keys are one key.
+    """
+    rows = None
     for name, df in series.items():
-        one = calendar_bucket(df, time, unit, by, [F.avg(value).alias(name)])
-        out = one if out is None else out.join(one, [*by, "bucket_start"], "full")
-    return out
+        one = df.select(*by, time, F.lit(name).alias("_name"), F.col(value).alias("_value"))
+        rows = one if rows is None else rows.unionByName(one)
+    return calendar_bucket(rows, time, unit, by, [F.avg(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in series])
 
 
 def cross_correlation(x: DataFrame, y: DataFrame, time: str, value: str, max_lag: int) -> DataFrame:

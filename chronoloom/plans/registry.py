@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import forms, quantiles
-from chronoloom.operators import clocks, series, warping
+from chronoloom.operators import chains, clocks, lags, ranges, series, warping
 from chronoloom.plans.relational import RELATIONAL
 from chronoloom.plans.streams import STREAMS
 from chronoloom.sources.tables import read
@@ -380,6 +380,42 @@ def nearest_series_daily(spark, d):
     return out.withColumn("distance", F.round("distance", 4))
 
 
+@_query(
+    "WITH x AS (SELECT epoch_us(ts) // 60000000 AS bin, avg(value) AS a FROM events WHERE event_type = 'view' GROUP BY 1), y AS (SELECT epoch_us(ts) // 60000000 AS bin, avg(value) AS b FROM events WHERE event_type = 'purchase' GROUP BY 1) "
+    "SELECT y.bin - x.bin AS lag, round(corr(a, b), 4) AS corr, count(*) AS n FROM x JOIN y ON y.bin - x.bin BETWEEN -2000 AND 2000 GROUP BY 1"
+)
+def lag_correlation_minutes(spark, d):
+    out = lags.lag_correlation(_events(spark, d, "view"), _events(spark, d, "purchase"), "ts", "value", "1 minute", 2000)
+    return out.withColumn("corr", F.round("corr", 4))
+
+
+@_query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal < s_acctbal")
+def inequality_join(spark, d):
+    a, b = read(spark, d, "customer").select("c_custkey", "c_acctbal"), read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return ranges.inequality_join(a, b, "c_acctbal", "s_acctbal").select("c_custkey", "s_suppkey")
+
+
+@_query(
+    "WITH RECURSIVE p AS (SELECT event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN lag(event_id) OVER w END AS parent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "r AS (SELECT event_id, event_id AS root, 0::BIGINT AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.event_id, r.root, r.depth + 1 FROM p JOIN r ON p.parent = r.event_id) SELECT * FROM r"
+)
+def event_chains(spark, d):
+    """Each event's chain: events of a user that follow one another within six hours."""
+    w = Window.partitionBy("user_id").orderBy("ts")
+    near = F.lag("ts").over(w) >= F.col("ts") - F.expr("INTERVAL 6 HOURS")
+    linked = _events(spark, d).select("event_id", F.when(near, F.lag("event_id").over(w)).alias("parent"))
+    return chains.roots(linked, "event_id", "parent")
+
+
+@_query(
+    "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS bucket_start, " + ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{k}'), 4) AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1, 2"
+)
+def align_five(spark, d):
+    kinds = ("click", "error", "purchase", "signup", "view")
+    out = series.align({k: _events(spark, d, k) for k in kinds}, "ts", "day", "value", ["user_id"])
+    return out.select("user_id", "bucket_start", *[_R(F.col(k), k) for k in kinds])
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()} | {k: f for k, (f, _) in STREAMS.items()}
 
