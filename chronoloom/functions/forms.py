@@ -81,3 +81,36 @@ class Words:
             if word:
                 yield word, at
             at += len(word) + 1
+
+
+@F.arrow_udtf(returnType="id bigint, admitted boolean, skipped int")
+class Spaced:
+    """Of the rows (id, at, gap) of a partition in order, which are admitted: those at least ``gap`` microseconds after the last admitted one.
+
+    Whether a row is admitted depends on what became of those before it, which no
+    window can say.  ``skipped`` counts the rows passed over since the last
+    admitted one.  Rows come in batches and only that state is carried.  A null
+    time is never admitted.
+    """
+
+    def __init__(self) -> None:
+        self._last: int | None = None
+        self._skipped = 0
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        names = rows.schema.names
+        ids, times, gaps = (rows.column(names.index(c)) for c in ("id", "at", "gap"))
+        admitted, skipped = [], []
+        for at, gap in zip(times.to_pylist(), gaps.to_pylist()):
+            good = at is not None and (self._last is None or at - self._last >= gap)
+            self._last, self._skipped = (at, 0) if good else (self._last, self._skipped + 1)
+            admitted.append(good)
+            skipped.append(self._skipped)
+        yield pa.table({"id": ids.cast(pa.int64()), "admitted": pa.array(admitted, pa.bool_()), "skipped": pa.array(skipped, pa.int32())})
+
+
+def spaced(df: DataFrame, id_col: str, time: str, gap: str, by: str) -> DataFrame:
+    """``id, admitted, skipped`` of every row: rows of a key at least ``gap`` after the last admitted one are admitted."""
+    rows = df.select(F.col(by).alias("key"), F.col(id_col).cast("bigint").alias("id"), series._since_epoch(F.col(time)).alias("at"), series._length(gap).alias("gap"))
+    out = Spaced(rows.asTable().partitionBy("key").orderBy(F.col("at").asc_nulls_first(), "id"))
+    return out.withColumnRenamed("id", id_col)

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], parts: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], parts: int | None = None, part_rows: int = 1_000_000) -> DataFrame:
     """``by, q, quantile``: exact quantiles, interpolated between the two nearest ranks.
 
     Equal values are counted first.  Approximate quantiles cut a group into
-    ``parts``; counts of the parts tell which of them hold the wanted ranks, and
+    ``parts``, by default so many that the largest group has about ``part_rows``
+    rows in each; counts of the parts tell which of them hold the wanted ranks, and
     only the values in these are put in order.  Null values are left out; a group
     without values has no rows; a null key is a group.
     """
+    if parts is None:
+        largest = df.where(F.col(value).isNotNull()).groupBy(*by).count().agg(F.max("count")).first()[0]
+        parts = min(4096, max(8, (largest or 0) // part_rows))
     keys = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
     counts = df.where(F.col(value).isNotNull()).groupBy(keys.alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
     cuts = df.where(F.col(value).isNotNull()).groupBy(keys.alias("k")).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("cuts"))

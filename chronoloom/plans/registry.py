@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import forms, quantiles
+from chronoloom.functions import sketches as stored
 from chronoloom.operators import chains, clocks, lags, ranges, series, warping
 from chronoloom.plans.relational import RELATIONAL
 from chronoloom.plans.streams import STREAMS
-from chronoloom.sources.tables import read
+from chronoloom.sources.tables import read, save
+from chronoloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str]] = {}
@@ -416,6 +418,69 @@ def align_five(spark, d):
     return out.select("user_id", "bucket_start", *[_R(F.col(k), k) for k in kinds])
 
 
+def _near_exact(rows: DataFrame, exact: DataFrame, by: list[str], ranks: DataFrame) -> DataFrame:
+    """Exact figures, and whether the sketches are within the errors that they promise (four standard deviations)."""
+    both = rows.join(exact, by).join(ranks, by)
+    within = lambda c: F.abs(F.col(c) - F.col("users")) <= F.ceil(0.065 * F.col("users"))
+    return both.select(*by, "n", "users", F.round("middle", 4).alias("middle"), within("distinct_hll").alias("hll_near"), within("distinct_theta").alias("theta_near"), (F.col("rank_error") <= 0.02).alias("kll_near"))
+
+
+def _rank_errors(events: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """How far the rank of each estimated median is from the middle, among the rows themselves."""
+    held = events.join(rows.select(*by, "quantile"), by)
+    below, upto = (F.avg((F.col("value") < F.col("quantile")).cast("int")), F.avg((F.col("value") <= F.col("quantile")).cast("int")))
+    return held.groupBy(*by).agg(F.greatest(below - 0.5, 0.5 - upto, F.lit(0)).alias("rank_error"))
+
+
+def _exact_figures(events: DataFrame, by: list[str]) -> DataFrame:
+    middles = quantiles.exact_quantiles(events, by, "value", [0.5]).select(*by, F.col("quantile").alias("middle"))
+    return events.groupBy(*by).agg(F.count_distinct("user_id").alias("users")).join(middles, by)
+
+
+@_query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(median(value), 4) AS middle, true AS hll_near, true AS theta_near, true AS kll_near FROM events GROUP BY event_type")
+def sketches(spark, d):
+    events = _events(spark, d)
+    rows = stored.estimates(stored.rolled_up(stored.summarised(events, "ts", "hour", ["event_type"], "user_id", "value"), None, ["event_type"]), 0.5)
+    return _near_exact(rows, _exact_figures(events, ["event_type"]), ["event_type"], _rank_errors(events, rows, ["event_type"]))
+
+
+@_query("SELECT date_trunc('day', ts)::TIMESTAMP AS bucket_start, count(*) AS n, count(DISTINCT user_id) AS users, round(median(value), 4) AS middle, true AS hll_near, true AS theta_near, true AS kll_near FROM events GROUP BY 1")
+def sketch_rollup(spark, d):
+    """Sketches stored by type and hour, read again, and rolled up to days of all types without the rows."""
+    path = streams.shared_folder(spark, "sketches")
+    save(stored.summarised(_events(spark, d), "ts", "hour", ["event_type"], "user_id", "value"), path)
+    rows = stored.estimates(stored.rolled_up(spark.read.parquet(path), "day", []), 0.5)
+    events = _events(spark, d).withColumn("bucket_start", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return _near_exact(rows, _exact_figures(events, ["bucket_start"]), ["bucket_start"], _rank_errors(events, rows, ["bucket_start"]))
+
+
+@_query(
+    "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'purchase') AS p FROM events GROUP BY 1, 2) "
+    "SELECT day, count(*) FILTER (WHERE v AND p) AS \"both\", true AS near FROM d GROUP BY day"
+)
+def sketch_overlap(spark, d):
+    """Users who both viewed and bought on a day, from the theta sketches of views and of purchases."""
+    store = stored.summarised(_events(spark, d), "ts", "hour", ["event_type"], "user_id", "value")
+    daily = stored.rolled_up(store, "day", ["event_type"])
+    side = lambda kind, name: daily.where(F.col("event_type") == kind).select("bucket_start", F.col("theta").alias(name))
+    found = side("view", "a").join(side("purchase", "b"), "bucket_start", "full")
+    found = found.select("bucket_start", F.coalesce(stored.overlap(F.col("a"), F.col("b")), F.lit(0)).alias("near"), F.coalesce(F.theta_sketch_estimate(F.coalesce(F.theta_union("a", "b"), "a", "b")), F.lit(0)).alias("all"))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    has = lambda kind: F.bool_or(F.col("event_type") == kind)
+    exact = _events(spark, d).groupBy(day, "user_id").agg((has("view") & has("purchase")).alias("is_both")).groupBy("day").agg(F.sum(F.col("is_both").cast("long")).alias("both"))
+    # An intersection errs by its sets' union, not by its own size.
+    return exact.join(found, F.col("day") == F.col("bucket_start"), "left").select("day", "both", (F.abs(F.coalesce("near", F.lit(0)) - F.col("both")) <= F.ceil(0.065 * F.coalesce("all", F.lit(0)))).alias("near"))
+
+
+@_query(
+    "WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), "
+    "r AS (SELECT user_id, event_id, k, ts AS last, true AS admitted, 0 AS skipped FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.ts >= r.last + INTERVAL 12 HOUR THEN e.ts ELSE r.last END, "
+    "e.ts >= r.last + INTERVAL 12 HOUR, CASE WHEN e.ts >= r.last + INTERVAL 12 HOUR THEN 0 ELSE r.skipped + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT event_id, admitted, skipped FROM r"
+)
+def spaced_events(spark, d):
+    return forms.spaced(_events(spark, d), "event_id", "ts", "12 hours", "user_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _QUERIES.items()} | {k: lambda spark, d, q=spark_sql: _sql(spark, d, q) for k, (spark_sql, _) in RELATIONAL.items()} | {k: f for k, (f, _) in STREAMS.items()}
 

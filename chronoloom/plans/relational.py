@@ -111,17 +111,13 @@ RELATIONAL: dict[str, tuple[str, str]] = {
     "join_merge_hint": _same("SELECT /*+ MERGE(o) */ c_custkey, o_orderkey FROM {customer} c JOIN {orders} o ON c_custkey = o_custkey WHERE o_totalprice > 300000"),
     "join_shuffle_hash_hint": _same("SELECT /*+ SHUFFLE_HASH(c) */ c_custkey, o_orderkey FROM {customer} c JOIN {orders} o ON c_custkey = o_custkey WHERE o_totalprice > 300000"),
     "join_broadcast_hint": _same("SELECT /*+ BROADCAST(n) */ c_custkey, n_name FROM {customer} c JOIN {nation} n ON c_nationkey = n_nationkey"),
-    # Approximate results are not compared by value, but by the error that they promise.
+    "join_nested_loop_hint": _same("SELECT /*+ SHUFFLE_REPLICATE_NL(n, r) */ n_name, r_name FROM {nation} n JOIN {region} r ON n_regionkey = r_regionkey"),
+    # Approximate results are given by the exact value beside them, and by whether they keep the error that they promise.
     "approximate": (
-        "SELECT event_type, abs(approx_count_distinct(user_id, 0.02) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS distinct_near, "
-        "abs(approx_percentile(value, 0.5, 10000) - percentile_approx(value, 0.5, 100000)) <= 0.01 * (max(value) - min(value)) AS middle_near FROM {events} GROUP BY event_type",
-        "SELECT DISTINCT event_type, true AS distinct_near, true AS middle_near FROM events",
-    ),
-    "sketches": (
-        "SELECT event_type, abs(theta_sketch_estimate(theta_sketch_agg(user_id)) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS theta_near, "
-        "abs(hll_sketch_estimate(hll_sketch_agg(user_id)) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS hll_near, "
-        "kll_sketch_get_quantile_double(kll_sketch_agg_double(value), 0.5) BETWEEN percentile_approx(value, 0.45, 100000) AND percentile_approx(value, 0.55, 100000) AS kll_near FROM {events} GROUP BY event_type",
-        "SELECT DISTINCT event_type, true AS theta_near, true AS hll_near, true AS kll_near FROM events",
+        "SELECT event_type, users, least, abs(near - users) <= 0.06 * users AS distinct_near, abs(below / n - 0.5) <= 0.01 AS middle_near FROM ("
+        "SELECT e.event_type, count(DISTINCT user_id) AS users, min(value) AS least, approx_count_distinct(user_id, 0.02) AS near, count(*) AS n, CAST(sum(CASE WHEN value <= m THEN 1 ELSE 0 END) AS DOUBLE) AS below "
+        "FROM {events} e JOIN (SELECT event_type, approx_percentile(value, 0.5, 1000) AS m FROM {events} GROUP BY event_type) a ON a.event_type = e.event_type GROUP BY e.event_type)",
+        "SELECT event_type, count(DISTINCT user_id) AS users, min(value) AS least, true AS distinct_near, true AS middle_near FROM events GROUP BY event_type",
     ),
     "recursion": (
         "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t",

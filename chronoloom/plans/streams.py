@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators import series
-from chronoloom.sources import tables
+from chronoloom.sources import sinks, tables
 from chronoloom.streaming import streams
 
 _DELAY = "10 minutes"
@@ -113,6 +113,23 @@ def stream_late(spark, d):
     return _ntz(streams.drain(streams.windows(arriving, "ts", "1 hour", ["event_type"], [_count()])))
 
 
+def sink_replayed(spark, d):
+    """Events delivered in three micro-batches, each of which is brought twice, as after a failure; and which batch holds each."""
+    folder = streams.shared_folder(spark, "delivered")
+    df = tables.read(spark, d, "events").select("event_id", "ts", "value")
+    for turn in range(3):
+        tables.save(df.where(F.col("event_id") % 3 == turn).coalesce(1), f"{folder}/in", mode="append")
+    write = sinks.to_files(f"{folder}/out")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        write(batch, number)
+
+    arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    streams.deliver(arriving, twice, f"{folder}/progress")
+    return sinks.read_batches(spark, f"{folder}/out", "event_id bigint, ts timestamp_ntz, value double")
+
+
 def _kept_as(format: str, name: str, by: list[str] | None = None, **options):
     """A query that writes a table in a format and reads it again."""
 
@@ -156,6 +173,7 @@ STREAMS = {
         "SELECT event_type, s AS bucket_start, count(*) AS n FROM (SELECT event_id, event_type, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS s FROM events) "
         f"WHERE s + INTERVAL 1 HOUR <= {_W} AND (event_id % 3 <> 0 OR s + INTERVAL 1 HOUR > (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_id % 3 = 1)) GROUP BY 1, 2",
     ),
+    "sink_replayed": (sink_replayed, "SELECT event_id, ts, value, (event_id % 3)::BIGINT AS batch FROM events"),
     "kept_csv": (_kept_as("csv", "customer", header=True), "SELECT * FROM customer"),
     "kept_json": (_kept_as("json", "supplier"), "SELECT * FROM supplier"),
     "kept_orc": (_kept_as("orc", "orders", ["o_orderstatus"]), "SELECT * FROM orders"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chronoloom.operators import series
+from chronoloom.sources import sinks
 
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
@@ -332,3 +333,11 @@ def drain(df: DataFrame, folder: str | None = None, **trigger) -> DataFrame:
     finally:
         spark.conf.unset(_STORE) if store is None else spark.conf.set(_STORE, store)
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def deliver(df: DataFrame, sink: sinks.Batch, progress: str, **trigger) -> None:
+    """Brings the stream's micro-batches to ``sink``, up to the input that is there now; a later call with the same folder goes on.
+
+    A batch that was under way when a call ended is brought again, so the sink must take it once (see ``sources.sinks``).
+    """
+    df.writeStream.foreachBatch(sink).option("checkpointLocation", progress).trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
