@@ -22,6 +22,7 @@ result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -34,7 +35,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from chronoloom.llm.common import durable
 
@@ -43,13 +43,48 @@ _PIECE = "piece int, start bigint, length bigint, ids binary"
 _encoders: dict[str, "Encoder"] = {}
 
 
+#: Letters that have one lower-case form of one code point, and no other spelling.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + n for n, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
+def _merges_of_letters(path: str, tokenizer):
+    """The vocabulary's merges alone, if they give words of letters the ids that the whole tokenizer gives; else None."""
+    from tokenizers.models import BPE
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    if model.get("type") != "BPE":
+        return None
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    options = {k: model[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)}
+    merges = BPE(vocab=model["vocab"], merges=pairs, cache_capacity=0, **options)
+    letters = [chr(c) for c in range(65, 256) if _LETTERS.fullmatch(chr(c))]
+    probes = [*letters, "".join(letters), *(a + b for a in "aZ\u00e9\u00c0" for b in letters), "Tokenizers", "\u00c9t\u00e9s"]
+    for p in probes:
+        if [t.id for t in merges.tokenize(p.lower().encode().decode("latin-1").translate(_BYTE_SIGNS))] != tokenizer.encode(p, add_special_tokens=False).ids:
+            return None
+    return merges
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no token spans it, so a text's ids are
     those of its blank-separated chunks.  Points and commas that end a chunk after
     a letter are tokens of their own.  Chunks met lately come from a bounded cache
-    of two generations.
+    of two generations.  A chunk of Latin letters is one word to the vocabulary's
+    normaliser and splitter, so it goes to the merges at once; all others take the
+    tokenizer's whole way.
     """
 
     def __init__(self, path: str, cached: int = 250_000, longest: int = 64):
@@ -62,10 +97,13 @@ class Encoder:
         apart = [i for x in "ab" for i in self._tokenizer.encode(x, add_special_tokens=False).ids]
         if together != apart or any(re.search(r"\s", token) for token in self._tokenizer.get_vocab()):
             raise ValueError(f"{path}: tokens of this vocabulary can hold white space")
+        self._merges = _merges_of_letters(path, self._tokenizer)
         #: Bytes of an id on its way between tasks.
         self.width = 2 if max(self._tokenizer.get_vocab().values()) < 1 << 16 else 4
         self._known: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
+        #: What ends chunks: at most four points and commas, so there are few.
+        self._marks: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
@@ -82,17 +120,38 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Adds the ids of chunks that are not in the newer cache."""
-        known, older, cut = self._known, self._older, {}
+        known, older, letters, word, cut = self._known, self._older, _LETTERS.fullmatch, self._word, {}
         for c in new:
             if c in older:
                 known[c] = older[c]
+            elif self._merges and letters(c):
+                known[c] = word(c)
             else:
                 stem = c.rstrip(".,")
-                cut[c] = (stem, c[len(stem) :]) if unicodedata.normalize("NFC", stem[-1:]).lower().isalpha() and "'" not in c else (c, "")
-        parts = list({p for pair in cut.values() for p in pair}.difference(known))
-        met = dict(zip(parts, (array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False))))
+                if self._merges and letters(stem):
+                    known[c] = (known[stem] if stem in known else word(stem)) + self._mark(c[len(stem) :])
+                elif unicodedata.normalize("NFC", stem[-1:]).lower().isalpha() and "'" not in c:
+                    cut[c] = (stem, c[len(stem) :])
+                else:
+                    cut[c] = (c, "")
+        parts = list({stem for stem, _ in cut.values()}.difference(known))
+        met = dict(zip(parts, (array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)))) if parts else {}
         for c, (stem, end) in cut.items():
-            known[c] = (met[stem] if stem in met else known[stem]) + (met[end] if end in met else known[end])
+            known[c] = (met[stem] if stem in met else known[stem]) + self._mark(end)
+
+    def _word(self, letters: str) -> bytes:
+        """The ids of a word of Latin letters."""
+        word = letters.lower()
+        return array("I", [t.id for t in self._merges.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
+
+    def _mark(self, end: str) -> bytes:
+        """The ids of points and commas after a letter."""
+        if end in self._marks:
+            return self._marks[end]
+        ids = array("I", self._tokenizer.encode(end, add_special_tokens=False).ids).tobytes()
+        if len(end) <= 4:
+            self._marks[end] = ids
+        return ids
 
 
 def encoder(path: str) -> Encoder:
@@ -133,10 +192,9 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, {_PIECE}")
 
 
-@F.pandas_udf(BinaryType())
-def _widened(ids: pd.Series, length: pd.Series) -> pd.Series:
+def _wide(ids: bytes, length: int) -> bytes:
     """The ids as 32-bit integers."""
-    return pd.Series([x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(ids.tolist(), length.tolist())])
+    return ids if len(ids) == 4 * length else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -207,30 +265,77 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def pack(
-    df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1 << 16
+    df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1 << 16, most_starts: int = 2_000_000
 ) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids (little-endian unsigned 32-bit), ids_crc32 (of these), sequence_id, offset."""
-    cut = durable(pieces(df, tokenizer, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
-    buckets = max(64, cut.count() // bucket_rows)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
-    counts = durable(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")))
+    """One row per piece: id, piece, start, length, ids (little-endian unsigned 32-bit), ids_crc32 (of these), sequence_id, offset.
+
+    A piece's rank among those of its length is the number of them in the parts of
+    the checkpoint before its own, and before it in its part, which the task that
+    reads the part counts; so no ids are shuffled or sorted.  The counts by part and
+    length are broadcast if there are no more than ``most_starts``; beyond that the
+    pieces are dealt by (length, bucket) and numbered there.
+    """
+    spark = df.sparkSession
+    cut = durable(pieces(df, tokenizer, capacity, id_col, text_col).withColumns({"part": F.spark_partition_id(), "uid": F.monotonically_increasing_id()}))
+    counts = durable(cut.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     segments = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)
-    shared = df.sparkSession.sparkContext.broadcast(segments)
+    if counts.count() <= most_starts:
+        return _placed_by_part(cut, counts, segments, id_col)
+    shared = spark.sparkContext.broadcast(segments)
+    buckets = max(64, cut.count() // bucket_rows)
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
+    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.expr("coalesce(sum(n) over (partition by length order by bucket rows between unbounded preceding and 1 preceding), 0)")
     starts = counts.select("length", "bucket", before.alias("before"))
     place = F.expr("row_number() over (partition by length, bucket order by uid) - 1")
     ranked = cut.withColumn("place", place).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place"))
 
-    @F.pandas_udf("sequence_id bigint, offset bigint")
-    def assign(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        length, first, first_bin, each, place = shared.value.T
-        at = np.searchsorted((length << 44) + first, (size.to_numpy() << 44) + rank.to_numpy(), "right") - 1
-        nth = rank.to_numpy() - first[at]
-        return pd.DataFrame({"sequence_id": first_bin[at] + nth // each[at], "offset": place[at] + nth % each[at] * length[at]})
+    @F.pandas_udf(_PLACED)
+    def assign(size: pd.Series, rank: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        return _put(shared.value, size.to_numpy(), rank.to_numpy(), ids)
+
+    return _named(ranked.withColumn("put", assign("length", "rank", "ids")), id_col)
+
+
+_PLACED = "sequence_id bigint, offset bigint, ids binary"
+
+
+def _put(segments: np.ndarray, size: np.ndarray, rank: np.ndarray, ids: pd.Series) -> pd.DataFrame:
+    """Sequence, offset and wide ids of pieces, by the segment that holds their rank."""
+    length, first, first_bin, each, place = segments.T
+    at = np.searchsorted((length << 44) + first, (size << 44) + rank, "right") - 1
+    nth = rank - first[at]
+    wide = [_wide(x, n) for x, n in zip(ids.tolist(), size.tolist())]
+    return pd.DataFrame({"sequence_id": first_bin[at] + nth // each[at], "offset": place[at] + nth % each[at] * length[at], "ids": wide})
+
+
+def _named(placed: DataFrame, id_col: str) -> DataFrame:
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "put.ids", F.crc32("put.ids").alias("ids_crc32"), "put.sequence_id", "put.offset")
+
+
+def _placed_by_part(cut: DataFrame, counts: DataFrame, segments: np.ndarray, id_col: str) -> DataFrame:
+    """The pieces with their places, numbered by the tasks that read the checkpoint's parts."""
+    before = F.expr("coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0)")
+    starts: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in counts.select("part", "length", before.alias("before")).collect():
+        starts[r["part"]][r["length"]] = r["before"]
+    shared = cut.sparkSession.sparkContext.broadcast((segments, dict(starts)))
+
+    @F.pandas_udf(_PLACED)
+    def assign(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        segments, starts = shared.value
+        following: dict[int, dict[int, int]] = {}
+        for part, size, ids in batches:
+            ranks = np.empty(len(size), np.int64)
+            for k, (p, n) in enumerate(zip(part.tolist(), size.tolist())):
+                if p not in following:
+                    following[p] = dict(starts[p])
+                ranks[k] = following[p][n]
+                following[p][n] += 1
+            yield _put(segments, size.to_numpy(), ranks, ids)
 
-    found = ranked.withColumn("bin", assign("length", "rank")).withColumn("ids", _widened("ids", "length"))
-    return found.select(F.col("id").alias(id_col), "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "bin.sequence_id", "bin.offset")
+    return _named(cut.withColumn("put", assign("part", "length", "ids")), id_col)
 
 
 def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:

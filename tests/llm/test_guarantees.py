@@ -641,3 +641,47 @@ def test_blocks_in_chunks_join_what_is_near(spark):
         for i, j in links:
             got[max(top(i), top(j))] = min(top(i), top(j))
         assert {i: top(i) for i in prints} == {i: root(i) for i in prints}
+
+
+# Packing: ids of whole tables, and places without a shuffle of ids.
+
+
+def test_ids_of_a_whole_table_are_the_tokenizers(spark):
+    docs = registry.table(spark, SMALL, "documents")
+    whole = packing.encoder(WORD_BPE)._tokenizer
+    ids = {}
+    for r in packing.pack(docs, WORD_BPE).select("doc_id", "start", "ids").collect():
+        ids.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for r in docs.select("doc_id", "text").collect():
+        want = [*whole.encode(r.text or "", add_special_tokens=False).ids, 0]
+        assert b"".join(x for _, x in sorted(ids[r.doc_id])) == np.array(want, "<u4").tobytes(), r.doc_id
+
+
+def test_words_of_letters_take_the_merges_alone():
+    encode = packing.Encoder(WORD_BPE)
+    assert encode._merges is not None
+    rng = random.Random(6)
+    signs = [*"aeionstrlZTÉéèçñÄßÿµªºıİŉΣσςж日ﬁǅ'-_.,;0", "é", "́", " ", " "]
+    for _ in range(4000):
+        text = " ".join("".join(rng.choices(signs if rng.random() < 0.5 else signs[:18], k=rng.randrange(1, 9))) for _ in range(3))
+        assert encode.encode(text) == np.array(encode._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_places_by_parts_and_by_dealing_agree_in_kind(spark):
+    docs = registry.table(spark, SMALL, "documents").repartition(5).drop("lang")
+    both = [packing.pack(docs, WORD_BPE, most_starts=n) for n in (2_000_000, 0)]
+    plan = both[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Exchange" in both[1]._jdf.queryExecution().executedPlan().toString()
+    for df in both:
+        rows = df.select("doc_id", "piece", "length", "sequence_id", "offset").collect()
+        taken = {}
+        for r in rows:
+            taken.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for spans in taken.values():
+            at = 0
+            for offset, length in sorted(spans):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    assert len({df.select("sequence_id").distinct().count() for df in both}) == 1
