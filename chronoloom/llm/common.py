@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +29,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Lists that learn of each folder made while they are open.
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that ``durable`` and ``kept_table`` make meanwhile, for ``removed`` once nothing reads them any more."""
+    made: list[str] = []
+    _notes.append(made)
+    try:
+        yield made
+    finally:
+        _notes[:] = [x for x in _notes if x is not made]
+
+
+def removed(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Deletes folders, by any file system that Spark reaches; those that are gone already are passed over."""
+    sc = spark.sparkContext
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the cluster's shared checkpoint folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _notes:
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        for made in _notes:
+            made.append(file.get())
+    return out
 
 
 def kept_table(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as Parquet in the shared folder, so that later reads take only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    for made in _notes:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
