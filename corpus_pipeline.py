@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import exact_dedup, packing, pii, quality_rules, simhash
-from chronoloom.llm.common import durable, spread, table
+from chronoloom.llm.common import durable, noted, removed, spread, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
+    """The packed sequences of ``documents``.
+
+    What a stage has kept goes once the next one's input is kept, and all of it once
+    the last has returned, which has read its input by then: packing cuts its
+    lineage.  So the shared folder holds the result's own tables only.
+    """
+    docs, held = spread(table(spark, sf_dir, "documents")), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with noted() as made:
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = durable(docs)
+        removed(spark, held)
         if k < len(STAGES) - 1:
-            docs = durable(docs)
+            removed(spark, made[:-1])
+            held = made[-1:]
     return docs
