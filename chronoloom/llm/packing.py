@@ -22,7 +22,6 @@ result.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import unicodedata
@@ -57,17 +56,9 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
-def _merges_of_letters(path: str, tokenizer):
-    """The vocabulary's merges alone, if they give words of letters the ids that the whole tokenizer gives; else None."""
-    from tokenizers.models import BPE
-
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
-    if model.get("type") != "BPE":
-        return None
-    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    options = {k: model[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)}
-    merges = BPE(vocab=model["vocab"], merges=pairs, cache_capacity=0, **options)
+def _merges_of_letters(tokenizer):
+    """The tokenizer's merges alone, if they give words of letters the ids that its whole way gives; else None."""
+    merges = tokenizer.model
     letters = [chr(c) for c in range(65, 256) if _LETTERS.fullmatch(chr(c))]
     probes = [*letters, "".join(letters), *(a + b for a in "aZ\u00e9\u00c0" for b in letters), "Tokenizers", "\u00c9t\u00e9s"]
     for p in probes:
@@ -87,7 +78,7 @@ class Encoder:
     tokenizer's whole way.
     """
 
-    def __init__(self, path: str, cached: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, cached: int = 120_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -97,7 +88,7 @@ class Encoder:
         apart = [i for x in "ab" for i in self._tokenizer.encode(x, add_special_tokens=False).ids]
         if together != apart or any(re.search(r"\s", token) for token in self._tokenizer.get_vocab()):
             raise ValueError(f"{path}: tokens of this vocabulary can hold white space")
-        self._merges = _merges_of_letters(path, self._tokenizer)
+        self._merges = _merges_of_letters(self._tokenizer)
         #: Bytes of an id on its way between tasks.
         self.width = 2 if max(self._tokenizer.get_vocab().values()) < 1 << 16 else 4
         self._known: dict[str, bytes] = {"": b""}
