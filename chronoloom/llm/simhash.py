@@ -17,9 +17,10 @@
    returns a spanning forest of its links, not the pairs.
 4. With an exact ``similarity`` the radius only names candidates: the rows that
    they join, component by component, are dealt with their shingle sets, and only
-   pairs of that similarity are links (``exact_links``).  It is the cosine of the shingle sets, common shingles over
-   the geometric mean of both sizes: the similarity that agreeing SimHash bits
-   stand for.
+   pairs of that similarity are links (``exact_links``).  ``measure`` names it:
+   ``cosine`` of the shingle sets, common shingles over the geometric mean of both
+   sizes, which is the similarity that agreeing SimHash bits stand for; or
+   ``jaccard``, common shingles over all of both, never above the cosine.
 5. ``near_groups``: connected components over distinct fingerprints, or over
    distinct shingle sets where the similarity is exact.
 
@@ -368,13 +369,16 @@ def near_bits(radius: int, width: int | None = None):
     return find
 
 
-def similar_enough(both: np.ndarray, size: int, sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether ``both`` common members make sets of ``size`` and ``sizes`` as similar: both / sqrt(size * sizes)."""
-    return both.astype(float) ** 2 >= similarity**2 * size * sizes * (1 - 1e-12)
+#: Whether ``both`` common members make sets of ``size`` and ``sizes`` as similar as ``least``.
+MEASURES = {
+    "cosine": lambda both, size, sizes, least: both.astype(float) ** 2 >= least**2 * size * sizes * (1 - 1e-12),
+    "jaccard": lambda both, size, sizes, least: both >= least * (size + sizes - both) * (1 - 1e-12),
+}
 
 
-def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def _similar(sets: list[np.ndarray], similarity: float, measure: str = "cosine") -> list[tuple[int, int]]:
     """A spanning forest of the pairs that are similar enough; a set has no repeats and one member at least."""
+    similar_enough = MEASURES[measure]
     sizes = np.array([len(x) for x in sets])
     words, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
@@ -403,11 +407,13 @@ def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
     return found
 
 
-def similar_sets(similarity: float):
+def similar_sets(similarity: float, measure: str):
     """Links by shingle sets."""
+    if measure not in MEASURES:
+        raise ValueError(f"measure {measure!r} is none of {', '.join(MEASURES)}")
 
     def find(blocks: list[list[bytes]], flagged: list[int]) -> list[tuple[int, int, int]]:
-        return [(k, i, j) for k, x in enumerate(blocks) for i, j in _similar([np.frombuffer(h, "<u8") for h in x], similarity)]
+        return [(k, i, j) for k, x in enumerate(blocks) for i, j in _similar([np.frombuffer(h, "<u8") for h in x], similarity, measure)]
 
     return find
 
@@ -433,8 +439,8 @@ def candidate_blocks(unique: DataFrame, node: Column) -> DataFrame:
     return durable(blocks.select("key", "n", node.alias("node"), F.col("fp").alias("data")))
 
 
-def exact_links(df: DataFrame, unique: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bits: int, chunk: int, similarity: float) -> DataFrame:
-    """``u, v``: links between similar shingle sets, as spanning forests over fingerprints; ids of ``df`` are not null.
+def exact_links(df: DataFrame, unique: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bits: int, chunk: int, find) -> DataFrame:
+    """``u, v``: links that ``find`` sees between shingle sets, as spanning forests over fingerprints; ids of ``df`` are not null.
 
     A forest of candidates could leave a similar pair joined only by way of pairs
     that are not, so all rows of a component of candidates are compared.  Shingle
@@ -452,7 +458,7 @@ def exact_links(df: DataFrame, unique: DataFrame, id_col: str, text_col: str, sh
     texts = probed(texts, F.xxhash64("id"), *filter_of(ids.select("h"))).where("maybe")
     sets = shingle_sets(texts.join(ids, F.col("id") == F.col("least"), "left_semi").select("t"), shingle)
     blocks = members.join(sizes, "key").join(sets, "name").where(F.length("hashes") > 0)
-    return linked(durable(blocks.select("key", "n", F.col("fp").alias("node"), F.col("hashes").alias("data"))), chunk, similar_sets(similarity))
+    return linked(durable(blocks.select("key", "n", F.col("fp").alias("node"), F.col("hashes").alias("data"))), chunk, find)
 
 
 def near_groups(
@@ -467,16 +473,18 @@ def near_groups(
     chunk: int = 4096,
     distinct: bool = False,
     similarity: float | None = None,
+    measure: str = "cosine",
 ) -> DataFrame:
     """``id, fp, component`` for every row of ``df``.
 
     With ``similarity`` (for ``distinct`` shingles and ids that are not null) that
-    exact similarity decides, and ``fp`` ends with the name of the set.
+    exact similarity by ``measure`` decides, and ``fp`` ends with the name of the set.
     """
     exact = similarity is not None
+    find = similar_sets(similarity, measure) if exact else near_bits(radius)
     prints = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows, distinct, exact))
     unique = unique_prints(prints)
-    found = exact_links(df, unique, id_col, text_col, shingle, radius, bits, chunk, similarity) if exact else linked(candidate_blocks(unique, F.col("fp")), chunk, near_bits(radius))
+    found = exact_links(df, unique, id_col, text_col, shingle, radius, bits, chunk, find) if exact else linked(candidate_blocks(unique, F.col("fp")), chunk, find)
     roots = components(found).select(F.col("u").alias("fp"), "root")
     # Kept, so that the join has its own exchange on both sides and a hot root can be split.
     owner = durable(unique.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
@@ -502,19 +510,22 @@ def survivors(
     rows: int = 3,
     chunk: int = 512,
     similarity: float = 0.8,
+    measure: str = "cosine",
 ) -> DataFrame:
     """The rows of ``df`` that stay: of each near-duplicate group the one with the smallest id.
 
-    The exact cosine similarity of the distinct five-word shingle sets decides: 0.8
-    or more is a link.  Candidates are within 176 of 512 bits: at 0.8 the expected
+    The exact similarity of the distinct five-word shingle sets decides: 0.8 or more
+    by ``measure`` is a link.  The cosine joins more than ``jaccard``: at equal sizes
+    its 0.8 is a Jaccard similarity of 0.67.  Candidates are within 176 of 512 bits: at a cosine of 0.8 the expected
     distance is 105, at most 128 for the shortest texts (two shingles against the
     same two and one more; deviation 10), so nearly five deviations are left at any
     length.  28 bands of 3 min-hashes put such a pair, whose Jaccard similarity is
-    0.64 at least, in one block with a chance of 0.9998.
+    0.64 at least, in one block with a chance of 0.9998; pairs of Jaccard similarity
+    0.8 have a cosine of at least as much, so they are among these.
     Rows with a null id have no identity to be compared by and stay.  Texts without
     a word are equal to each other.
     """
-    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk, distinct=True, similarity=similarity)
+    found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk, distinct=True, similarity=similarity, measure=measure)
     gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
     kept = packed(df, id=F.col(id_col))
     return kept.join(gone, F.col("id") == F.col("gone"), "left_anti").select("_row.*")
