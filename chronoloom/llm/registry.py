@@ -38,7 +38,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), cached=240_000).drop("ids")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
