@@ -104,3 +104,18 @@ def test_alignment_in_one_shuffle(spark):
         chain = one if chain is None else chain.join(one, ["user_id", "bucket_start"], "full")
     key = lambda r: (r.user_id, r.bucket_start)
     assert sorted(df.collect(), key=key) == sorted(chain.collect(), key=key)
+
+
+@pytest.mark.parametrize("or_equal", [False, True])
+def test_inequality_join_joins_bounded_arrays(spark, or_equal):
+    """The join itself meets arrays of right rows, none much over ``chunk``, though one value has a third of them."""
+    rng = random.Random(3)
+    value = lambda: rng.choice([4.0, None, rng.random() * 9])
+    a, b = [(i, value()) for i in range(90)], [(i, value()) for i in range(240)]
+    got = ranges.inequality_join(spark.createDataFrame(a, "x int, p double"), spark.createDataFrame(b, "y int, q double").repartition(3), "p", "q", or_equal, 4, chunk=16)
+    want = sorted((x, p, y, q) for x, p in a for y, q in b if p is not None and q is not None and (p < q or or_equal and p == q))
+    assert sorted(map(tuple, got.collect())) == want and got.columns == ["x", "p", "y", "q"]
+    plan = _plan(got)
+    assert plan.index("Generate inline") < plan.index("SortMergeJoin") < plan.index("collect_list")
+    # 240 rows by 16: fifteen chunks of even size, of which a block has a part.
+    assert ", 15)" in plan
