@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,32 @@ def test_the_registered_clock(spark):
     r = registry.queries()["clock_drift"](spark, "/root/testdata/sf0.01").first()
     first = registry._events(spark, "/root/testdata/sf0.01").agg(F.min("ts")).first()[0] - START
     assert abs(r.offset_us - 2.5e6 - 40 * first.total_seconds()) < 60 and abs(r.drift_ppm - 40) < 0.0001 and r.matched > 8000
+
+
+def test_many_series_at_once_equal_one_by_one():
+    """Lengths of 1 to 14 (one far longer), ties and not-a-number: the same costs to the last bit, the same nearest."""
+    rng = np.random.default_rng(5)
+    series = [np.round(rng.random(n) * 4, 1) for n in [*rng.integers(1, 15, 150), 400]]
+    series[7][0] = math.nan
+    series += series[20:60]
+    table = lambda keys: pa.table({"key": pa.array(keys, pa.int64()), "s": pa.array([series[n].tolist() for n in keys])})
+    for band in (0, 1, 3):
+        b, lengths = warping._columns(table(range(len(series)))["s"].combine_chunks())
+        for q in (0, 5, 31, 150):
+            whole = [warping.banded(series[q], s, band) for s in series]
+            got = warping.banded_all(series[q], b, lengths, band)
+            assert [x for n, x in enumerate(got.tolist()) if n != 7] == [x for n, x in enumerate(whole) if n != 7]
+            assert not got[7] < math.inf
+        asked = [n for n in range(0, len(series), 9)]
+        got = warping.nearest_of(table(asked), table(range(len(series))), band, 4, first=6)
+        costs = {q: sorted((warping.banded(series[q], s, band), n) for n, s in enumerate(series) if n not in (q, 7)) for q in asked}
+        want = [(q, n, d) for q in asked for d, n in costs[q][:4] if d < math.inf]
+        assert sorted(got) == sorted(want)
+
+
+def test_nearest_series_takes_one_plan_for_any_number_of_blocks(spark):
+    """Series are made once, not once a block of queries, and no query goes through the driver."""
+    df = spark.range(400).select((F.col("id") % 40).alias("k"), F.timestamp_add("DAY", F.col("id") % 7, F.lit(START).cast("timestamp_ntz")).alias("ts"), F.rand(3).alias("v"))
+    plan = lambda block: warping.nearest_series(df, df, "ts", "v", "day", "k", 1, block=block)._jdf.queryExecution().executedPlan().toString()
+    for block in (2, 256):
+        assert plan(block).count("FlatMapCoGroupsInArrow") == 1 and "Union" not in plan(block) and "calendar" not in plan(block)
