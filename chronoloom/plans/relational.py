@@ -53,8 +53,11 @@ RELATIONAL: dict[str, tuple[str, str]] = {
     ),
     "join_right": _same("SELECT o_orderkey, c_custkey FROM {orders} RIGHT JOIN {customer} ON o_custkey = c_custkey AND o_totalprice > 200000"),
     "join_cross": _same("SELECT r_name, n_name FROM {region} CROSS JOIN {nation}"),
-    "lateral_top": _same(
-        "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t"
+    # Spark gives a correlated ORDER BY ... LIMIT a row number over rows sorted before they are shuffled, which no longer are; here the number has its own order.
+    "lateral_top": (
+        "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) "
+        "WHERE o_custkey = c_custkey AND rn <= 2) t",
+        "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t",
     ),
     "grouping_sets": _same("SELECT event_type, user_id, count(*) AS n FROM {events} GROUP BY GROUPING SETS ((event_type), (user_id), ())"),
     "union_all": _same("SELECT user_id AS k FROM {events} UNION ALL SELECT o_custkey FROM {orders}"),

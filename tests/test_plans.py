@@ -156,3 +156,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["lateral_top", "lateral_frame"])
+def test_lateral_rows_are_numbered_in_their_order(spark, name):
+    """The window that numbers a customer's orders sorts them itself; an order made before the shuffle does not hold after it."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    numbers = re.findall(r"row_number\(\) windowspecdefinition\((.*?), specifiedwindowframe", plan)
+    assert numbers and all("o_totalprice" in n and "DESC" in n and n.rindex("o_orderkey") > n.index("DESC") for n in numbers)
+    assert "rangepartitioning" not in plan and "NestedLoop" not in plan
