@@ -62,9 +62,13 @@ RELATIONAL: dict[str, tuple[str, str]] = {
     "grouping_sets": _same("SELECT event_type, user_id, count(*) AS n FROM {events} GROUP BY GROUPING SETS ((event_type), (user_id), ())"),
     "union_all": _same("SELECT user_id AS k FROM {events} UNION ALL SELECT o_custkey FROM {orders}"),
     "except_all": _same("SELECT user_id AS k FROM {events} EXCEPT ALL SELECT o_custkey FROM {orders}"),
-    "aggregates": _same(
+    # Of rows equally dear the least key is taken; max_by alone takes any of them.
+    "aggregates": (
+        "SELECT l_returnflag, min(l_orderkey) FILTER (WHERE l_extendedprice = most) AS dearest, round(covar_pop(l_quantity, l_discount), 4) AS cv, round(var_pop(l_quantity), 4) AS vp, "
+        "bool_or(l_tax > 0.07) AS taxed, min(l_shipdate) AS first_day FROM (SELECT /*+ BROADCAST(d) */ l.*, most FROM {lineitem} l JOIN "
+        "(SELECT l_returnflag AS flag, max(l_extendedprice) FILTER (WHERE l_orderkey IS NOT NULL) AS most FROM {lineitem} GROUP BY l_returnflag) d ON l_returnflag <=> flag) GROUP BY l_returnflag",
         "SELECT l_returnflag, max_by(l_orderkey, l_extendedprice) AS dearest, round(covar_pop(l_quantity, l_discount), 4) AS cv, round(var_pop(l_quantity), 4) AS vp, "
-        "bool_or(l_tax > 0.07) AS taxed, min(l_shipdate) AS first_day FROM {lineitem} GROUP BY l_returnflag"
+        "bool_or(l_tax > 0.07) AS taxed, min(l_shipdate) AS first_day FROM lineitem GROUP BY l_returnflag",
     ),
     "value_windows": _same(
         "SELECT event_id, lead(event_id, 2) OVER w AS second_next, first_value(event_id) OVER w AS first_id, nth_value(event_id, 3) OVER w AS third_id, round(percent_rank() OVER w, 6) AS pr, "

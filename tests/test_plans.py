@@ -165,3 +165,17 @@ def test_lateral_rows_are_numbered_in_their_order(spark, name):
     numbers = re.findall(r"row_number\(\) windowspecdefinition\((.*?), specifiedwindowframe", plan)
     assert numbers and all("o_totalprice" in n and "DESC" in n and n.rindex("o_orderkey") > n.index("DESC") for n in numbers)
     assert "rangepartitioning" not in plan and "NestedLoop" not in plan
+
+
+def test_the_dearest_of_equal_rows_has_the_least_key(spark, tmp_path):
+    """Copies with shifted keys in any order; the rows of a missing key or price don't count, nor does a missing flag match nothing."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("R")))
+    odd = lines.limit(3).withColumns({"l_orderkey": F.lit(None).cast("bigint"), "l_extendedprice": F.lit(9e9)})
+    copies = [lines.withColumn("l_orderkey", F.col("l_orderkey") + 10_000 * n) for n in (2, 0, 3, 1)]
+    for df, mode in zip([odd, *copies, lines.limit(3).withColumn("l_extendedprice", F.lit(None).cast("double"))], ["overwrite"] + 5 * ["append"]):
+        df.coalesce(1).write.mode(mode).parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.l_returnflag: r.dearest for r in registry.queries()["aggregates"](spark, str(tmp_path)).collect()}
+    best = {}
+    for r in lines.collect():
+        best[r.l_returnflag] = max(best.get(r.l_returnflag, (0, 0)), (r.l_extendedprice, -r.l_orderkey))
+    assert got == {flag: -key for flag, (_, key) in best.items()} and None in got
