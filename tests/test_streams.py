@@ -152,3 +152,20 @@ def test_row_windows_forget_idle_keys(spark, tmp_path):
     out = streams.row_windows(_stream(spark, tmp_path / "in"), "ts", ["k"], "v", 2, 1, "10 seconds", idle="60 seconds")
     got = {r.id: (r.rows_before, r.top_values) for r in streams.drain(out).collect()}
     assert got[1] == ([], [5.0]) and got[4] == ([], [3.0])
+
+
+def test_open_rows_are_kept_by_the_micro_batch(spark, tmp_path):
+    """A key's state has an element for each micro-batch or reading of it, not for each row, and rows put back come out once."""
+    rng = random.Random(2)
+    rows = [("a", AT(i + rng.random()), i, float(rng.randrange(9))) for i in range(240)]
+    _arrive(spark, tmp_path / "in", rows[:100], rows[100:200])
+    folder = str(tmp_path / "out")
+    run = lambda: streams.drain(streams.row_windows(_stream(spark, tmp_path / "in"), "ts", ["k"], "v", 2, 1, "150 seconds"), folder)
+    first = {r.id for r in run().collect()}
+    assert 30 < len(first) < 60
+    held = [json.loads(r.list_element.rows) for r in _states(spark, folder, "open")]
+    assert 1 <= len(held) <= 2 and sorted(at for part in held for at, _, _ in part) == sorted(round((r[1] - AT(0)).total_seconds() * 1_000_000) + 1_704_067_200_000_000 for r in rows[:200] if r[2] not in first)
+    _arrive(spark, tmp_path / "in", rows[200:], [("z", AT(9000), -1, 0.0)])
+    got = [(r.id, r.rows_before, r.top_values) for r in run().orderBy("id").collect()]
+    values = [r[3] for r in rows]
+    assert got == [(i, values[max(0, i - 2) : i], [max(values[: i + 1])]) for i in range(240)]
