@@ -52,17 +52,39 @@ def removed(spark: SparkSession, folders: Iterable[str]) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def run_once(spark: SparkSession) -> Iterator[None]:
+    """Of what is planned and run meanwhile the shuffle files go as soon as it has run; a second run would make them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _folder(out: DataFrame) -> str:
+    """Where ``durable`` has kept ``out``."""
+    return out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder."""
+    """``df`` computed once and kept in the cluster's shared checkpoint folder; the shuffle files that it took go at once."""
     shared_folder(df.sparkSession)
-    out = df.checkpoint()
-    if _notes:
-        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        for made in _notes:
-            made.append(file.get())
+    with run_once(df.sparkSession):
+        out = df.select("*").checkpoint()  # planned anew, so that ``df`` itself keeps its files if it is run
+    for made in _notes:
+        made.append(_folder(out))
     return out
 
 
+def released(*kept: DataFrame) -> None:
+    """Deletes what ``durable`` has kept, once nothing reads it any more."""
+    for df in kept:
+        removed(df.sparkSession, [_folder(df)])
+
+
 def kept_table(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as Parquet in the shared folder, so that later reads take only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -4,7 +4,8 @@ Each step is an aggregation and a join on the node, so no neighbour list is ever
 gathered.  In the aggregation a hot node shrinks before the shuffle.  Its result
 is dealt by a hash of the node before the join, so both sides of the join have an
 exchange of their own, which lets adaptive execution split a hot node.  Lineage is
-cut after each star; the rounds end as soon as all edges are stars.
+cut after each star, and the edges before it are deleted; the rounds end as soon
+as all edges are stars.
 
 Defined cases: self loops and repeated edges are allowed, an edge with a null end
 is none; no edges give an empty result.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import durable
+from chronoloom.llm.common import durable, released, run_once
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def _settled(edges: DataFrame) -> bool:
     """Whether every node has one smaller neighbour at most, and that one none."""
     ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return ends.where("up > 1 OR up = 1 AND down = 1").isEmpty()
+    with run_once(edges.sparkSession):
+        return ends.where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -45,7 +47,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(edges):
             break
-        edges = durable(_small_star(durable(_large_star(edges))))
+        stars = durable(_large_star(edges))
+        released(edges)
+        edges = durable(_small_star(stars))
+        released(stars)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select("u", F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.bloom import filter_of, probed
-from chronoloom.llm.common import durable, packed
+from chronoloom.llm.common import durable, noted, packed, released, removed
 from chronoloom.llm.graph import components
 
 _U = np.uint64
@@ -444,21 +444,27 @@ def exact_links(df: DataFrame, unique: DataFrame, id_col: str, text_col: str, sh
 
     A forest of candidates could leave a similar pair joined only by way of pairs
     that are not, so all rows of a component of candidates are compared.  Shingle
-    sets are made again from the texts, of such rows only; a Bloom filter keeps the
-    other texts from being shuffled.
+    sets are made again from the texts, of such rows only, by a Bloom filter of
+    their ids: no text is shuffled, and a set that is there by a false positive
+    finds no member of its name.
     """
     # Components over hashes: equal ones of different fingerprints could only make a component larger.
     f = F.xxhash64("fp")
-    roots = components(linked(candidate_blocks(unique, f), chunk, near_bits(radius, bits // 8)))
+    with noted() as made:
+        candidates = durable(linked(candidate_blocks(unique, f), chunk, near_bits(radius, bits // 8)))
+    removed(df.sparkSession, made[:-1])
+    roots = components(candidates)
+    released(candidates)
     name = F.substring("fp", bits // 8 + 1, 16).alias("name")
     members = durable(unique.select("fp", "least", name, f.alias("u")).join(roots, "u").select("fp", "least", "name", F.col("root").alias("key")))
     sizes = durable(members.groupBy("key").agg(F.count("*").alias("n")))
-    ids = durable(members.select("least").distinct().withColumn("h", F.xxhash64("least")))
+    ids = durable(members.select(F.xxhash64("least").alias("h")).distinct())
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    texts = probed(texts, F.xxhash64("id"), *filter_of(ids.select("h"))).where("maybe")
-    sets = shingle_sets(texts.join(ids, F.col("id") == F.col("least"), "left_semi").select("t"), shingle)
-    blocks = members.join(sizes, "key").join(sets, "name").where(F.length("hashes") > 0)
-    return linked(durable(blocks.select("key", "n", F.col("fp").alias("node"), F.col("hashes").alias("data"))), chunk, find)
+    texts = probed(texts, F.xxhash64("id"), *filter_of(ids)).where("maybe")
+    blocks = members.join(sizes, "key").join(shingle_sets(texts.select("t"), shingle), "name").where(F.length("hashes") > 0)
+    blocks = durable(blocks.select("key", "n", F.col("fp").alias("node"), F.col("hashes").alias("data")))
+    released(members, sizes, ids)
+    return linked(blocks, chunk, find)
 
 
 def near_groups(
@@ -482,15 +488,17 @@ def near_groups(
     """
     exact = similarity is not None
     find = similar_sets(similarity, measure) if exact else near_bits(radius)
-    prints = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows, distinct, exact))
-    unique = unique_prints(prints)
+    keyed = durable(fingerprints(df, id_col, text_col, shingle, bits, radius, bands, rows, distinct, exact))
+    unique = unique_prints(keyed)
+    prints = durable(keyed.select("id", "fp"))
+    released(keyed)
     found = exact_links(df, unique, id_col, text_col, shingle, radius, bits, chunk, find) if exact else linked(candidate_blocks(unique, F.col("fp")), chunk, find)
     roots = components(found).select(F.col("u").alias("fp"), "root")
     # Kept, so that the join has its own exchange on both sides and a hot root can be split.
     owner = durable(unique.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     smallest = durable(owner.groupBy("root").agg(F.min("least").alias("component")))
     by_print = owner.join(smallest, "root").select("fp", "component")
-    return prints.select("id", "fp").join(by_print, "fp").select("id", "fp", "component")
+    return prints.join(by_print, "fp").select("id", "fp", "component")
 
 
 def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -524,8 +532,14 @@ def survivors(
     0.8 have a cosine of at least as much, so they are among these.
     Rows with a null id have no identity to be compared by and stay.  Texts without
     a word are equal to each other.
+
+    A Bloom filter of the ids that go lets the other rows keep their place in the
+    scan; the rest is compared with these ids exactly.
     """
     found = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, bits, bands, rows, chunk, distinct=True, similarity=similarity, measure=measure)
-    gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
-    kept = packed(df, id=F.col(id_col))
-    return kept.join(gone, F.col("id") == F.col("gone"), "left_anti").select("_row.*")
+    gone = durable(found.where("id <> component").select(F.col("id").alias("gone")).distinct())
+    bitmaps, buckets = filter_of(gone.select(F.xxhash64("gone").alias("h")))
+    rows = probed(packed(df, id=F.col(id_col)), F.xxhash64("id"), durable(bitmaps), buckets)
+    doubtful = F.col("maybe") & F.col("id").isNotNull()
+    checked = rows.where(doubtful).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return rows.where(~doubtful).select("_row.*").unionByName(checked.select("_row.*"))

@@ -51,6 +51,47 @@ def test_only_the_results_tables_stay(spark):
     assert len(out.collect()) == len(rows)
 
 
+def _shuffled(spark):
+    """Shuffle files on this machine and their bytes."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f: os.path.getsize(f) for top in manager.localDirsString() for f in _files(top) if "/shuffle_" in f}
+
+
+def test_the_near_stage_frees_its_disk(spark):
+    """No shuffle file of its steps stays, documents that are no copies are not shuffled, and of its tables the large ones go."""
+    docs = common.durable(common.table(spark, SF, "documents"))
+    size = sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+    folder = common.shared_folder(spark).removeprefix("file:")
+    files, tables, before = _shuffled(spark), _files(folder), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near(spark, docs, SF)
+        left = sum(n for f, n in _shuffled(spark).items() if f not in files)
+        ids = [r.doc_id for r in out.collect()]
+        last = sum(n for f, n in _shuffled(spark).items() if f not in files)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids and left < 0.02 * size and last < 0.2 * size
+    # The ids, fingerprints and keys of all rows would be as much again as they are without keys.
+    assert sum(map(os.path.getsize, _files(folder) - tables)) < 0.6 * size
+
+
+def test_durable_leaves_no_shuffle_files(spark):
+    before = set(_shuffled(spark))
+    df = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
+    assert common.durable(df).count() == df.count() == 100 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    names = {os.path.basename(f).split("_")[1] for f in set(_shuffled(spark)) - before}
+    assert len(names) <= 3  # of both counts, and of ``df`` itself
+
+
+def test_released_tables_are_gone(spark):
+    with common.noted() as made:
+        a, b = common.durable(spark.range(10)), common.durable(spark.range(20))
+    common.released(a)
+    assert [os.path.exists(p.removeprefix("file:")) for p in made] == [False, True] and b.count() == 20
+    common.released(a)
+
+
 def test_noted_folders_can_be_removed(spark):
     with common.noted() as made:
         df = registry.op3_quality_rules(spark, "/root/testdata/sf0.001")
