@@ -346,9 +346,10 @@ def linked(blocks: DataFrame, chunk: int, find) -> DataFrame:
     if sizes.isEmpty():
         return found
     parts = F.ceil(F.col("r") / chunk).cast("int")
-    ns = blocks.join(sizes, "key").select("key", "n", "r", "node", "data")
+    large = blocks.where(chunks > 1)  # only these have a pivot; the others are not shuffled again
+    ns = large.join(sizes, "key").select("key", "n", "r", "node", "data")
     all_rows = ns.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), own.alias("j"), F.lit(0).alias("rest"), "node", "data")
-    of_key = blocks.select("key", "n").distinct().join(sizes, "key")
+    of_key = large.select("key", "n").distinct().join(sizes, "key")
     apart = rest.select("key", F.col("u").alias("node"), "data").join(of_key.repartition(F.xxhash64("key")), "key")
     apart = apart.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("j"), F.lit(1).alias("rest"), "node", "data")
     dealt = all_rows.unionByName(apart).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("rest"), "node")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoloom.llm import common, packing, registry
+from chronoloom.llm import common, packing, registry, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -76,6 +76,22 @@ def test_the_near_stage_frees_its_disk(spark):
     assert sum(map(os.path.getsize, _files(folder) - tables)) < 0.6 * size
 
 
+def test_only_blocks_over_a_chunk_are_dealt_twice(spark):
+    """A block whose rows differ from its pivot doesn't move the small blocks' rows a second time."""
+    words = np.random.default_rng(3).integers(0, 1 << 63, (4000, 64), "u8")
+    rows = [(i // 2, 2, i, words[i // 2].tobytes()) for i in range(4000)] + [(-1, 20, 5000 + i, words[i // 2].tobytes()) for i in range(20)]
+    blocks = common.durable(spark.createDataFrame(rows, "key long, n long, node long, data binary"))
+    files, before = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = {(min(r), max(r)) for r in simhash.linked(blocks, 8, simhash.similar_sets(0.8, "cosine")).collect() if r.u != r.v}
+        moved = sum(n for f, n in _shuffled(spark).items() if f not in files)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert links == {(i, i + 1) for i in range(0, 4000, 2)} | {(5000 + i, 5001 + i) for i in range(0, 20, 2)}
+    assert moved < 0.2 * 4000 * 512
+
+
 def test_durable_leaves_no_shuffle_files(spark):
     before = set(_shuffled(spark))
     df = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
