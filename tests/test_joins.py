@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from chronoloom.operators import chains, lags, ranges, series
@@ -119,3 +120,64 @@ def test_inequality_join_joins_bounded_arrays(spark, or_equal):
     assert plan.index("Generate inline") < plan.index("SortMergeJoin") < plan.index("collect_list")
     # 240 rows by 16: fifteen chunks of even size, of which a block has a part.
     assert ", 15)" in plan
+
+
+def _shuffled(spark, act):
+    """What ``act`` returns, and the bytes that its stages have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    stages = lambda: sc.dagScheduler().nextStageId()
+    first, out = stages(), act()
+    sc.listenerBus().waitUntilEmpty()
+    written = 0
+    for k in range(first, stages()):
+        try:
+            written += sc.statusStore().lastStageAttempt(k).shuffleWriteBytes()
+        except Py4JJavaError:  # a stage whose shuffle was there already is not known
+            pass
+    return out, written
+
+
+def test_inequality_join_moves_few_bytes(spark):
+    """Fifteen left rows to a right one: the larger side is not sent to every block of the other."""
+    a = spark.range(60_000).select(F.col("id").alias("x"), (F.xxhash64("id") % 1_000_000 / 100).alias("p"))
+    b = spark.range(4000).select(F.col("id").alias("y"), (F.xxhash64(F.col("id") + 7_000_000) % 1_000_000 / 100).alias("q"))
+    n, written = _shuffled(spark, lambda: ranges.inequality_join(a, b, "p", "q").count())
+    ps, qs = (np.sort([r[0] for r in df.collect()]) for df in (a.select("p"), b.select("q")))
+    assert n == int(np.searchsorted(ps, qs).sum())
+    assert written < 14 * 16 * 64_000
+
+
+def test_inequality_join_is_kept_in_few_bytes(spark, tmp_path):
+    """Pairs come in an order that files of columns keep at a fraction of a byte each."""
+    a = spark.range(6000).select(F.col("id").alias("x"), (F.xxhash64("id") % 1_000_000).alias("p"))
+    b = spark.range(4000).select(F.col("id").alias("y"), (F.xxhash64(F.col("id") + 7_000_000) % 1_000_000).alias("q"))
+    pairs = ranges.inequality_join(a, b, "p", "q", parts=2).select("x", "y")
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n > 10_000_000 and sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.25 * n
+    # What comes of one row is held by Spark before it is handed on, so left arrays are cut after the join.
+    plan = _plan(pairs)
+    assert plan.index("Generate inline") < plan.index("Generate explode(transform") < plan.index("SortMergeJoin")
+
+
+@pytest.mark.parametrize("or_equal", [False, True])
+@pytest.mark.parametrize("sizes", [(900, 7), (7, 900), (300, 300), (600, 1)])
+def test_inequality_join_of_uneven_sides(spark, sizes, or_equal):
+    """Ends of doubles, NaN (above all others), null and values that many rows share, on either side."""
+    rng = random.Random(sizes[0])
+    nan, inf = float("nan"), float("inf")
+    value = lambda: rng.choice([3.0, 3.0, 8.0, -0.0, 0.0, nan, inf, -inf, None, rng.random() * 20])
+    a, b = ([(i, value()) for i in range(n)] for n in sizes)
+    place = lambda v: (v != v, 0 if v != v else v)
+    want = sorted((x, y) for x, p in a for y, q in b if p is not None and q is not None and (place(p) < place(q) or or_equal and place(p) == place(q)))
+    got = ranges.inequality_join(spark.createDataFrame(a, "x int, p double"), spark.createDataFrame(b, "y int, q double"), "p", "q", or_equal, 6, chunk=100)
+    assert sorted((r.x, r.y) for r in got.collect()) == want
+
+
+def test_inequality_join_of_dates_and_maps(spark):
+    """Values need an order only, other columns not even that."""
+    a = spark.range(200).select(F.create_map(F.lit("k"), "id").alias("x"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("p"))
+    b = a.toDF("y", "q")
+    rows = [r.p for r in a.collect()]
+    got = ranges.inequality_join(a, b, "p", "q", parts=5).collect()
+    assert len(got) == sum(p < q for p in rows for q in rows) and all(r.p < r.q and r.x["k"] % 40 < r.y["k"] % 40 for r in got)
